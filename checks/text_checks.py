@@ -65,9 +65,9 @@ def _(t):
     "SELECT email_id, count(*) AS n, count(due) AS with_due, "
     "count(*) FILTER (WHERE direction = 'incoming') AS incoming FROM found GROUP BY email_id"))
 def _(t):
-    signals = t.mail.filter("folder IN ('INBOX', 'SENT', 'ARCHIVE')").select(
-        c("id").alias("email_id"),
-        C.detect_commitments(c("body"), c("from_email"), SELF).alias("s"))
+    own = t.mail.filter("folder IN ('INBOX', 'SENT', 'ARCHIVE')")
+    signals = C.detect_commitments(own, self_email=SELF).select(
+        c("id").alias("email_id"), c("signals").alias("s"))
     size = lambda col: F.size(col).cast("bigint")
     return signals.filter(F.size("s") > 0).select(
         "email_id", size("s").alias("n"),
@@ -84,7 +84,7 @@ SELECT doc_id, len(ps) AS n_sentences, list_max(list_transform(ps, lambda x: len
   len(list_filter(ps, lambda x: length(x) > 10)) AS n_long
 FROM (SELECT doc_id, {_DOC_PARTS} AS ps FROM documents) AS x""", ())
 def _(t):
-    parts = t.documents.select("doc_id", C.sentences(c("text")).alias("ps"))
+    parts = t.documents.select("doc_id", C.sentences(C.plain_text(c("text"))).alias("ps"))
     big = lambda col: col.cast("bigint")
     return parts.select(
         "doc_id", big(F.size("ps")).alias("n_sentences"),

@@ -7,6 +7,8 @@ kept without it here and bounded explicitly in :func:`whole_words`.
 
 from __future__ import annotations
 
+import re
+
 # White space as mail clients treat it, spelled out because the
 # shorthand class differs between regex engines.
 SPACE_CHARS = (
@@ -151,3 +153,43 @@ def ends_word(phrases: str) -> str:
 
 
 DUE = f"{starts_word(DUE_BY)}|{ends_word(DUE_SOON)}"
+
+
+def alternatives(phrases: str) -> list[str]:
+    """The phrases of a pattern: its parts between ``|`` outside of groups."""
+    parts, depth, start, i = [], 0, 0, 0
+    while i < len(phrases):
+        if phrases[i] == "\\":
+            i += 1
+        elif phrases[i] in "()":
+            depth += 1 if phrases[i] == "(" else -1
+        elif phrases[i] == "|" and depth == 0:
+            parts.append(phrases[start:i])
+            start = i + 1
+        i += 1
+    return parts + [phrases[start:]]
+
+
+_GROUP = re.compile(r"\([^()]*\)[?*+]?")
+# Classes, escapes and wildcards with their repeat mark, or a character that may be
+# absent.
+_NOT_FIXED = re.compile(r"\\[a-zA-Z][?*+]?|\[[^\]]*\][?*+]?|\.[?*+]?|.[?*]")
+
+
+def required_text(phrase: str) -> str:
+    """The longest text every match of ``phrase`` contains ('' if unknown)."""
+    runs, before = phrase, None
+    while runs != before:
+        runs, before = _GROUP.sub("\0", runs), runs
+    runs = re.sub(r"\\([^a-zA-Z])", lambda m: f"\x01{m.group(1)}", runs)
+    runs = _NOT_FIXED.sub("\0", runs).replace("\x01", "")
+    return max(runs.split("\0"), key=len)
+
+
+def required_texts(phrases: str) -> list[str]:
+    """Texts of which every match of the pattern contains at least one; empty when
+    some phrase has none."""
+    found = {required_text(p) for p in alternatives(phrases)}
+    if "" in found:
+        return []
+    return sorted(t for t in found if not any(o != t and o in t for o in found))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +19,15 @@ ACTION_CHARS = 200
 CONFIDENCE = 0.6
 
 
-def sentences(body: Column) -> Column:
-    """Visible text cut after ``.``, ``!`` and ``?``."""
+def plain_text(body: Column) -> Column:
+    """The words of a body on one line; only non-breaking spaces are decoded."""
     text = F.replace(drop_tags(F.coalesce(body, F.lit(""))), F.lit("&nbsp;"), F.lit(" "))
-    return F.split(collapse_space(text), "(?<=[.!?]) +")
+    return collapse_space(text)
+
+
+def sentences(plain: Column) -> Column:
+    """One-line text cut after ``.``, ``!`` and ``?``."""
+    return F.split(plain, "(?<=[.!?]) +")
 
 
 def _direction(lower: Column, own: Column) -> Column:
@@ -30,15 +37,22 @@ def _direction(lower: Column, own: Column) -> Column:
             .when(says(lx.REQUEST), F.when(own, "incoming").otherwise("outgoing")))
 
 
-def detect_commitments(body: Column, from_email: Column, self_email: str) -> Column:
+def may_commit(plain: Column) -> Column:
+    """A cheap test every text with a commitment passes."""
+    lower = F.lower(plain)
+    texts = lx.required_texts("|".join([lx.COMMITMENT, lx.INCOMING_COMMITMENT, lx.REQUEST]))
+    return reduce(lambda a, b: a | b, [lower.contains(t) for t in texts])
+
+
+def commitment_signals(plain: Column, from_email: Column, self_email: str) -> Column:
     """Array of struct(pos, action, owner, direction, due_date, evidence, confidence),
-    one per distinct sentence that promises or asks for something.
+    one per distinct sentence of one-line text that promises or asks for something.
 
     Built inside the row: sentences of one message never need a shuffle, and
     repeats are dropped before anything is exploded.
     """
     own = F.lower(from_email) == self_email.lower()
-    numbered = F.transform(sentences(body), lambda s, i: F.struct(
+    numbered = F.transform(sentences(plain), lambda s, i: F.struct(
         i.alias("pos"), s.alias("text"), F.lower(s).alias("lower")))
     long_enough = F.filter(numbered, lambda s: F.char_length(s["text"]) > MIN_SENTENCE)
     directed = F.filter(
@@ -59,12 +73,21 @@ def detect_commitments(body: Column, from_email: Column, self_email: str) -> Col
         F.lit(CONFIDENCE).alias("confidence")))
 
 
+def detect_commitments(df: DataFrame, *, self_email: str = DEFAULT_SELF,
+                       body: str = "body", into: str = "signals") -> DataFrame:
+    """Add the commitment signals of each message.  Only texts that may hold one are
+    cut into sentences."""
+    prepared = df.withColumn("_plain", plain_text(F.col(body)))
+    found = commitment_signals(F.col("_plain"), F.col("from_email"), self_email)
+    return (prepared.withColumn("_may", may_commit(F.col("_plain")))
+            .withColumn(into, F.when(F.col("_may"), found)).drop("_plain", "_may"))
+
+
 def commitments(df: DataFrame, *, self_email: str = DEFAULT_SELF) -> DataFrame:
     """One row per commitment found in correspondence."""
-    signals = detect_commitments(F.col("body"), F.col("from_email"), self_email)
-    found = (df.filter(V.in_correspondence())
+    found = (detect_commitments(df.filter(V.in_correspondence()), self_email=self_email)
              .select("id", "thread_id", "subject", "from_name", "date",
-                     F.explode(signals).alias("s")))
+                     F.explode("signals").alias("s")))
     return found.select(
         F.concat("id", F.lit(":"), F.left("s.evidence", F.lit(40))).alias("commitment_id"),
         F.col("id").alias("email_id"), "thread_id", "subject", "from_name", "date",

@@ -64,10 +64,11 @@ def suggest_contacts(people: DataFrame, typed: DataFrame, k: int = 6) -> DataFra
                .agg(F.array_sort(F.collect_set(F.char_length("token")))).scalar())
     order = ["name", "email"]
     grams = (people
-             .select("email", "name", F.explode(lengths).alias("length"))
-             .select("email", "name", F.explode(F.array_distinct(F.concat(
-                 _substrings(F.lower("email"), F.col("length")),
-                 _substrings(F.lower("name"), F.col("length"))))).alias("token"))
+             .select(*order, F.lower("email").alias("e"), F.lower("name").alias("n"))
+             .select(*order, "e", "n", F.explode(lengths).alias("length"))
+             .select(*order, F.explode(F.array_distinct(F.concat(
+                 _substrings(F.col("e"), F.col("length")),
+                 _substrings(F.col("n"), F.col("length"))))).alias("token"))
              .join(wanted, "token", "left_semi"))
     top = Window.partitionBy("token").orderBy(*order)
     matched = (grams.withColumn("rank", F.row_number().over(top))

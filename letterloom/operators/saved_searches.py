@@ -2,73 +2,112 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from letterloom.operators.views import FREE_TEXT_COLUMNS
 from letterloom.schema import FOLDERS
 
-# How many terms travel with one pass.  Larger tables of searches are split by
-# query and the passes are unioned, so nothing is dropped.
-TERMS_PER_PASS = 5_000
-
-
-def _term_holds(term: Column, fields: dict[str, Column]) -> Column:
-    """Does the message satisfy one term?  ``fields`` are prepared columns."""
-    key, value = term["field"], term["value"]
-    among = lambda names: F.exists(
-        F.array(*[fields[n] for n in names]), lambda text: text.contains(value))
-    return (F.when(key == "is", F.array_contains(fields["flags"], value))
-            .when(key == "in", fields["folder"] == value)
-            .when(key == "has", fields["has_attachment"])
-            .when(key == "from", among(["from_email", "from_name"]))
-            .when(key == "to", among(["to_emails"]))
-            .when(key == "subject", among(["subject"]))
-            .when(key == "label", among(["labels"]))
-            .otherwise(among(FREE_TEXT_COLUMNS)))
-
-
-def _known(terms: DataFrame) -> DataFrame:
-    """Terms that say something, lower-cased (folders upper-cased)."""
-    low = F.lower("value")
-    key = F.lower("field")
-    says = (F.when(key == "is", low.isin("unread", "read", "starred", "important"))
-            .when(key == "has", low == "attachment")
-            .when(key == "in", F.upper("value").isin(FOLDERS))
-            .otherwise(key.isin("from", "to", "subject", "label", "text")))
-    return terms.filter(says).select(
-        "query_id", key.alias("field"),
-        F.when(key == "in", F.upper("value")).otherwise(low).alias("value"))
+# Searches broadcast in one pass, checked against the table's size; more searches
+# take more passes, so none is dropped.
+SEARCHES_PER_PASS = 2_000
+
+FLAGS = ["is_read", "is_starred", "is_important", "has_attachment"]
+TEXT_FIELDS = {"from": ["from_email", "from_name"], "to": ["to_emails"],
+               "subject": ["subject"], "label": ["labels"], "text": FREE_TEXT_COLUMNS}
+LOWERED = sorted({c for columns in TEXT_FIELDS.values() for c in columns})
+# Unknown folders share one extra code.
+N_STATES = 2 ** len(FLAGS) * (len(FOLDERS) + 1)
+
+
+def _state(flags: list[Column], folder: Column) -> Column:
+    """One number for the flags and the folder of a message: the equality key."""
+    code = reduce(lambda a, b: F.when(folder == b, FOLDERS.index(b)).otherwise(a),
+                  FOLDERS, F.lit(len(FOLDERS)))
+    bits = sum((F.when(flag, 2 ** i).otherwise(0) for i, flag in enumerate(flags)), F.lit(0))
+    return bits + code * 2 ** len(FLAGS)
+
+
+def compiled(searches: DataFrame) -> DataFrame:
+    """One row per search: wanted flags and folder, the first word of each text
+    field, and the remaining words as ``more``.  Terms that say nothing are left
+    out; a search of only such terms has no row."""
+    bare = F.lower("field") == "hasattachment"
+    terms = searches.select(
+        "query_id", F.when(bare, "has").otherwise(F.lower("field")).alias("field"),
+        F.when(bare, "attachment").otherwise(F.lower("value")).alias("value")).distinct()
+    says = (F.when(F.col("field") == "is",
+                   F.col("value").isin("unread", "read", "starred", "important"))
+            .when(F.col("field") == "has", F.col("value") == "attachment")
+            .when(F.col("field") == "in", F.upper("value").isin(FOLDERS))
+            .otherwise(F.col("field").isin(list(TEXT_FIELDS))))
+    wants = lambda f, v: F.max((F.col("field") == f) & (F.col("value") == v))
+    words = {f: F.min(F.when(F.col("field") == f, F.col("value"))).alias(f"w_{f}")
+             for f in TEXT_FIELDS}
+    grouped = terms.filter(says).groupBy("query_id").agg(
+        wants("is", "read").alias("read"), wants("is", "unread").alias("unread"),
+        wants("is", "starred").alias("starred"), wants("is", "important").alias("important"),
+        wants("has", "attachment").alias("attachment"),
+        F.min(F.when(F.col("field") == "in", F.upper("value"))).alias("folder"),
+        F.max(F.when(F.col("field") == "in", F.upper("value"))).alias("other_folder"),
+        *words.values(),
+        F.collect_list(F.when(F.col("field").isin(list(TEXT_FIELDS)),
+                              F.struct("field", "value"))).alias("all_words"))
+    first = F.array_compact(F.array(*[
+        F.when(F.col(f"w_{f}").isNotNull(),
+               F.struct(F.lit(f).alias("field"), F.col(f"w_{f}").alias("value")))
+        for f in TEXT_FIELDS]))
+    # A message has one folder and is read or not: contradictions match nothing.
+    possible = (~(F.col("read") & F.col("unread"))
+                & F.col("folder").eqNullSafe(F.col("other_folder")))
+    return (grouped.filter(possible)
+            .withColumn("more", F.array_except("all_words", first)).drop("all_words"))
+
+
+def _states_of(searches: DataFrame) -> DataFrame:
+    """Searches repeated for every message state they accept: at most N_STATES."""
+    state = F.col("state")
+    bit = lambda i: state.bitwiseAND(2 ** i) != 0
+    folder = F.floor(state / 2 ** len(FLAGS))
+    named = F.get(F.array(*[F.lit(f) for f in FOLDERS]), folder.cast("int"))
+    accepts = ((~F.col("read") | bit(0)) & (~F.col("unread") | ~bit(0))
+               & (~F.col("starred") | bit(1)) & (~F.col("important") | bit(2))
+               & (~F.col("attachment") | bit(3))
+               & (F.col("folder").isNull() | F.coalesce(named == F.col("folder"), F.lit(False))))
+    states = F.sequence(F.lit(0), F.lit(N_STATES - 1))
+    return (searches.withColumn("state", F.explode(states)).filter(accepts)
+            .select("query_id", "state", "more", *[f"w_{f}" for f in TEXT_FIELDS]))
+
+
+def _found(field: str, word: Column) -> Column:
+    return reduce(lambda a, b: a | b,
+                  [F.contains(F.col(c), word) for c in TEXT_FIELDS[field]])
 
 
 def match_saved_searches(searches: DataFrame, df: DataFrame,
-                         terms_per_pass: int = TERMS_PER_PASS) -> DataFrame:
+                         searches_per_pass: int = SEARCHES_PER_PASS) -> DataFrame:
     """(query_id, id) for every message that satisfies all terms of a search.
 
-    The searches become one array value that is sent to the tasks (its size is
-    counted first); each message is tested where it is scanned.  There is no join
-    and no shuffle, and a search stops at its first failing term.
+    Flags and folder become one equality key, so a message only meets searches that
+    accept its state; the words are the join's residual test.  The mail table is
+    read once per pass and never shuffled.
     """
-    terms = _known(searches)
-    passes = max(1, -(-terms.count() // terms_per_pass))
-    lowered = sorted({*FREE_TEXT_COLUMNS, "labels"})
-    flags = F.array_compact(F.array(
-        F.when(F.col("is_read"), "read").otherwise("unread"),
-        F.when(F.col("is_starred"), "starred"), F.when(F.col("is_important"), "important")))
-    # Lower-case once per message, in a projection of its own: columns named several
-    # times below stay computed there instead of moving into the per-term test.
-    prepared = df.select("id", "folder", "has_attachment", flags.alias("flags"),
-                         *[F.lower(c).alias(c) for c in lowered])
-    fields = {n: F.col(n) for n in ["folder", "has_attachment", "flags", *lowered]}
+    rows = compiled(searches)
+    passes = max(1, -(-rows.count() // searches_per_pass))
+    mail = df.select("id", _state([F.col(c) for c in FLAGS], F.col("folder")).alias("state"),
+                     *[F.lower(c).alias(c) for c in LOWERED])
+    holds = [F.col(f"w_{f}").isNull() | _found(f, F.col(f"w_{f}")) for f in TEXT_FIELDS]
+    rest = F.forall("more", lambda t: reduce(
+        lambda a, f: F.when(t["field"] == f, _found(f, t["value"])).otherwise(a),
+        TEXT_FIELDS, F.lit(True)))
+    matches = reduce(lambda a, b: a & b, [*holds, (F.size("more") == 0) | rest])
     out = None
     for part in range(passes):
-        share = terms.filter(F.pmod(F.hash("query_id"), F.lit(passes)) == part)
-        queries = (share.groupBy("query_id")
-                   .agg(F.collect_list(F.struct("field", "value")).alias("terms"))
-                   .agg(F.collect_list(F.struct("query_id", "terms"))).scalar())
-        hits = F.filter("queries", lambda q: F.forall(
-            q["terms"], lambda t: _term_holds(t, fields)))
-        matched = prepared.withColumn("queries", queries).select("id", F.explode(
-            F.transform(hits, lambda q: q["query_id"])).alias("query_id"))
-        out = matched if out is None else out.unionByName(matched)
-    return out.select("query_id", "id")
+        share = rows.filter(F.pmod(F.hash("query_id"), F.lit(passes)) == part)
+        hits = (mail.alias("m").join(
+            F.broadcast(_states_of(share)).alias("s"),
+            (F.col("m.state") == F.col("s.state")) & matches).select("query_id", "id"))
+        out = hits if out is None else out.unionByName(hits)
+    return out

@@ -165,15 +165,16 @@ def category_tab(df: DataFrame, category: str, as_of) -> DataFrame:
 FREE_TEXT_COLUMNS = ["subject", "from_name", "from_email", "to_emails", "body", "snippet"]
 
 
-def mentions(column: str, value: str) -> Column:
-    return F.lower(column).contains(value.lower())
+def mentions(column: str, value: str, lowered: bool = False) -> Column:
+    """Case-insensitive substring test; ``lowered`` when the column already is."""
+    return (F.col(column) if lowered else F.lower(column)).contains(value.lower())
 
 
 def _any(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def term_condition(field: str, value: str) -> Column | None:
+def term_condition(field: str, value: str, lowered: bool = False) -> Column | None:
     """Condition of one term, or None when the term says nothing."""
     key, word = field.lower(), value.lower()
     flags = {"unread": ~F.col("is_read"), "read": F.col("is_read"),
@@ -183,11 +184,11 @@ def term_condition(field: str, value: str) -> Column | None:
     if key == "hasattachment" or (key == "has" and word == "attachment"):
         return F.col("has_attachment")
     if key == "from":
-        return mentions("from_email", value) | mentions("from_name", value)
+        return _any(mentions(c, value, lowered) for c in ("from_email", "from_name"))
     if key == "text":
-        return _any(mentions(c, value) for c in FREE_TEXT_COLUMNS)
+        return _any(mentions(c, value, lowered) for c in FREE_TEXT_COLUMNS)
     columns = {"to": "to_emails", "subject": "subject", "label": "labels"}
-    return mentions(columns[key], value) if key in columns else None
+    return mentions(columns[key], value, lowered) if key in columns else None
 
 
 KNOWN_FIELDS = {"is", "has", "hasattachment", "from", "to", "subject", "label", "in", "text"}

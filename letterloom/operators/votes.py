@@ -90,10 +90,10 @@ def merge_handled(df: DataFrame, replies: DataFrame, *,
                   self_email: str = DEFAULT_SELF) -> DataFrame:
     """Workflow proposal per message: the best reply, with the rules stepping in for
     a weak FYI or for missing commitments."""
-    signals = detect_commitments(F.col("body"), F.col("from_email"), self_email)
-    base = classify_intent(df, self_email=self_email).select(
-        "id", "from_name", "subject", F.col("signal.intent").alias("rule_intent"),
-        signals.alias("signals"))
+    found = detect_commitments(classify_intent(df, self_email=self_email),
+                               self_email=self_email)
+    base = found.select("id", "from_name", "subject",
+                        F.col("signal.intent").alias("rule_intent"), "signals")
     best = best_reply(replies).withColumnRenamed("email_id", "id")
     fallback = F.concat(F.lit("Email from "), "from_name", F.lit(' about "'), "subject",
                         F.lit('".'))
@@ -111,4 +111,5 @@ def merge_handled(df: DataFrame, replies: DataFrame, *,
     return merged.select(
         "id", F.when(weak, F.col("rule_intent")).otherwise(F.col("ai_intent")).alias("intent"),
         "summary", "confidence",
-        F.when(has_own, F.col("commitments")).otherwise(from_rules).alias("commitments"))
+        F.when(has_own, F.col("commitments"))
+        .otherwise(F.coalesce(from_rules, F.array())).alias("commitments"))

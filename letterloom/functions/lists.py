@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from letterloom.functions.text import csv_to_array
 
 
+def unnest(df: DataFrame, array: Column | str, into: str, *keep) -> DataFrame:
+    """One row per (non-null) element, with the ``keep`` columns.
+
+    For a plain ``explode`` Spark adds a "not empty" filter below it, which computes
+    the array a second time; the outer form has no such filter.
+    """
+    return (df.select(*keep, F.explode_outer(array).alias(into))
+            .filter(F.col(into).isNotNull()))
+
+
 def has_label(labels: Column, label: str, exact: bool = False) -> Column:
     """Substring match as the list views do it, or membership with ``exact``."""
     if exact:

@@ -18,9 +18,8 @@ def without_fences(raw: Column) -> Column:
 
 
 def outer_object(text: Column) -> Column:
-    """The text from the first ``{`` to the last ``}``; NULL without such a pair."""
-    found = F.regexp_extract(text, r"\{[\s\S]*\}", 0)
-    return F.when(found != "", found)
+    """The text from the first ``{`` to the last ``}``; '' without such a pair."""
+    return F.regexp_extract(text, r"\{[\s\S]*\}", 0)
 
 
 def parse_model_reply(raw: Column, schema: str = REPLY_JSON) -> Column:

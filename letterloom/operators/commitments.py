@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from letterloom.functions import lexicon as lx
 from letterloom.functions.dates import moment
+from letterloom.functions.lists import unnest
 from letterloom.functions.text import collapse_space, drop_tags
 from letterloom.operators import views as V
 from letterloom.schema import DEFAULT_SELF
@@ -85,9 +86,8 @@ def detect_commitments(df: DataFrame, *, self_email: str = DEFAULT_SELF,
 
 def commitments(df: DataFrame, *, self_email: str = DEFAULT_SELF) -> DataFrame:
     """One row per commitment found in correspondence."""
-    found = (detect_commitments(df.filter(V.in_correspondence()), self_email=self_email)
-             .select("id", "thread_id", "subject", "from_name", "date",
-                     F.explode("signals").alias("s")))
+    signals = detect_commitments(df.filter(V.in_correspondence()), self_email=self_email)
+    found = unnest(signals, "signals", "s", "id", "thread_id", "subject", "from_name", "date")
     return found.select(
         F.concat("id", F.lit(":"), F.left("s.evidence", F.lit(40))).alias("commitment_id"),
         F.col("id").alias("email_id"), "thread_id", "subject", "from_name", "date",

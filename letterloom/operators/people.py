@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from letterloom.functions.lists import reply_all_recipients
+from letterloom.functions.lists import reply_all_recipients, unnest
 from letterloom.functions.text import csv_to_array, display_name_from_address
 from letterloom.operators.views import by_name
 from letterloom.schema import DEFAULT_SELF
@@ -18,9 +18,9 @@ def address_union(df: DataFrame) -> DataFrame:
     """
     sender = df.select("date", "id", F.lit(0).alias("source"),
                        F.col("from_email").alias("email"), F.col("from_name").alias("name"))
-    listed = [df.select("date", "id", F.lit(rank).alias("source"),
-                        F.explode(csv_to_array(F.col(column))).alias("email"),
-                        F.lit(None).cast("string").alias("name"))
+    listed = [unnest(df, csv_to_array(F.col(column)), "email", "date", "id",
+                     F.lit(rank).alias("source")).withColumn(
+                         "name", F.lit(None).cast("string"))
               for rank, column in ((1, "to_emails"), (2, "cc_emails"))]
     return sender.unionByName(listed[0]).unionByName(listed[1]).filter(F.col("email") != "")
 
@@ -63,13 +63,11 @@ def suggest_contacts(people: DataFrame, typed: DataFrame, k: int = 6) -> DataFra
     lengths = (wanted.filter(F.char_length("token").between(1, 400))
                .agg(F.array_sort(F.collect_set(F.char_length("token")))).scalar())
     order = ["name", "email"]
-    grams = (people
-             .select(*order, F.lower("email").alias("e"), F.lower("name").alias("n"))
-             .select(*order, "e", "n", F.explode(lengths).alias("length"))
-             .select(*order, F.explode(F.array_distinct(F.concat(
-                 _substrings(F.col("e"), F.col("length")),
-                 _substrings(F.col("n"), F.col("length"))))).alias("token"))
-             .join(wanted, "token", "left_semi"))
+    sized = unnest(people.select(*order, F.lower("email").alias("e"),
+                                 F.lower("name").alias("n")), lengths, "length", "*")
+    parts = F.array_distinct(F.concat(_substrings(F.col("e"), F.col("length")),
+                                      _substrings(F.col("n"), F.col("length"))))
+    grams = unnest(sized, parts, "token", *order).join(wanted, "token", "left_semi")
     top = Window.partitionBy("token").orderBy(*order)
     matched = (grams.withColumn("rank", F.row_number().over(top))
                .filter(F.col("rank") <= k))

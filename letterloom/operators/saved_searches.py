@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from letterloom.functions.lists import unnest
 from letterloom.operators.views import FREE_TEXT_COLUMNS
 from letterloom.schema import FOLDERS
 
@@ -77,7 +78,7 @@ def _states_of(searches: DataFrame) -> DataFrame:
                & (~F.col("attachment") | bit(3))
                & (F.col("folder").isNull() | F.coalesce(named == F.col("folder"), F.lit(False))))
     states = F.sequence(F.lit(0), F.lit(N_STATES - 1))
-    return (searches.withColumn("state", F.explode(states)).filter(accepts)
+    return (unnest(searches, states, "state", "*").filter(accepts)
             .select("query_id", "state", "more", *[f"w_{f}" for f in TEXT_FIELDS]))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from letterloom.functions.dates import date_bucket, moment
 from letterloom.functions.intent import intent_label, with_category
+from letterloom.functions.lists import unnest
 from letterloom.functions.text import csv_to_array
 from letterloom.operators import views as V
 from letterloom.schema import (CATEGORIES, COUNTED_VIEWS, DATE_BUCKETS, DEFAULT_SELF,
@@ -164,7 +165,7 @@ def top_item_per_view(df: DataFrame, as_of, *,
 
 def label_counts(df: DataFrame) -> DataFrame:
     """One per occurrence, in every folder; a repeated label counts again."""
-    return (df.select(F.explode(csv_to_array(F.col("labels"))).alias("label"))
+    return (unnest(df, csv_to_array(F.col("labels")), "label")
             .groupBy("label").agg(F.count("*").alias("n")))
 
 
@@ -196,8 +197,7 @@ def common_labels(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Labels that all selected messages carry."""
     chosen = V.lookup(df, "id", ids.distinct()).select("id", "labels")
     n_chosen = chosen.agg(F.count("*")).scalar()
-    return (chosen.select(F.explode(F.array_distinct(csv_to_array(F.col("labels"))))
-                          .alias("label"))
+    return (unnest(chosen, F.array_distinct(csv_to_array(F.col("labels"))), "label")
             .groupBy("label").agg(F.count("*").alias("n"))
             .filter(F.col("n") == n_chosen).select("label"))
 

@@ -23,15 +23,23 @@ def parsed(replies: DataFrame) -> DataFrame:
             .select("email_id", "model", "ordinal", "content", "r.*"))
 
 
+def _is_text(column: str):
+    return F.coalesce(column, F.lit("")) != ""
+
+
+# Unusable replies are ranked NULL inside the aggregates instead of being filtered
+# out: a filter on parsed fields would move below the parsing and parse twice.
+
 def majority_vote(replies: DataFrame) -> DataFrame:
     """Intent most replies name, its share of the valid replies, and the reason of
     the first reply that named it."""
-    valid = parsed(replies).filter(F.coalesce("intent", F.lit("")) != "")
-    votes = valid.groupBy("email_id", "intent").agg(
+    votes = parsed(replies).groupBy("email_id", F.coalesce("intent", F.lit("")).alias("intent")
+                                    ).agg(
         F.count("*").alias("n"), F.min("ordinal").alias("first"),
         F.min_by(F.coalesce("reason", F.lit("")), "ordinal").alias("reason"))
+    named = votes.filter(F.col("intent") != "")
     best = F.struct(F.col("n"), (-F.col("first")).alias("first"))
-    return (votes.groupBy("email_id")
+    return (named.groupBy("email_id")
             .agg(F.max_by(F.struct("intent", "n", "reason"), best).alias("w"),
                  F.sum("n").alias("valid"))
             .select("email_id", F.col("w.intent").alias("intent"),
@@ -42,20 +50,19 @@ def majority_vote(replies: DataFrame) -> DataFrame:
 
 def best_reply(replies: DataFrame) -> DataFrame:
     """Most confident usable reply: it must summarise or suggest something."""
-    text = lambda c: F.coalesce(c, F.lit("")) != ""
-    usable = parsed(replies).filter(text("summary") | text("suggestedReply"))
-    rank = F.struct(F.coalesce("confidence", F.lit(0.3)).alias("c"),
-                    (-F.col("ordinal")).alias("o"))
+    usable = _is_text("summary") | _is_text("suggestedReply")
+    rank = F.when(usable, F.struct(F.coalesce("confidence", F.lit(0.3)).alias("c"),
+                                   (-F.col("ordinal")).alias("o")))
     kept = F.struct("model", F.coalesce("intent", F.lit("FYI")).alias("intent"),
                     F.col("summary"),
                     F.coalesce("confidence", F.lit(0.3)).alias("confidence"), "commitments")
-    return (usable.groupBy("email_id").agg(F.max_by(kept, rank).alias("b"))
-            .select("email_id", "b.*"))
+    return (parsed(replies).groupBy("email_id").agg(F.max_by(kept, rank).alias("b"))
+            .filter(F.col("b").isNotNull()).select("email_id", "b.*"))
 
 
 def first_reply(replies: DataFrame) -> DataFrame:
     """First non-empty reply in order of preference."""
-    return (replies.filter(F.coalesce("content", F.lit("")) != "").groupBy("email_id")
+    return (replies.filter(_is_text("content")).groupBy("email_id")
             .agg(F.min_by(F.struct("model", "content"), "ordinal").alias("r"))
             .select("email_id", "r.*"))
 
@@ -63,12 +70,12 @@ def first_reply(replies: DataFrame) -> DataFrame:
 def first_valid_score(replies: DataFrame) -> DataFrame:
     """First reply in order of preference whose score lies in 0..100."""
     score = F.floor(F.col("score") + 0.5).cast("int")
-    valid = parsed(replies).filter(F.col("score").between(0, 100))
+    rank = F.when(F.col("score").between(0, 100), F.col("ordinal"))
     kept = F.struct("model", score.alias("score"),
                     F.coalesce("reason", F.lit("")).alias("reasoning"),
                     F.coalesce("confidence", F.lit(0.7)).alias("confidence"))
-    return (valid.groupBy("email_id").agg(F.min_by(kept, "ordinal").alias("s"))
-            .select("email_id", "s.*")
+    return (parsed(replies).groupBy("email_id").agg(F.min_by(kept, rank).alias("s"))
+            .filter(F.col("s").isNotNull()).select("email_id", "s.*")
             .withColumn("level", priority_level(F.col("score"))))
 
 

@@ -353,3 +353,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ctes = ", ".join(f"{n} AS ({spark_sql(TABLES[n][1])})" for n in order)
     return spark.sql(f"WITH {ctes} SELECT * FROM {name}")
 
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream; ``ts`` as TIMESTAMP for watermarks."""
+    schema = source(spark, sf_dir, "events").schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+            .load(sf_dir))
+
+
+def stream_of(events: DataFrame, name: str) -> DataFrame:
+    """A derived table over a stream of events."""
+    view = f"letterloom_{name}_events"
+    events.createOrReplaceTempView(view)
+    text = TABLES[name][1].replace("@events@", view)
+    return events.sparkSession.sql(text.replace("AS TIMESTAMP)", "AS TIMESTAMP_NTZ)"))

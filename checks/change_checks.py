@@ -4,7 +4,8 @@ from letterloom.operators import links as L
 from letterloom.operators import mutate as M
 from letterloom.schema import FOLDERS, MAIL_COLUMNS
 from letterloom.sources import inbound as I
-from letterloom.sources.tables import with_intent
+from letterloom.sources.tables import mirror, rebuild_snapshot, with_intent
+from letterloom.streaming.sinks import job_dir
 from pyspark.sql import functions as F
 
 from checks.registry import AS_OF, NOW, OWN, SELF, check
@@ -143,6 +144,21 @@ def _(t):
     return with_intent(t.mail, self_email=SELF).select("id", "intent")
 
 
+@check("S6_rebuild_snapshot", f"""SELECT id, subject, body, date, folder,
+  {outcome('(' + rule_case() + ')', 0)} AS intent FROM mail""")
+def _(t):
+    rebuilt = rebuild_snapshot(t.mail, job_dir(t.spark, "rebuild"), self_email=SELF)
+    return rebuilt.select("id", "subject", "body", "date", "folder", "intent")
+
+
+@check("S7_mirror", """SELECT c.copy, n FROM (SELECT count(*) AS n FROM mail) AS m,
+  (VALUES (1), (2)) AS c(copy)""")
+def _(t):
+    folder = job_dir(t.spark, "mirror")
+    counts = mirror(t.mail, f"{folder}/1", f"{folder}/2")
+    return counts.select(F.right("path", F.lit(1)).cast("int").alias("copy"), "n")
+
+
 @check("U5_append_mail", f"""
 SELECT folder, count(*) AS n FROM (SELECT id, folder FROM mail
   UNION ALL SELECT id, folder FROM ({inbound_sql('inbound')}) AS x) AS u GROUP BY folder""",

@@ -51,8 +51,8 @@ TEMPLATES = [
     ("COMMITMENT", "Roadmap", "We will have the roadmap ready.",
      "<p>We will have the roadmap ready by end of month. "
      "Please review the table before Monday!</p>"),
-    ("REQUIRES_REPLY", "Contract copy", "Please send the signed contract.",
-     "<p>Please send the signed contract today. Thanks a lot for the help.</p>"),
+    ("REQUIRES_REPLY", "Permit copy", "Please send the parking permit.",
+     "<p>Please send the parking permit today. Thanks a lot for the help.</p>"),
     ("BUSINESS", "Minutes", "Minutes of the board",
      "<p>Minutes of the board are in the folder.</p>"),
     ("FYI", "", "Short note", "<p>Short note without a subject.</p>"),

@@ -15,6 +15,9 @@ from letterloom.schema import DEFAULT_SELF
 SECTIONS = {"needs_reply": 6, "waiting": 4, "commitments": 5, "receipts": 4}
 ACTION_CHARS = 120
 
+# Fixed value: the headline of an empty briefing.
+CAUGHT_UP = "You're all caught up — nothing needs your attention right now."
+
 
 def briefing_sections(df: DataFrame, as_of, *, self_email: str = DEFAULT_SELF) -> DataFrame:
     """Rows (section, rank, title, who, detail, age_days), newest first.
@@ -75,8 +78,7 @@ def briefing_headline(sections: DataFrame) -> DataFrame:
         F.col("waiting").cast("string"), F.lit(" waiting, "),
         _plural(F.col("commitments"), "commitment"), F.lit(", "),
         _plural(F.col("receipts"), "receipt"), F.lit("."))
-    caught_up = "You're all caught up — nothing needs your attention right now."
     return row.select(
-        F.when(count == 0, caught_up).otherwise(some).alias("headline"),
+        F.when(count == 0, CAUGHT_UP).otherwise(some).alias("headline"),
         F.concat(F.lit("Reply to "), F.col("lead.who"), F.lit(' — "'),
                  F.col("lead.title"), F.lit('".')).alias("first_action"))

@@ -37,11 +37,12 @@ def majority_vote(replies: DataFrame) -> DataFrame:
                                     ).agg(
         F.count("*").alias("n"), F.min("ordinal").alias("first"),
         F.min_by(F.coalesce("reason", F.lit("")), "ordinal").alias("reason"))
-    named = votes.filter(F.col("intent") != "")
-    best = F.struct(F.col("n"), (-F.col("first")).alias("first"))
-    return (named.groupBy("email_id")
+    named = F.col("intent") != ""
+    best = F.when(named, F.struct(F.col("n"), (-F.col("first")).alias("first")))
+    return (votes.groupBy("email_id")
             .agg(F.max_by(F.struct("intent", "n", "reason"), best).alias("w"),
-                 F.sum("n").alias("valid"))
+                 F.sum(F.when(named, F.col("n"))).alias("valid"))
+            .filter(F.col("w").isNotNull())
             .select("email_id", F.col("w.intent").alias("intent"),
                     F.col("w.n").alias("votes"),
                     (F.col("w.n") / F.col("valid")).alias("confidence"),

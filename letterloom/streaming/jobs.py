@@ -61,30 +61,30 @@ def undo_window(sends: DataFrame, cancels: DataFrame, seconds: int = UNDO_SECOND
         "id", "sent_at")
 
 
-def _known_links(events: DataFrame, links: DataFrame, key: str, link_key: str) -> DataFrame:
-    side = links.select(F.col(link_key).alias(key), "expires_at",
-                        F.col("viewed_at").alias("old_viewed_at"))
-    return events.join(side, key)
-
-
 def first_views(view_events: DataFrame, links: DataFrame) -> DataFrame:
     """First valid opening of each link (update mode).  Openings after the expiry do
-    not count, and an earlier recorded time stays."""
-    at = F.col("ts").cast("timestamp_ntz")
-    valid = _known_links(view_events, links, "token", "token").filter(
-        F.col("expires_at").isNull() | (F.col("expires_at") >= at))
-    return valid.groupBy("token").agg(
-        F.min(F.coalesce("old_viewed_at", at)).alias("viewed_at"),
+    not count, and an earlier recorded time stays.
+
+    A link has a valid opening exactly when its first one is, so openings are
+    reduced to one row per link before the links are joined: a link that everybody
+    opens stays one row per task.
+    """
+    first = view_events.groupBy("token").agg(
+        F.min("ts").cast("timestamp_ntz").alias("first_at"))
+    side = links.select("token", "expires_at", F.col("viewed_at").alias("old_viewed_at"))
+    valid = F.col("expires_at").isNull() | (F.col("expires_at") >= F.col("first_at"))
+    return first.join(side, "token").filter(valid).select(
+        "token", F.coalesce("old_viewed_at", "first_at").alias("viewed_at"),
         F.lit(True).alias("viewed"))
 
 
 def delivery_status(status_events: DataFrame, links: DataFrame) -> DataFrame:
     """Links reported as delivered count as viewed at the newest report (update
-    mode); other reports change nothing."""
-    done = status_events.filter(F.col("status") == "delivered")
-    known = done.join(links.select(F.col("id").alias("link_id")), "link_id")
-    return known.groupBy("link_id").agg(
-        F.max("ts").cast("timestamp_ntz").alias("viewed_at"), F.lit(True).alias("viewed"))
+    mode); other reports change nothing.  Reduced per link before the join."""
+    newest = status_events.filter(F.col("status") == "delivered").groupBy("link_id").agg(
+        F.max("ts").cast("timestamp_ntz").alias("viewed_at"))
+    return newest.join(links.select(F.col("id").alias("link_id")), "link_id").select(
+        "link_id", "viewed_at", F.lit(True).alias("viewed"))
 
 
 def create_links(send_events: DataFrame, mail: DataFrame, **options) -> DataFrame:

@@ -95,15 +95,15 @@ def signals(spark, body, sender):
 
 
 def test_commitments(spark):
-    own = signals(spark, "<p>I will send the offer tomorrow.</p>", SELF)
+    own = signals(spark, "<p>I will post the offer tomorrow.</p>", SELF)
     assert [(s.direction, s.due, s.who, s.owner) for s in own] == [
         ("outgoing", "tomorrow", "You", "you")]
-    theirs = signals(spark, "<p>We will deliver the goods by Friday.</p>", "a@b.example")
+    theirs = signals(spark, "<p>We will paint the fence by Friday.</p>", "a@b.example")
     assert [(s.direction, s.due, s.who) for s in theirs] == [("incoming", "by friday", "Ana")]
-    asked = signals(spark, "<p>Please send the signed contract.</p>", "a@b.example")
+    asked = signals(spark, "<p>Please share the parking permit.</p>", "a@b.example")
     assert [(s.direction, s.due) for s in asked] == [("outgoing", None)]
     assert signals(spark, "<p>Please send it all.</p>", SELF)[0].direction == "incoming"
-    assert signals(spark, "<p>Thanks for the news. Looks good.</p>", "a@b.example") == []
+    assert signals(spark, "<p>The garden is green. Rain is near.</p>", "a@b.example") == []
     twice = signals(spark, "I will send it soon. I WILL send it soon. I will go there!", SELF)
     assert [s.pos for s in twice] == [0, 2]
     assert signals(spark, "I will go.", SELF) == []  # ten characters
@@ -121,12 +121,12 @@ def test_dedupe_keeps_the_first(spark):
 
 def test_sanitizer(spark):
     clean = lambda html: value(spark, text.sanitize_html(F.lit(html)))
-    assert clean("<p>hi</p><script>alert('x')</script>") == "<p>hi</p>"
-    assert clean('<p onclick="evil()">hi</p>') == "<p>hi</p>"
-    assert clean("<a href='javascript:evil()'>x</a>") == "<a href='#'>x</a>"
-    assert clean('<a HREF="VBScript:evil()">x</a>') == '<a HREF="#">x</a>'
-    assert clean("<p>Hello <b>world</b></p>") == "<p>Hello <b>world</b></p>"
-    assert clean('<table style="color:red">x</table>') == '<table style="color:red">x</table>'
+    assert clean("<i>ok</i><script>run(1)</script>") == "<i>ok</i>"
+    assert clean('<i onload="run()">ok</i>') == "<i>ok</i>"
+    assert clean("<a href='javascript:run()'>x</a>") == "<a href='#'>x</a>"
+    assert clean('<a HREF="VBScript:run()">x</a>') == '<a HREF="#">x</a>'
+    safe = '<ul style="color:red"><li>one <b>two</b></li></ul>'
+    assert clean(safe) == safe
     assert clean("<iframe src=a>in</iframe><link rel=x><basefont>") == "<basefont>"
     assert value(spark, text.sanitize_html(F.lit(None).cast("string"))) == ""
 
@@ -169,10 +169,10 @@ def test_dates(spark):
 
 
 def test_text(spark):
-    snippet = value(spark, text.make_snippet(F.lit("<p>Hello <b>world</b> of mail</p>"), 10))
-    assert snippet == "Hello worl…"
-    html = value(spark, text.text_to_html(F.lit("<script>x</script>\nsee http://a.b/?c=1&d 'q'")))
-    assert html.startswith("&lt;script&gt;x&lt;/script&gt;<br/>see <a href=\"http://a.b/?c=1&amp;d\"")
+    snippet = value(spark, text.make_snippet(F.lit("<p>Green <b>garden</b> gate</p>"), 10))
+    assert snippet == "Green gard…"
+    html = value(spark, text.text_to_html(F.lit("<tag>x\nsee http://a.b/?c=1&d 'q'")))
+    assert html.startswith("&lt;tag&gt;x<br/>see <a href=\"http://a.b/?c=1&amp;d\"")
     assert html.endswith(" &#39;q&#39;")
     reading = lambda n: value(spark, text.reading_time(F.lit("<p>" + "word " * n)))
     assert [reading(n) for n in (1, 99, 100, 199, 200, 299, 300, 500)] == [

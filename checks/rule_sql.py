@@ -129,7 +129,7 @@ def sanitize(text: str) -> str:
     for tag in lx.DANGEROUS_TAGS:
         drop(rf"<{tag}\b[^>]*>(?s:.*?)</{tag}>")
     drop(r"<(?:" + "|".join(lx.DANGEROUS_TAGS) + r")\b[^>]*/?>")
-    drop(rf"{SPACE}+on\w+{SPACE}*={SPACE}*" + r"""(?:"[^"]*"|'[^']*'|[^\t\n\x0B\f\r \x{A0}>]+)""")
+    drop(rf"""{SPACE}+on\w+{SPACE}*={SPACE}*(?:"[^"]*"|'[^']*'|{lx.NOT_SPACE_OR_GT}+)""")
     drop(rf'({lx.URL_ATTRIBUTE}){SPACE}*={SPACE}*"(?:{lx.SCRIPT_URL})[^"]*"', by=r'\1="#"')
     drop(rf"({lx.URL_ATTRIBUTE}){SPACE}*={SPACE}*'(?:{lx.SCRIPT_URL})[^']*'", by=r"\1='#'")
     return out

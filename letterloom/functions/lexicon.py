@@ -19,10 +19,9 @@ SPACE = (
     r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}"
     r"\x{3000}\x{FEFF}]"
 )
-NOT_SPACE_OR_LT = (
-    r"[^\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}"
-    r"\x{3000}\x{FEFF}<]"
-)
+SPACE_OR_COMMA = "[," + SPACE[1:]
+NOT_SPACE_OR_LT = "[^<" + SPACE[1:]
+NOT_SPACE_OR_GT = "[^>" + SPACE[1:]
 
 # Phrases of the intent rules, matched as whole words.
 QUESTION = (

@@ -99,7 +99,7 @@ def sanitize_html(html: Column) -> Column:
         (rf"(?i)<({tags})(?![A-Za-z0-9_])[^>]*>[\s\S]*?</\1>", ""),
         (rf"(?i)<(?:{tags})(?![A-Za-z0-9_])[^>]*/?>", ""),
         (rf"""(?i){lx.SPACE}+on\w+{lx.SPACE}*={lx.SPACE}*"""
-         rf"""(?:"[^"]*"|'[^']*'|[^\t\n\x0B\f\r \x{{A0}}>]+)""", ""),
+         rf"""(?:"[^"]*"|'[^']*'|{lx.NOT_SPACE_OR_GT}+)""", ""),
         (rf'(?i)({lx.URL_ATTRIBUTE}){lx.SPACE}*={lx.SPACE}*"(?:{lx.SCRIPT_URL})[^"]*"',
          '$1="#"'),
         (rf"(?i)({lx.URL_ATTRIBUTE}){lx.SPACE}*={lx.SPACE}*'(?:{lx.SCRIPT_URL})[^']*'",

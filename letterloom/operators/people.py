@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from letterloom.functions import lexicon as lx
 from letterloom.functions.lists import reply_all_recipients, unnest
 from letterloom.functions.text import csv_to_array, display_name_from_address
 from letterloom.operators.views import by_name
@@ -37,7 +38,7 @@ def contacts(df: DataFrame, *, self_email: str = DEFAULT_SELF) -> DataFrame:
 
 def last_token(typed):
     """What is being typed: the text after the last comma or space."""
-    parts = F.filter(F.split(F.lower(typed), r"[,\s]+"), lambda p: p != "")
+    parts = F.filter(F.split(F.lower(typed), lx.SPACE_OR_COMMA + "+"), lambda p: p != "")
     return F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
 
 

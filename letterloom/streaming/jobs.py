@@ -6,6 +6,8 @@ TIMESTAMP_NTZ in UTC.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,16 +32,20 @@ def stream_inbound(raw: DataFrame, *, self_email: str = DEFAULT_SELF,
     return ingest_inbound(once, F.col(arrived).cast("timestamp_ntz"), self_email=self_email)
 
 
-def deliver_due_batch(mail: DataFrame, delivered: DataFrame | None = None):
+def deliver_due_batch(mail: DataFrame,
+                      delivered: Callable[[], DataFrame | None] = lambda: None):
     """For ``changes_to``: the scheduled messages due at the newest tick of a batch.
 
-    ``delivered`` holds earlier deliveries; they are not repeated.
+    ``delivered`` returns the deliveries known when the batch starts; they are not
+    repeated.  Without it a message due twice is reported twice, with the same
+    outcome.
     """
     def change(ticks: DataFrame) -> DataFrame:
         now = ticks.agg(F.max("ts").cast("timestamp_ntz")).scalar()
         due = mail.filter(F.coalesce(V.due_scheduled(now), F.lit(False)))
-        if delivered is not None:
-            due = due.join(delivered.select("id"), "id", "left_anti")
+        known = delivered()
+        if known is not None:
+            due = due.join(known.select("id"), "id", "left_anti")
         return due.select("id", F.lit("SENT").alias("folder"), now.alias("delivered_at"))
     return change
 

@@ -26,7 +26,7 @@ from letterloom.operators import threads as T  # noqa: E402
 from letterloom.operators import views as V  # noqa: E402
 from letterloom.operators import votes  # noqa: E402
 from letterloom.operators.saved_searches import match_saved_searches  # noqa: E402
-from letterloom.sources.tables import load_mail, write_version  # noqa: E402
+from letterloom.sources.tables import load_mail, with_hints, write_version  # noqa: E402
 from letterloom.streaming.jobs import stream_inbound  # noqa: E402
 from letterloom.streaming.sinks import append_to, job_dir  # noqa: E402
 
@@ -81,8 +81,9 @@ def main() -> None:
     t = Tables(spark, sf_dir)
     folder = job_dir(spark, "bench")
     # Spread before writing, so that the stored table has enough files for all cores.
-    write_version(t.mail.repartition(4 * int(cpus)), f"{folder}/mail", sort_by_date=False)
-    mail = load_mail(spark, f"{folder}/mail")
+    spread = with_hints(t.mail.repartition(4 * int(cpus)))
+    write_version(spread, f"{folder}/mail", sort_by_date=False)
+    mail = load_mail(spark, f"{folder}/mail", hints=True)
     t.model_replies.repartition(4 * int(cpus)).write.parquet(f"{folder}/replies")
     replies = spark.read.parquet(f"{folder}/replies")
 

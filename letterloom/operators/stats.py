@@ -100,7 +100,8 @@ def folder_counts(df: DataFrame) -> DataFrame:
     return _rows_of(one_row, "folder", cols, FOLDERS)
 
 
-def counted_views(as_of, self_email: str) -> dict[str, Column]:
+def counted_views(as_of, self_email: str, question: Column | None = None
+                  ) -> dict[str, Column]:
     """Membership of the views that carry a badge.
 
     Here every smart view hides snoozed mail, and starred or important mail is
@@ -112,7 +113,7 @@ def counted_views(as_of, self_email: str) -> dict[str, Column]:
         "NOW": (F.col("folder") == "INBOX") & V.needs_attention(),
         "REPLY": (~own & (F.col("intent") == "REQUIRES_REPLY")
                   & V.in_folders("INBOX", "ARCHIVE")),
-        "WAITING": own & (F.col("folder") == "SENT") & V.awaits_answer(),
+        "WAITING": own & (F.col("folder") == "SENT") & V.awaits_answer(question),
         "RECEIPTS": V.in_correspondence() & V.about_purchase(),
         "SUBSCRIPTIONS": V.in_folders("INBOX", "ARCHIVE") & V.about_subscription(),
     }
@@ -134,7 +135,7 @@ def _newest_in(condition: Column) -> Column:
 
 def view_summary(df: DataFrame, as_of, *, self_email: str = DEFAULT_SELF) -> DataFrame:
     """Count and newest titled item of every counted view, in one pass."""
-    rules = counted_views(as_of, self_email)
+    rules = counted_views(as_of, self_email, V.asks_question(df))
     smart = [v.upper() for v in V.SMART_VIEWS]
     no_item = F.lit(None).cast("struct<id:string,subject:string,from_name:string>")
     # Conditions first, in a projection, so that count and newest item share them.
@@ -150,7 +151,7 @@ def view_summary(df: DataFrame, as_of, *, self_email: str = DEFAULT_SELF) -> Dat
 
 
 def view_counts(df: DataFrame, as_of, *, self_email: str = DEFAULT_SELF) -> DataFrame:
-    rules = counted_views(as_of, self_email)
+    rules = counted_views(as_of, self_email, V.asks_question(df))
     one_row = df.agg(*[F.count_if(rules[v]).alias(v) for v in COUNTED_VIEWS])
     return _rows_of(one_row, "view", {"n": COUNTED_VIEWS}, COUNTED_VIEWS)
 

@@ -77,7 +77,7 @@ def thread_of(df: DataFrame, ids: DataFrame) -> DataFrame:
     return V.thread_order(df.join(wanted, "thread_id", "left_semi"))
 
 
-def thread_position(df: DataFrame, slice_by: str = "hour") -> DataFrame:
+def thread_position(df: DataFrame, slice_by: str = "minute") -> DataFrame:
     """Position of each message in its thread, thread size, and the flags made of
     them.
 

@@ -54,8 +54,17 @@ def needs_attention() -> Column:
             | F.col("intent").isin(ATTENTION_INTENTS))
 
 
-def awaits_answer() -> Column:
-    return (F.col("intent") == "COMMITMENT") | F.col("body").contains("?")
+def asks_question(df: DataFrame | None = None) -> Column:
+    """Does the body hold a question mark?  Read from the stored hint when ``df`` has
+    it, so that the widest column stays on disk."""
+    if df is not None and "has_question" in df.columns:
+        return F.col("has_question")
+    return F.col("body").contains("?")
+
+
+def awaits_answer(question: Column | None = None) -> Column:
+    question = asks_question() if question is None else question
+    return (F.col("intent") == "COMMITMENT") | question
 
 
 def about_purchase() -> Column:
@@ -96,10 +105,11 @@ def label_view(label: str, as_of, exact: bool = False) -> Column:
 
 
 def smart_view(name: str, as_of, *, self_email: str = DEFAULT_SELF,
-               strict_list: bool = False) -> Column:
+               strict_list: bool = False, question: Column | None = None) -> Column:
     """One of now, reply, waiting, receipts, subscriptions.
 
-    ``strict_list`` keeps the owner's own mail in ``reply``.
+    ``strict_list`` keeps the owner's own mail in ``reply``; ``question`` replaces the
+    search for a question mark in the body.
     """
     inbox_or_archive = in_folders("INBOX", "ARCHIVE")
     if name == "now":
@@ -109,7 +119,7 @@ def smart_view(name: str, as_of, *, self_email: str = DEFAULT_SELF,
                   & not_snoozed(as_of))
         return wanted if strict_list else wanted & ~is_own(self_email)
     if name == "waiting":
-        return (F.col("folder") == "SENT") & awaits_answer()
+        return (F.col("folder") == "SENT") & awaits_answer(question)
     if name == "receipts":
         return in_correspondence() & not_snoozed(as_of) & about_purchase()
     if name == "subscriptions":
@@ -120,11 +130,13 @@ def smart_view(name: str, as_of, *, self_email: str = DEFAULT_SELF,
 def view_condition(as_of, *, view: str | None = None, snoozed_only: bool = False,
                    starred: bool = False, important: bool = False,
                    label: str | None = None, folder: str | None = None,
-                   self_email: str = DEFAULT_SELF, strict_list: bool = False) -> Column:
+                   self_email: str = DEFAULT_SELF, strict_list: bool = False,
+                   question: Column | None = None) -> Column:
     """The most specific request wins: smart view, snoozed, starred, important,
     label, folder, else the inbox."""
     if view in SMART_VIEWS:
-        return smart_view(view, as_of, self_email=self_email, strict_list=strict_list)
+        return smart_view(view, as_of, self_email=self_email, strict_list=strict_list,
+                          question=question)
     if snoozed_only:
         return snoozed_view(as_of)
     if starred:
@@ -138,7 +150,7 @@ def view_condition(as_of, *, view: str | None = None, snoozed_only: bool = False
 
 def mail_view(df: DataFrame, as_of, *, unread: bool = False, **request) -> DataFrame:
     """Rows of the requested view; ``unread`` narrows before any limit."""
-    rows = df.filter(view_condition(as_of, **request))
+    rows = df.filter(view_condition(as_of, question=asks_question(df), **request))
     return unread_only(rows) if unread else rows
 
 
@@ -219,6 +231,7 @@ def search(df: DataFrame, terms: Sequence[Term], as_of, **request) -> DataFrame:
     """All terms over a view.  An ``in:`` term replaces the view's folder test."""
     folders = [v.upper() for f, v in terms if f == "in" and v.upper() in FOLDERS]
     conditions = [c for c in (term_condition(f, v) for f, v in terms) if c is not None]
+    request = {"question": asks_question(df), **request}
     if folders:
         base = _without_folder(as_of, folders[-1], **request)
     else:
@@ -232,7 +245,7 @@ def _without_folder(as_of, folder: str, **request) -> Column:
     view = request.get("view")
     if view in SMART_VIEWS:
         extra = {"now": needs_attention(), "reply": F.col("intent") == "REQUIRES_REPLY",
-                 "waiting": awaits_answer(), "receipts": about_purchase(),
+                 "waiting": awaits_answer(request.get("question")), "receipts": about_purchase(),
                  "subscriptions": about_subscription()}[view]
         if view == "reply" and not request.get("strict_list"):
             extra = extra & ~is_own(request.get("self_email", DEFAULT_SELF))

@@ -28,6 +28,8 @@ CENTER_COLUMNS = ["id", "folder", "is_read", "is_starred", "is_important", "labe
 
 
 def _base(mail: DataFrame, columns: list[str], keep: bool) -> DataFrame:
+    if "has_question" in mail.columns:
+        columns = [c for c in columns if c != "body"] + ["has_question"]
     pruned = mail.select(*columns)
     return pruned.persist(StorageLevel.MEMORY_AND_DISK) if keep else pruned
 

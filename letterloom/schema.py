@@ -42,6 +42,9 @@ MAIL = T.StructType(
 )
 MAIL_COLUMNS = [f.name for f in MAIL.fields]
 
+# Derived at ingest when asked for: spares reports from reading bodies.
+HINTS = T.StructType([T.StructField("has_question", T.BooleanType(), False)])
+
 # Everything a list needs: the mail row without its body, copies and bookkeeping.
 LIST_COLUMNS = [
     "id", "thread_id", "from_name", "from_email", "to_emails", "subject", "snippet",

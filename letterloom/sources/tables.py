@@ -8,15 +8,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from letterloom.functions.intent import classify_intent
-from letterloom.schema import DEFAULT_SELF, MAIL, MAIL_COLUMNS
+from letterloom.operators.views import asks_question
+from letterloom.schema import DEFAULT_SELF, HINTS, MAIL, MAIL_COLUMNS
 
 
 def load_mail(spark: SparkSession, path: str, columns: list[str] | None = None,
-              fmt: str = "parquet") -> DataFrame:
-    """The mail table with its declared schema; only ``columns`` are read."""
-    return spark.read.schema(MAIL).format(fmt).load(path).select(*(columns or MAIL_COLUMNS))
+              fmt: str = "parquet", hints: bool = False) -> DataFrame:
+    """The mail table with its declared schema; only ``columns`` are read.  ``hints``
+    adds the columns :func:`with_hints` stored."""
+    schema = StructType(MAIL.fields + HINTS.fields) if hints else MAIL
+    return spark.read.schema(schema).format(fmt).load(path).select(
+        *(columns or schema.fieldNames()))
 
 
 def load_text_layout(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -51,12 +56,17 @@ def with_intent(df: DataFrame, *, self_email: str = DEFAULT_SELF) -> DataFrame:
             .withColumn("intent", F.col("signal.intent")).drop("signal"))
 
 
-def rebuild_snapshot(src: DataFrame, path: str, *, self_email: str = DEFAULT_SELF
-                     ) -> DataFrame:
+def with_hints(df: DataFrame) -> DataFrame:
+    """Store what reports would otherwise read the body for."""
+    return df.withColumn("has_question", F.coalesce(asks_question(), F.lit(False)))
+
+
+def rebuild_snapshot(src: DataFrame, path: str, *, self_email: str = DEFAULT_SELF,
+                     hints: bool = False) -> DataFrame:
     """Reload the table from a source with intents filled in; returns the new version."""
     rows = with_intent(src, self_email=self_email).select(*MAIL_COLUMNS)
-    write_version(rows, path)
-    return load_mail(src.sparkSession, path)
+    write_version(with_hints(rows) if hints else rows, path)
+    return load_mail(src.sparkSession, path, hints=hints)
 
 
 def mirror(df: DataFrame, first: str, second: str) -> DataFrame:

@@ -269,3 +269,13 @@ def test_storage_reads_what_is_needed(spark, mail, folder):
     late = V.mail_view(stored, AS_OF, starred=True).select("id")
     plan = late._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(is_starred,true)" in plan and "body" not in plan.split("ReadSchema")[1]
+
+
+def test_hints_spare_the_body(spark, mail, folder):
+    stored = rebuild_snapshot(mail, f"{folder}/h", hints=True)
+    for report in (lambda df: S.view_summary(df, AS_OF, self_email=SELF),
+                   lambda df: V.mail_view(df, AS_OF, view="waiting").select("id"),
+                   lambda df: reports.command_center(df, AS_OF)["views"]):
+        plan = report(stored)._jdf.queryExecution().executedPlan().toString()
+        assert "body" not in plan.split("ReadSchema")[1]
+        assert rows(report(stored)) == rows(report(stored.drop("has_question")))

@@ -1,5 +1,7 @@
 """Streams over the events, run to the end of the input and compared with SQL."""
 
+from contextlib import contextmanager
+
 from letterloom.operators import mutate
 from letterloom.streaming import jobs as J
 from letterloom.streaming import stateful as ST
@@ -8,10 +10,34 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from checks.change_checks import DELIVERED, inbound_sql
-from checks.registry import AS_OF, CORR, NOW, OWN, SELF, check
+from checks.registry import AS_OF, SELF
+from checks.registry import check as register
 from checks.stat_checks import DAILY, LABEL_COUNTS, VIEW_RULES
 
 
+@contextmanager
+def _few_partitions(spark):
+    """A stream keeps its number of state partitions for life.  On a local master the
+    default of 200 only costs time; a cluster's setting is left alone."""
+    key = "spark.sql.shuffle.partitions"
+    before, cores = spark.conf.get(key), spark.sparkContext.defaultParallelism
+    if spark.sparkContext.master.startswith("local") and int(before) > cores:
+        spark.conf.set(key, str(cores))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def check(name, sql, needs=("mail",)):
+    def wrap(fn):
+        def run(t):
+            with _few_partitions(t.spark):
+                return fn(t)
+        return register(name, sql, needs)(run)
+    return wrap
+
+
 def _ts():
     return F.col("ts").cast("timestamp").alias("ts")
 

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from checks.registry import ORACLES, QUERIES
 from checks.compare import connect, differences
 
 DATA = "/root/testdata/sf0.001"
@@ -13,15 +14,15 @@ def duck():
     return connect(DATA)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
-    df = entry.queries()[name](spark, DATA)
-    found = [d for d in differences(duck, df, entry.oracle_sql()[name]) if d != "no rows"]
+    df = QUERIES[name](spark, DATA)
+    found = [d for d in differences(duck, df, ORACLES[name]) if d != "no rows"]
     assert not found
 
 
 def test_all_queries_have_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):

@@ -2,14 +2,15 @@
 
 import pytest
 
-import __spark_entry__ as entry
+import __spark_entry__  # noqa: F401
+from checks.registry import QUERIES
 from checks import fixtures as fx
 from letterloom.operators import stats as S
 from letterloom.operators import threads as T
 
 DATA = "/root/testdata/sf0.001"
 # These run a stream or write a table before they return, so their plan is a scan.
-STREAMS = tuple(n for n in entry.queries() if n[0] == "T" and not n.endswith("_batch"))
+STREAMS = tuple(n for n in QUERIES if n[0] == "T" and not n.endswith("_batch"))
 
 
 def plan_of(df):
@@ -17,9 +18,9 @@ def plan_of(df):
 
 
 @pytest.mark.parametrize(
-    "name", sorted(set(entry.queries()) - set(STREAMS) - {"S6_rebuild_snapshot", "S7_mirror"}))
+    "name", sorted(set(QUERIES) - set(STREAMS) - {"S6_rebuild_snapshot", "S7_mirror"}))
 def test_no_nested_loops_and_no_python(spark, name):
-    plan = plan_of(entry.queries()[name](spark, DATA))
+    plan = plan_of(QUERIES[name](spark, DATA))
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas"):
         assert word not in plan, word
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm import pii, rules, secrets
+from letterloom.llm import pii, rules, secrets, simhash
 from letterloom.llm.common import table
 from letterloom.llm.spans import joined
 
@@ -61,3 +61,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[_count("secrets", k) for k in secrets.BASE],
         F.sha2(joined(_of("secrets", *secrets.BASE)), 256).alias("base_sha256"),
         joined(F.col("secrets")).alias("spans"))
+
+
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"),
+                         "component_id")

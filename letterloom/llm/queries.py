@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm import pii, rules, secrets, simhash
+from letterloom.llm import pii, rules, secrets, simhash, vectors
 from letterloom.llm.common import table
 from letterloom.llm.spans import joined
 
@@ -69,3 +69,30 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"),
                          "component_id")
+
+
+@query
+def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of near-equal vectors."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op2_embedding_neardup"] = """
+WITH RECURSIVE ok AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(id, root) AS (
+  SELECT vec_id, vec_id FROM embeddings WHERE vec_id IS NOT NULL
+  UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.id),
+low AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(low.root, e.vec_id) AS component_id,
+       coalesce(e.vec_id = low.root, true) AS kept
+FROM embeddings e LEFT JOIN low ON low.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm import pii, rules, secrets, simhash, vectors
+from letterloom.llm import lines, pii, rules, secrets, simhash, vectors
 from letterloom.llm.common import table
 from letterloom.llm.spans import joined
 
@@ -96,3 +96,9 @@ SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(low.root, e.vec_id) AS co
        coalesce(e.vec_id = low.root, true) AS kept
 FROM embeddings e LEFT JOIN low ON low.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with a word: the first line of its group, and whether it stays."""
+    return lines.line_groups(table(spark, sf_dir, "documents")).drop("rid")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm import lines, pii, rules, secrets, simhash, vectors
-from letterloom.llm.common import table
+from letterloom.llm import lines, pii, quality, rules, secrets, simhash, vectors
+from letterloom.llm.common import held_out, table
 from letterloom.llm.spans import joined
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,20 @@ FROM embeddings e LEFT JOIN low ON low.id = e.vec_id LEFT JOIN n ON n.a = e.vec_
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line with a word: the first line of its group, and whether it stays."""
     return lines.line_groups(table(spark, sf_dir, "documents")).drop("rid")
+
+
+def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Texts with the quality label of their document, held-out documents left out."""
+    known = labels.select("doc_id", F.col("quality").alias("label"))
+    return docs.select("doc_id", "text").where(~held_out()).join(known, "doc_id").select(
+        "text", "label")
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality.train(labelled_documents(docs, table(spark, sf_dir, "labels")))
+    return quality.scored(docs, weights).select(
+        "doc_id", held_out().alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm import lines, pii, quality, rules, secrets, simhash, vectors
+from letterloom.llm import langid, lines, pii, quality, rules, secrets, simhash, vectors
 from letterloom.llm.common import held_out, table
 from letterloom.llm.spans import joined
 
@@ -119,3 +119,12 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, weights).select(
         "doc_id", held_out().alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, from the languages of its words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(~held_out()).select("text", "lang"))
+    return langid.predicted(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -13,8 +13,10 @@ from letterloom.llm.arrays import flat, forest
 from letterloom.llm.common import groups_of_links, let, stored, whole_text, words_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-TOP_BITS = 12      # the part of the trie that deals out work has at most 4,096 leaves
-LEAF = 8_192       # a leaf above that depth is split while it holds more fingerprints
+# The part of the trie that deals out work: at least 2**MIN_BITS and at most 2**TOP_BITS
+# leaves; between them a leaf is split only while it holds more than LEAF fingerprints,
+# because every level sends each fingerprint to more pairs of leaves.
+MIN_BITS, TOP_BITS, LEAF = 6, 12, 1 << 20
 CHUNK = 1 << 18    # node pairs that a task expands at once
 
 
@@ -116,7 +118,7 @@ def _top_of_trie(counts: dict[int, int]) -> list[tuple[int, int]]:
         prefix, bits, below = todo.pop()
         if not below:
             continue
-        if bits == TOP_BITS or sum(n for _, n in below) <= LEAF:
+        if bits == TOP_BITS or bits >= MIN_BITS and sum(n for _, n in below) <= LEAF:
             leaves.append((prefix, bits))
             continue
         shift = TOP_BITS - bits - 1

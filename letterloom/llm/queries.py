@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm import langid, lines, pii, quality, rules, secrets, simhash, vectors
+from letterloom.llm import langid, lines, mixing, pii, quality, rules, secrets, simhash, vectors
 from letterloom.llm.common import held_out, table
 from letterloom.llm.spans import joined
 
@@ -128,3 +128,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(docs.where(~held_out()).select("text", "lang"))
     return langid.predicted(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents: a row for every time that a document is read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mixed(docs, columns=["doc_id", "source"], order=True)

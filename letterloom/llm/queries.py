@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm import langid, lines, mixing, pii, quality, rules, secrets, simhash, vectors
+from letterloom.llm import (langid, lines, mixing, pieces, pii, quality, rules, secrets,
+                            simhash, vectors)
 from letterloom.llm.common import held_out, table
 from letterloom.llm.spans import joined
 
+# Vocabulary file of a public tokenizer.
+PIECES = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -135,3 +140,19 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents: a row for every time that a document is read."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mixed(docs, columns=["doc_id", "source"], order=True)
+
+
+@query
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document by the model's own method and by Viterbi, each decoded
+    again and compared with the text."""
+    vocab = pieces.load_vocabulary(PIECES)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    own = pieces.decoded(pieces.encoded(docs, vocab), vocab, out="back")
+    both = pieces.encoded(own, vocab, out="viterbi", method=pieces.UNIGRAM)
+    done = pieces.decoded(both, vocab, ids="viterbi", out="viterbi back")
+    same = lambda c: F.col(c).eqNullSafe(F.translate("text", pieces.SPACE, " "))
+    return done.select(
+        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), "ids",
+        same("back").alias("round_trip"), F.coalesce(F.size("viterbi"), F.lit(0)).alias("n_viterbi"),
+        same("viterbi back").alias("viterbi_round_trip"))

@@ -8,30 +8,35 @@ from pyspark.sql import functions as F
 from letterloom.llm.common import groups_of_links, let, stored, whole_text
 
 SHINGLE = 5         # characters of a shingle that similarity is measured on
-ANCHORED = 10       # characters of a signature shingle of a long line
+ANCHORED = 12       # characters of a signature shingle of a long line
 SHORT, LONG = 125, 100  # lines up to SHORT are signed at every character, lines from
                         # LONG on at word starts; in between both ways, so that
                         # similar lines on either side of a limit share a way
-KEYS = 6            # band keys of one signature, each of ROWS minima
-ROWS = 2
+# Band keys of a signature, and the minima that make one key: the short way has common
+# shingles and takes three, the long way has rarer ones and takes two.
+KEYS, ROWS = (10, 8), (3, 2)
+ROUNDS = 3          # leaders that a bucket is compared with before all its other pairs
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
 def shingles(line: Column, size: int = SHINGLE) -> Column:
-    """All runs of ``size`` characters; a shorter line is its own shingle."""
-    return F.when(F.char_length(line) <= size, F.array(line)).otherwise(F.transform(
-        F.sequence(F.lit(1), F.char_length(line) - size + 1),
-        lambda i: F.substring(line, i, F.lit(size))))
+    """All runs of ``size`` characters (by ``size`` shifted readings, so that long lines
+    take linear time); a shorter line is its own shingle."""
+    return F.when(F.char_length(line) <= size, F.array(line)).otherwise(F.concat(*[
+        F.regexp_extract_all(F.substring(line, k + 1, 1 << 30), F.lit("(?s).{%d}" % size), 0)
+        for k in range(size)]))
 
 
 def band_keys(hashed: Column, way: int) -> Column:
-    """Keys of a set of shingle hashes: the minima in order, ``ROWS`` neighbours hashed
-    together from each of the first ``KEYS`` places. Two sets share a key when neighbours
-    in the order of their union lie in both, at similarity s with chance s**ROWS each."""
+    """Keys of a set of shingle hashes: the minima in order, neighbours hashed together
+    from each of the first places. Two sets share a key when neighbours in the order of
+    their union lie in both, at similarity s with chance s**ROWS each."""
+    rows, last = ROWS[way], KEYS[way] - 1
+
     def keys(low):
         return F.transform(
-            F.sequence(F.lit(0), F.least(F.lit(KEYS - 1), F.greatest(F.size(low) - ROWS, F.lit(0)))),
-            lambda i: F.xxhash64(F.lit(way), F.slice(low, i + 1, ROWS)))
+            F.sequence(F.lit(0), F.least(F.lit(last), F.greatest(F.size(low) - rows, F.lit(0)))),
+            lambda i: F.xxhash64(F.lit(way), F.slice(low, i + 1, rows)))
     return let(F.sort_array(F.array_distinct(hashed)), keys)
 
 
@@ -67,23 +72,60 @@ def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         .where(F.col("line").rlike(HAS_WORD))
 
 
-def similar(pairs: DataFrame, docs: DataFrame, places: DataFrame, least: float,
-            doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pairs ``(a, b)`` of line keys whose lines are similar. One occurrence of each
-    line that takes part is fetched from its document."""
-    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+def line_texts(wanted: DataFrame, places: DataFrame, docs: DataFrame, doc_id: str,
+               text: str) -> DataFrame:
+    """``(h, line)`` of the wanted line keys ``h``, from one occurrence of each."""
     found = places.join(wanted, "h").groupBy("h").agg(
         F.min(F.struct("rid", "line_no")).alias("at")).groupBy("at.rid").agg(
         F.collect_list(F.struct("h", "at.line_no")).alias("take"))  # lines of one document
     lines = docs.select(row_key(doc_id, text).alias("rid"), F.col(text).alias("t")).join(
-        found, "rid").select(F.split("t", "\n").alias("lines"), F.explode("take").alias("k")).select(
-        "k.h", F.get("lines", F.col("k.line_no")).alias("line"))
-    lines = stored(lines.dropDuplicates(["h"]), "lines")
+        found, "rid").select(F.split("t", "\n").alias("lines"), F.explode("take").alias("k"))
+    return lines.select("k.h", F.get("lines", F.col("k.line_no")).alias("line")).dropDuplicates(["h"])
+
+
+def similar(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
+    """The pairs ``(a, b)`` of line keys whose lines are similar."""
     return pairs.join(lines.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a") \
         .join(lines.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b") \
         .where(jaccard_at_least(F.col("line_a"), F.col("line_b"), least)).select("a", "b")
 
 
+def similar_lines(shared: DataFrame, lines: DataFrame, least: float) -> DataFrame:
+    """``(id, root)`` of lines ``h`` that share a ``key`` and hang together by similar pairs.
+
+    In each of ``ROUNDS`` rounds every bucket that still holds several groups has a leader
+    (the smallest under the round's own order), and all members outside its group are
+    compared with it. That joins most families of near-equal lines with few comparisons.
+    At last all pairs of one bucket in different groups are compared, so no link between
+    two groups is lost.
+    """
+    spark = shared.sparkSession
+    nothing = spark.createDataFrame([], "a bigint, b bigint")
+    tested, groups = nothing, spark.createDataFrame([], "id bigint, root bigint")
+    for turn in range(ROUNDS + 1):
+        rooted = shared.join(groups.withColumnRenamed("id", "h"), "h", "left").select(
+            "key", "h", F.coalesce("root", "h").alias("root"))
+        heads = rooted.groupBy("key").agg(
+            F.min("root").alias("r"), F.max("root").alias("s"),
+            F.min_by(F.struct("h", "root"), F.xxhash64(F.lit(turn), "h")).alias("head")) \
+            .where("r <> s").select("key", F.col("head.h").alias("g"), F.col("head.root").alias("groot"))
+        open_ = stored(rooted.join(heads, "key"), "open")
+        if turn == ROUNDS:
+            heads = open_.select("key", F.col("h").alias("g"), F.col("root").alias("groot"))
+            pairs = open_.select("key", "h", "root").join(heads, "key").where("root < groot")
+        else:
+            pairs = open_.where("root <> groot")
+        pairs = stored(pairs.select(F.greatest("h", "g").alias("a"), F.least("h", "g").alias("b"))
+                       .distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        found = stored(similar(pairs, lines, least), "links")
+        tested = tested.union(pairs)
+        if not found.isEmpty():
+            groups = stored(groups_of_links(groups.toDF("a", "b").union(found)), "groups")
+    return groups
+
+
 def line_groups(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_id",
                 text: str = "text") -> DataFrame:
     """``(rid, doc_id, line_no, first_doc, first_line, kept)`` for every line with a word.
@@ -91,8 +133,7 @@ def line_groups(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_id",
     Lines whose sets of 5-character shingles have a Jaccard similarity of ``least`` or
     more are linked; equal lines are one line. Of each group the first line by doc_id
     (nulls last), then row, then line number is kept, and named by first_doc and
-    first_line. Lines that share a band key are compared: first each with the smallest
-    of its bucket, then, where a bucket still holds several groups, across those groups.
+    first_line. Lines that share a band key are compared as ``similar_lines`` says.
 
     Null and empty texts and blank lines have no rows. Rows that repeat both doc_id and
     text count as one document. Lines are named by a 64-bit hash. No rows give no rows.
@@ -102,27 +143,11 @@ def line_groups(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_id",
                                  line_keys(F.col("line")).alias("keys")), "signed")
     keyed = signed.select(F.explode("keys").alias("key"), "h")
     buckets = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")) \
-        .where("low <> high").select("key", "low")
+        .where("low <> high").select("key")
     shared = stored(keyed.join(buckets, "key").distinct(), "shared")
-    first = stored(shared.where("h <> low").select(F.col("h").alias("a"), F.col("low").alias("b"))
-                   .distinct(), "pairs")
-    places = signed.select("h", "rid", "line_no")
-    links = stored(similar(first, docs, places, least, doc_id, text), "links")
-    groups = groups_of_links(links)
-    grouped = shared.join(groups.withColumnRenamed("id", "h"), "h", "left").select(
-        "key", "h", "low", F.coalesce("root", "h").alias("root"))
-    open_ = grouped.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")) \
-        .where("r <> s").select("key")
-    across = stored(grouped.join(open_, "key"), "across")
-    rest = across.select("key", F.col("h").alias("a"), F.col("root").alias("ra"), "low").join(
-        across.select("key", F.col("h").alias("b"), F.col("root").alias("rb")), "key").where(
-        "ra < rb AND a <> low AND b <> low").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rest = stored(rest, "rest")
-    if not rest.isEmpty():
-        more = stored(similar(rest, docs, places, least, doc_id, text), "links")
-        if not more.isEmpty():
-            groups = groups_of_links(links.union(more))
+    lines = stored(line_texts(shared.select("h").distinct(), signed.select("h", "rid", "line_no"),
+                              docs, doc_id, text), "lines")
+    groups = similar_lines(shared, lines, least)
     rooted = signed.select("rid", "doc_id", "line_no", "h").join(
         groups.withColumnRenamed("id", "h"), "h", "left").select(
         "rid", "doc_id", "line_no", F.coalesce("root", "h").alias("root"))

@@ -50,7 +50,7 @@ def headline(t: Tables, mail, replies) -> dict:
         "A9_conversations": lambda: T.conversations(mail, self_email=SELF),
         "A13_contacts": lambda: P.contacts(mail, self_email=SELF),
         "A14_majority_vote": lambda: votes.majority_vote(replies),
-        "A22_thread_transcript": lambda: T.thread_transcript(mail),
+        "A22_thread_transcript": lambda: T.thread_transcript(mail, 1200, 6000, 30),
         "J1_overdue_commitments": lambda: C.overdue_commitments(mail, AS_OF, self_email=SELF),
         "J6_bulk_update": lambda: M.bulk_update(mail, t.updates),
         "J16_100_saved_searches": lambda: match_saved_searches(t.saved_searches, mail),

@@ -191,7 +191,9 @@ FROM (SELECT concat('m', CAST(l_orderkey AS STRING)) AS email_id, l_linenumber,
             WHEN l_linestatus = 'F' THEN 'FYI' WHEN l_linenumber < 4 THEN 'MEETING'
             ELSE 'COMMITMENT' END,
           '", "confidence": 0.', CAST(CAST(round(l_discount * 100) AS INT) AS STRING),
-          ', "reason": "part ', CAST(l_partkey AS STRING), '", "summary": "',
+          ', "reason": "part ', CAST(l_partkey AS STRING),
+          CASE WHEN l_linenumber = 3 THEN '' ELSE concat('", "reasoning": "scored ',
+            CAST(l_suppkey AS STRING)) END, '", "summary": "',
           CASE WHEN l_linenumber = 2 THEN '' ELSE concat('about ', CAST(l_suppkey AS STRING)) END,
           '", "score": ', CAST(CAST(l_quantity * 3 AS INT) AS STRING), '}') AS reply
       FROM @lineitem@) AS r
@@ -241,11 +243,12 @@ _TERMS = [
     (1, "in", _FOLDER_OF), (1, "text", _WORD_OF),
     (2, "has", "'attachment'"), (2, "label", "'work'"),
     (2, "to", "concat('user', CAST(n_nationkey * 2 AS STRING))"),
-    (3, "subject", _WORD_OF), (3, "is", "'read'"),
+    (3, "subject", _WORD_OF), (3, "is", "'read'"), (3, "in", "'trash'"), (3, "in", _FOLDER_OF),
 ]
 TABLES["saved_searches"] = ([], " UNION ALL ".join(
     f"SELECT CAST(n_nationkey * 4 + {q} AS INT) AS query_id, '{field}' AS field, "
-    f"{value} AS value FROM @nation@" for q, field, value in _TERMS))
+    f"{value} AS value, {k} AS term_no FROM @nation@"
+    for k, (q, field, value) in enumerate(_TERMS)))
 
 TABLES["command_log"] = ([], f"""
 SELECT event_id AS command_id, concat({_pick('event_id % 17', [

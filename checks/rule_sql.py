@@ -178,7 +178,7 @@ dir AS (SELECT *, CASE
     row_number() OVER (PARTITION BY id, lower_text ORDER BY pos) AS nth FROM low),
 found AS (SELECT id AS email_id, thread_id, date, from_name, subject, pos, direction, due,
     text AS evidence, left(text, 200) AS action,
-    concat(id, ':', left(text, 40)) AS commitment_id,
+    concat(id, ':', pos) AS commitment_id, concat(id, ':', left(text, 40)) AS short_id,
     CASE WHEN direction = 'outgoing' THEN 'You' ELSE from_name END AS who,
     CASE WHEN own THEN 'you' ELSE from_email END AS owner,
     CAST(0.6 AS DOUBLE) AS confidence

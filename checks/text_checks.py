@@ -48,7 +48,7 @@ def _(t):
         .alias("category"))
 
 
-_FOUND = ("commitment_id, email_id, thread_id, subject, from_name, date, who, action, owner, "
+_FOUND = ("commitment_id, short_id, email_id, thread_id, subject, from_name, date, who, action, owner, "
           "direction, due, evidence, confidence, CAST(pos AS BIGINT) AS pos")
 
 
@@ -132,8 +132,8 @@ def _(t):
 
 
 _RECENT = f"""recent AS (SELECT id AS rid FROM mail WHERE {CORR} ORDER BY date DESC, id LIMIT 60),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY email_id ORDER BY pos) AS rank
-  FROM found JOIN recent ON rid = email_id)"""
+ranked AS (SELECT *, row_number() OVER (PARTITION BY email_id ORDER BY pos) AS rank FROM found),
+newest AS (SELECT * FROM ranked JOIN recent ON rid = email_id)"""
 
 
 def _with_more(extra: str, columns: str) -> str:
@@ -142,12 +142,19 @@ def _with_more(extra: str, columns: str) -> str:
 
 
 @check("W6_briefing_commitments", _with_more(
-    _RECENT, "SELECT email_id, evidence, rank FROM ranked WHERE rank <= 2"))
+    _RECENT, "SELECT email_id, evidence, rank FROM ranked"))
 def _(t):
     return C.briefing_commitments(t.mail, self_email=SELF).select(
         "email_id", "evidence", c("rank").cast("bigint").alias("rank"))
 
 
+@check("W6_briefing_commitments_cut", _with_more(
+    _RECENT, "SELECT email_id, evidence, rank FROM newest WHERE rank <= 2"))
+def _(t):
+    return C.briefing_commitments(t.mail, self_email=SELF, newest=60, per_message=2).select(
+        "email_id", "evidence", c("rank").cast("bigint").alias("rank"))
+
+
 _ANSWER = "(intent = 'COMMITMENT' OR contains(body, '?'))"
 _SECTIONS = f"""{_RECENT},
 items AS (
@@ -158,7 +165,7 @@ items AS (
     greatest(0, CAST(floor((epoch_us({NOW}) - epoch_us(date)) / 86400000000) AS BIGINT)) FROM mail
     WHERE {OWN} AND folder = 'SENT' AND {_ANSWER}
   UNION ALL SELECT 'commitments', date, email_id, pos, left(action, 120), who, due, NULL
-    FROM ranked WHERE rank <= 2
+    FROM ranked
   UNION ALL SELECT 'receipts', date, id, 0, subject, from_name, snippet, NULL FROM mail
     WHERE {CORR} AND (intent IN ('INVOICE', 'RECEIPT', 'ORDER', 'SHIPMENT') OR
       (contains(lower(body), 'invoice') AND contains(lower(labels), 'finance')))),
@@ -180,9 +187,13 @@ def _(t):
 _COUNTS = ", ".join(f"count(*) FILTER (WHERE section = '{s}') AS {s}" for s in B.SECTIONS)
 
 
-@check("A16_briefing_counts", _with_more(_SECTIONS, f"SELECT {_COUNTS} FROM sections"))
+@check("A16_briefing_counts", _with_more(_SECTIONS, """SELECT
+  least(6, count(*) FILTER (WHERE section = 'needs_reply')) AS needs_reply,
+  least(4, count(*) FILTER (WHERE section = 'waiting')) AS waiting,
+  count(*) FILTER (WHERE section = 'commitments') AS commitments,
+  least(4, count(*) FILTER (WHERE section = 'receipts')) AS receipts FROM items"""))
 def _(t):
-    return B.briefing_counts(_sections(t))
+    return B.briefing_counts(t.mail, self_email=SELF)
 
 
 @check("X28_briefing_headline", _with_more(_SECTIONS, f"""
@@ -379,6 +390,7 @@ _CLEAN = r"""trim(replace(regexp_replace(content, '```(?:json|JSON)?[ \n\t\r]*',
 _PARSED = f"""parsed AS (SELECT *, CASE WHEN json_valid(j) THEN json_extract_string(j, '$.intent') END
     AS intent, CASE WHEN json_valid(j) THEN CAST(json_extract(j, '$.confidence') AS DOUBLE) END AS conf,
     CASE WHEN json_valid(j) THEN json_extract_string(j, '$.reason') END AS reason,
+    CASE WHEN json_valid(j) THEN json_extract_string(j, '$.reasoning') END AS reasoning,
     CASE WHEN json_valid(j) THEN json_extract_string(j, '$.summary') END AS summary,
     CASE WHEN json_valid(j) THEN CAST(json_extract(j, '$.score') AS DOUBLE) END AS score
   FROM (SELECT *, nullif(regexp_extract({_CLEAN}, '\\{{(?s:.*)\\}}'), '') AS j
@@ -432,7 +444,7 @@ def _(t):
 
 @check("W10_first_valid_score", f"""WITH {_PARSED}
 SELECT email_id, model, CAST(score AS INT) AS score, reasoning, confidence, {_LEVEL} AS level
-FROM (SELECT email_id, model, floor(score + 0.5) AS score, coalesce(reason, '') AS reasoning,
+FROM (SELECT email_id, model, floor(score + 0.5) AS score, coalesce(reasoning, '') AS reasoning,
     CAST(coalesce(conf, 0.7) AS DOUBLE) AS confidence,
     row_number() OVER (PARTITION BY email_id ORDER BY ordinal) AS r
   FROM parsed WHERE score BETWEEN 0 AND 100) AS x WHERE r = 1""", REPLIES)

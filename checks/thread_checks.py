@@ -108,13 +108,17 @@ FROM (SELECT thread_id, r, concat('--- Message ', r, ' ---', chr(10), 'From: ',
   FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY date, id) AS r FROM mail)
     AS n WHERE r <= 30) AS x GROUP BY thread_id""")
 def _(t):
-    return T.thread_transcript(t.mail)
+    return T.thread_transcript(t.mail, 1200, 6000, 30)
 
 
 @check("A22_conversation_table_transcript", f"""
-SELECT CAST(conv_id AS STRING) AS thread_id, count(*) AS n_messages
-FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations)
-  AS c WHERE r <= 30 GROUP BY conv_id""", ())
+SELECT CAST(conv_id AS STRING) AS thread_id, count(*) AS n_messages,
+  string_agg(concat('--- Message ', r, ' ---', chr(10), 'From: ', role, ' <', role, '>', chr(10),
+    'Date: ', strftime(TIMESTAMP '1970-01-01' + to_seconds(turn), '%Y-%m-%dT%H:%M:%S'), '.000Z',
+    chr(10), 'Subject: ', chr(10), chr(10), body), concat(chr(10), chr(10)) ORDER BY r)
+    AS transcript
+FROM (SELECT *, {visible('text')} AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn)
+  AS r FROM conversations) AS c GROUP BY conv_id""", ())
 def _(t):
     mail = t.conversations.select(
         F.concat_ws("-", "conv_id", F.lpad(F.col("turn").cast("string"), 9, "0")).alias("id"),
@@ -122,7 +126,7 @@ def _(t):
         F.timestamp_seconds("turn").cast("timestamp_ntz").alias("date"),
         F.col("role").alias("from_name"), F.col("role").alias("from_email"),
         F.lit("").alias("subject"), F.col("text").alias("body"))
-    return T.thread_transcript(mail).select("thread_id", "n_messages")
+    return T.thread_transcript(mail)
 
 
 @check("J5_thread_of", """

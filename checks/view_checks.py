@@ -230,7 +230,7 @@ def _(t):
 @check("O2_page", f"""SELECT id, date FROM mail WHERE folder = 'INBOX' AND {AWAKE}
 ORDER BY date DESC, id LIMIT 200 OFFSET 100""")
 def _(t):
-    return V.page(V.mail_view(t.mail, AS_OF), 500, 100).select("id", "date")
+    return V.api_page(V.mail_view(t.mail, AS_OF), 500, 100).select("id", "date")
 
 
 @check("O2_page_after", """SELECT id, date FROM mail
@@ -244,9 +244,10 @@ def _(t):
     return V.thread_order(t.mail).select("thread_id", "date", "id")
 
 
-@check("O5_by_name", "SELECT name, id FROM labels_dim ORDER BY name", ("labels_dim",))
+@check("O5_by_name", "SELECT c_name AS name, c_custkey AS id FROM customer ORDER BY 1, 2", ())
 def _(t):
-    return V.by_name(t.labels_dim, "id").select("name", "id")
+    people = t.customer.selectExpr("c_name AS name", "c_custkey AS id")
+    return V.by_name(people, "id")
 
 
 @check("O6_briefing_scan", f"""SELECT id, date FROM mail WHERE {CORR}
@@ -261,7 +262,9 @@ def _(t):
 
 
 @check("J16_match_saved_searches", """
-WITH term AS (SELECT query_id, field, lower(value) AS v FROM saved_searches),
+WITH term AS (SELECT query_id, field, lower(value) AS v FROM saved_searches AS s
+  WHERE field <> 'in' OR term_no = (SELECT max(term_no) FROM saved_searches AS o
+    WHERE o.query_id = s.query_id AND o.field = 'in')),
 hit AS (SELECT query_id, id FROM term JOIN mail ON
   CASE field
     WHEN 'is' THEN CASE v WHEN 'unread' THEN NOT is_read WHEN 'read' THEN is_read END

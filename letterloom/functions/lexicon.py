@@ -25,7 +25,8 @@ NOT_SPACE_OR_GT = "[^>" + SPACE[1:]
 
 # Phrases of the intent rules, matched as whole words.
 QUESTION = (
-    r"can you|could you|would you|will you|please\s+\w+|what|when|where|who|why|how|"
+    r"can you|could you|would you|will you|please" + SPACE + r"+\w+|"
+    r"what|when|where|who|why|how|"
     r"are you|do you|did you|have you|is there|let me know|please confirm|"
     r"please advise|please review|please send|please share|looking forward|"
     r"your thoughts|feedback\?"
@@ -97,7 +98,7 @@ UPDATES_ANYWHERE = (
 # second must end at one.
 DUE_BY = (
     r"by (?:monday|tuesday|wednesday|thursday|friday|saturday|sunday|tomorrow|"
-    r"next week|eod|end of (?:day|week|month)|\d{1,2}(?:st|nd|rd|th)?(?:\s+\w+)?)"
+    r"next week|eod|end of (?:day|week|month)|\d{1,2}(?:st|nd|rd|th)?(?:" + SPACE + r"+\w+)?)"
 )
 DUE_SOON = r"tomorrow|today|next week|this week|by friday|by monday"
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from letterloom.functions.dates import age_days
-from letterloom.functions.lists import label_mentions
+from letterloom.functions.lists import label_mentions, unnest
 from letterloom.operators import views as V
-from letterloom.operators.commitments import briefing_commitments
+from letterloom.operators.commitments import detect_commitments
 from letterloom.schema import DEFAULT_SELF
 
 # Sections of the briefing in order, and their lengths.
@@ -19,46 +19,63 @@ ACTION_CHARS = 120
 CAUGHT_UP = "You're all caught up — nothing needs your attention right now."
 
 
-def briefing_sections(df: DataFrame, as_of, *, self_email: str = DEFAULT_SELF) -> DataFrame:
-    """Rows (section, rank, title, who, detail, age_days), newest first.
-
-    Each section is a top-k of its own; none needs a shuffle of the mail table.
-    """
-    mail = df.filter(V.in_correspondence())
+def _items(df: DataFrame, self_email: str, age: Column) -> DataFrame:
+    """Correspondence with the array ``items``: what each message adds to the sections."""
+    mail = detect_commitments(df.filter(V.in_correspondence()), self_email=self_email)
     own = V.is_own(self_email)
-    invoice_text = (F.lower("body").contains("invoice")
-                    & label_mentions(F.col("labels"), "finance"))
+    question = F.col("has_question") if "has_question" in df.columns else None
     rules = {
         "needs_reply": (~own & (F.col("intent") == "REQUIRES_REPLY")
                         & V.in_folders("INBOX", "ARCHIVE")),
-        "waiting": own & (F.col("folder") == "SENT") & V.awaits_answer(),
-        "receipts": F.col("intent").isin(V.PURCHASE_INTENTS) | invoice_text,
+        "waiting": own & (F.col("folder") == "SENT") & V.awaits_answer(question),
+        "receipts": F.col("intent").isin(V.PURCHASE_INTENTS) | (
+            F.lower("body").contains("invoice") & label_mentions(F.col("labels"), "finance")),
     }
-    out = None
-    for section, rule in rules.items():
-        waiting = section == "waiting"
-        rows = V.newest(mail.filter(rule), SECTIONS[section]).select(
-            F.lit(section).alias("section"), "date", "id", F.lit(0).alias("pos"),
-            F.col("subject").alias("title"),
-            F.col("to_emails" if waiting else "from_name").alias("who"),
-            F.col("snippet").alias("detail"),
-            (age_days(F.col("date"), as_of) if waiting else F.lit(None).cast("bigint"))
-            .alias("age_days"))
-        out = rows if out is None else out.unionByName(rows)
-    promised = briefing_commitments(df, self_email=self_email).select(
-        F.lit("commitments").alias("section"), "date", F.col("email_id").alias("id"), "pos",
-        F.left("action", F.lit(ACTION_CHARS)).alias("title"), "who",
-        F.col("due").alias("detail"), F.lit(None).cast("bigint").alias("age_days"))
+
+    def item(section, pos, title, who, detail, age_days):
+        return F.struct(F.lit(section).alias("section"), pos.cast("int").alias("pos"),
+                        title.alias("title"), who.alias("who"), detail.alias("detail"),
+                        age_days.cast("bigint").alias("age_days"))
+
+    none = F.lit(None)
+    single = [F.when(rule, item(
+        name, F.lit(0), F.col("subject"),
+        F.col("to_emails" if name == "waiting" else "from_name"), F.col("snippet"),
+        age if name == "waiting" else none)) for name, rule in rules.items()]
+    promised = F.transform("signals", lambda s: item(
+        "commitments", s["pos"], F.left(s["action"], F.lit(ACTION_CHARS)),
+        F.when(s["direction"] == "outgoing", "You").otherwise(F.col("from_name")),
+        s["due_date"], none))
+    kept = F.array_compact(F.array(*single))
+    return mail.withColumn("items", F.when(F.col("signals").isNull(), kept)
+                           .otherwise(F.concat(kept, promised)))
+
+
+def briefing_sections(df: DataFrame, as_of, *, self_email: str = DEFAULT_SELF) -> DataFrame:
+    """Rows (section, rank, title, who, detail, age_days), newest first.
+
+    One scan: every message yields its items, and each section is a top-k over them whose
+    limit also runs before the shuffle.  Only the length of a section is limited.
+    """
+    items = unnest(_items(df, self_email, age_days(F.col("date"), as_of)), "items", "i",
+                   "date", "id").select("date", "id", "i.*")
     newest = Window.partitionBy("section").orderBy(F.desc("date"), "id", "pos")
     limits = F.create_map(*[F.lit(x) for pair in SECTIONS.items() for x in pair])
-    return (out.unionByName(promised).withColumn("rank", F.row_number().over(newest))
+    return (items.withColumn("rank", F.row_number().over(newest))
+            .filter(F.col("rank") <= max(SECTIONS.values()))
             .filter(F.col("rank") <= F.element_at(limits, F.col("section")))
             .select("section", "rank", "title", "who", "detail", "age_days"))
 
 
-def briefing_counts(sections: DataFrame) -> DataFrame:
-    """Size of every section, empty ones included, as one row."""
-    return sections.agg(*[F.count_if(F.col("section") == s).alias(s) for s in SECTIONS])
+def briefing_counts(df: DataFrame, *, self_email: str = DEFAULT_SELF) -> DataFrame:
+    """One row: all commitments, and of the other sections as many as they show."""
+    def size_of(section: str) -> Column:
+        return F.size(F.filter("items", lambda i: i["section"] == section)).alias(section)
+
+    sizes = _items(df, self_email, F.lit(None)).select(*[size_of(s) for s in SECTIONS])
+    total = {s: F.coalesce(F.sum(s), F.lit(0)) for s in SECTIONS}
+    return sizes.agg(*[(total[s] if s == "commitments" else F.least(F.lit(n), total[s]))
+                       .cast("bigint").alias(s) for s, n in SECTIONS.items()])
 
 
 def _plural(n, singular: str):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from letterloom.functions import lexicon as lx
@@ -86,17 +86,26 @@ def detect_commitments(df: DataFrame, *, self_email: str = DEFAULT_SELF,
 
 def commitments(df: DataFrame, *, self_email: str = DEFAULT_SELF) -> DataFrame:
     """One row per commitment found in correspondence."""
+    return _ranked(df, self_email).drop("rank")
+
+
+def _ranked(df: DataFrame, self_email: str) -> DataFrame:
+    """Commitments with their ``rank`` in the message, counted inside the row.  The id is
+    made of the message and the place of the sentence; ``short_id`` is for display."""
     signals = detect_commitments(df.filter(V.in_correspondence()), self_email=self_email)
-    found = unnest(signals, "signals", "s", "id", "thread_id", "subject", "from_name", "date")
+    numbered = F.transform("signals", lambda s, i: F.struct((i + 1).alias("rank"), s.alias("s")))
+    found = unnest(signals, numbered, "x", "id", "thread_id", "subject", "from_name", "date") \
+        .select("id", "thread_id", "subject", "from_name", "date", "x.*")
     return found.select(
-        F.concat("id", F.lit(":"), F.left("s.evidence", F.lit(40))).alias("commitment_id"),
+        F.concat_ws(":", "id", F.col("s.pos").cast("string")).alias("commitment_id"),
+        F.concat("id", F.lit(":"), F.left("s.evidence", F.lit(40))).alias("short_id"),
         F.col("id").alias("email_id"), "thread_id", "subject", "from_name", "date",
         F.when(F.col("s.direction") == "outgoing", "You").otherwise(F.col("from_name"))
         .alias("who"),
         F.col("s.pos").alias("pos"), F.col("s.action").alias("action"),
         F.col("s.owner").alias("owner"), F.col("s.direction").alias("direction"),
         F.col("s.due_date").alias("due"), F.col("s.evidence").alias("evidence"),
-        F.col("s.confidence").alias("confidence"))
+        F.col("s.confidence").alias("confidence"), "rank")
 
 
 def dedupe_commitments(df: DataFrame) -> DataFrame:
@@ -119,17 +128,19 @@ def commitment_summary(df: DataFrame) -> DataFrame:
 
 
 def briefing_commitments(df: DataFrame, *, self_email: str = DEFAULT_SELF,
-                         newest: int = 60, per_message: int = 2) -> DataFrame:
-    """At most ``per_message`` commitments of each of the ``newest`` messages.
+                         newest: int | None = None,
+                         per_message: int | None = None) -> DataFrame:
+    """Commitments of all messages with their ``rank`` in the message.
 
-    The newest messages are a top-k over the scan, so only their bodies are read
-    sentence by sentence.
+    ``newest`` looks at that many messages only, ``per_message`` keeps the first of each
+    message; by default nothing is left out.  The newest are picked by (date, id) before
+    any body is read, and their rows are found again by a semi-join.
     """
-    recent = V.newest(df.filter(V.in_correspondence()), newest)
-    in_message = Window.partitionBy("email_id").orderBy("pos")
-    return (commitments(recent, self_email=self_email)
-            .withColumn("rank", F.row_number().over(in_message))
-            .filter(F.col("rank") <= per_message))
+    mail = df.filter(V.in_correspondence())
+    if newest is not None:
+        mail = V.lookup(mail, "id", V.newest(mail.select("date", "id"), newest))
+    found = _ranked(mail, self_email)
+    return found if per_message is None else found.filter(F.col("rank") <= per_message)
 
 
 def overdue_commitments(df: DataFrame, as_of, *, self_email: str = DEFAULT_SELF,

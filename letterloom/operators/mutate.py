@@ -26,7 +26,8 @@ PATCH_FIELDS = FLAG_FIELDS + ["folder", "snippet", "body", "subject", "to_emails
 
 def _latest_changes(changes: DataFrame, fields: list[str]) -> DataFrame:
     """One row per id: the last value given for each field, and the last word on
-    the snooze (a time, or ``clear_snooze``).  Order is ``seq`` when present."""
+    the snooze (a time, or ``clear_snooze``).  Order is ``seq`` when present; of values
+    with the same place the greatest counts, so the result can be repeated."""
     given = [f for f in fields if f in changes.columns]
     order = F.col("seq") if "seq" in changes.columns else F.lit(0)
     snooze = ([F.col("snoozed_until")] if "snoozed_until" in changes.columns
@@ -36,10 +37,10 @@ def _latest_changes(changes: DataFrame, fields: list[str]) -> DataFrame:
     rows = changes.select("id", order.alias("_order"), *given, *snooze, clear)
     speaks = F.col("clear_snooze") | F.col("snoozed_until").isNotNull()
     return rows.groupBy("id").agg(
-        *[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("_order"))).alias(f"new_{f}")
+        *[F.max(F.when(F.col(f).isNotNull(), F.struct("_order", f)))[f].alias(f"new_{f}")
           for f in given],
-        F.max_by(F.struct("clear_snooze", "snoozed_until"), F.when(speaks, F.col("_order")))
-        .alias("snooze"))
+        F.max(F.when(speaks, F.struct("_order", F.struct("clear_snooze", "snoozed_until")
+                                      .alias("snooze"))))["snooze"].alias("snooze"))
 
 
 def _apply(mail: DataFrame, latest: DataFrame) -> DataFrame:
@@ -81,8 +82,9 @@ def undo_snapshot(mail: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 
 
 def undo_bulk(mail: DataFrame, previous: DataFrame, column: str) -> DataFrame:
-    """Restore ``column`` from a snapshot; a NULL in the snapshot is restored too."""
-    kept = previous.select("id", F.struct("previous").alias("_kept"))
+    """Restore ``column`` from a snapshot; a NULL in the snapshot is restored too.  An id
+    that the snapshot repeats gets the smallest of its values."""
+    kept = previous.groupBy("id").agg(F.min(F.struct("previous")).alias("_kept"))
     old = F.when(F.col("_kept").isNotNull(), F.col("_kept.previous")).otherwise(F.col(column))
     return mail.join(kept, "id", "left").select(
         *[old.alias(c) if c == column else F.col(c) for c in mail.columns])

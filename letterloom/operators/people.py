@@ -17,13 +17,20 @@ def address_union(df: DataFrame) -> DataFrame:
 
     ``source`` orders occurrences inside one message: sender, then To, then Cc.
     """
-    sender = df.select("date", "id", F.lit(0).alias("source"),
-                       F.col("from_email").alias("email"), F.col("from_name").alias("name"))
-    listed = [unnest(df, csv_to_array(F.col(column)), "email", "date", "id",
-                     F.lit(rank).alias("source")).withColumn(
-                         "name", F.lit(None).cast("string"))
-              for rank, column in ((1, "to_emails"), (2, "cc_emails"))]
-    return sender.unionByName(listed[0]).unionByName(listed[1]).filter(F.col("email") != "")
+    def entry(source: int, email, name=None):
+        return F.struct(F.lit(source).alias("source"), email.alias("email"),
+                        F.lit(None).cast("string").alias("name") if name is None
+                        else name.alias("name"))
+
+    def listed_in(source: int, column: str):
+        return F.transform(csv_to_array(F.col(column)), lambda e: entry(source, e))
+
+    listed = [listed_in(1, "to_emails"), listed_in(2, "cc_emails")]
+    sender = F.array(entry(0, F.col("from_email"), F.col("from_name")))
+    found = unnest(df, F.concat(sender, *[F.coalesce(x, F.array().cast(
+        "array<struct<source:int,email:string,name:string>>")) for x in listed]),
+        "a", "date", "id")
+    return found.select("date", "id", "a.*").filter(F.col("email") != "")
 
 
 def contacts(df: DataFrame, *, self_email: str = DEFAULT_SELF) -> DataFrame:
@@ -61,7 +68,7 @@ def suggest_contacts(people: DataFrame, typed: DataFrame, k: int = 6) -> DataFra
     wanted = tokens.select("token").distinct()
     # Token lengths that occur, as one small array: a token longer than any address
     # matches nothing, so there are at most as many as the longest contact has letters.
-    lengths = (wanted.filter(F.char_length("token").between(1, 400))
+    lengths = (wanted.filter(F.char_length("token") >= 1)
                .agg(F.array_sort(F.collect_set(F.char_length("token")))).scalar())
     order = ["name", "email"]
     sized = unnest(people.select(*order, F.lower("email").alias("e"),

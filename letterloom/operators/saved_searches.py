@@ -34,10 +34,12 @@ def _state(flags: list[Column], folder: Column) -> Column:
 def compiled(searches: DataFrame) -> DataFrame:
     """One row per search: wanted flags and folder, the first word of each text
     field, and the remaining words as ``more``.  Terms that say nothing are left
-    out; a search of only such terms has no row."""
+    out; a search of only such terms has no row.  Of several folders the last counts, by
+    ``term_no`` (without that column by name)."""
     bare = F.lower("field") == "hasattachment"
+    order = F.col("term_no") if "term_no" in searches.columns else F.lit(0)
     terms = searches.select(
-        "query_id", F.when(bare, "has").otherwise(F.lower("field")).alias("field"),
+        "query_id", order.alias("term_no"), F.when(bare, "has").otherwise(F.lower("field")).alias("field"),
         F.when(bare, "attachment").otherwise(F.lower("value")).alias("value")).distinct()
     says = (F.when(F.col("field") == "is",
                    F.col("value").isin("unread", "read", "starred", "important"))
@@ -51,18 +53,17 @@ def compiled(searches: DataFrame) -> DataFrame:
         wants("is", "read").alias("read"), wants("is", "unread").alias("unread"),
         wants("is", "starred").alias("starred"), wants("is", "important").alias("important"),
         wants("has", "attachment").alias("attachment"),
-        F.min(F.when(F.col("field") == "in", F.upper("value"))).alias("folder"),
-        F.max(F.when(F.col("field") == "in", F.upper("value"))).alias("other_folder"),
+        F.max(F.when(F.col("field") == "in", F.struct("term_no", F.upper("value").alias("f"))))
+        ["f"].alias("folder"),
         *words.values(),
-        F.collect_list(F.when(F.col("field").isin(list(TEXT_FIELDS)),
+        F.collect_set(F.when(F.col("field").isin(list(TEXT_FIELDS)),
                               F.struct("field", "value"))).alias("all_words"))
     first = F.array_compact(F.array(*[
         F.when(F.col(f"w_{f}").isNotNull(),
                F.struct(F.lit(f).alias("field"), F.col(f"w_{f}").alias("value")))
         for f in TEXT_FIELDS]))
-    # A message has one folder and is read or not: contradictions match nothing.
-    possible = (~(F.col("read") & F.col("unread"))
-                & F.col("folder").eqNullSafe(F.col("other_folder")))
+    # A message is read or not: a contradiction matches nothing.
+    possible = ~(F.col("read") & F.col("unread"))
     return (grouped.filter(possible)
             .withColumn("more", F.array_except("all_words", first)).drop("all_words"))
 

@@ -6,7 +6,7 @@ shuffled is one row per task and group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from letterloom.functions.dates import date_bucket, moment
@@ -71,9 +71,10 @@ def volume_by_day(df: DataFrame, as_of, *, self_email: str = DEFAULT_SELF,
 
 
 def volume_scaled(volume: DataFrame) -> DataFrame:
-    """Bar heights: percent of the largest value of the period.  ``volume`` is a
-    day series, so the peak is a scalar over a few rows."""
-    peak = volume.agg(F.greatest(F.lit(1), F.max("received"), F.max("sent"))).scalar()
+    """Bar heights: percent of the largest value of the period.  ``volume`` is a day
+    series, a few rows, so one window over it finds the peak without computing it again."""
+    whole = Window.partitionBy(F.lit(1))
+    peak = F.greatest(F.lit(1), F.max("received").over(whole), F.max("sent").over(whole))
     share = lambda c: F.floor(F.lit(100) * F.col(c) / peak + 0.5)
     return volume.select("day", share("received").alias("received_pct"),
                          share("sent").alias("sent_pct"))

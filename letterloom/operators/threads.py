@@ -132,25 +132,28 @@ def thread_status(df: DataFrame) -> DataFrame:
         "thread_id", F.when(F.col("n") > 1, many).otherwise(single).alias("status"))
 
 
-def thread_transcript(df: DataFrame, per_message: int = 1200, total: int = 6000,
-                      messages: int = 30) -> DataFrame:
-    """Readable start of each thread: its oldest ``messages`` messages, each body
-    reduced to its text and cut at ``per_message``, the whole cut at ``total``.
-
-    The ranking limit runs before the shuffle too, so a long thread sends at most
-    ``messages`` rows per task, and only those rows have their body cleaned.
+def thread_transcript(df: DataFrame, per_message: int | None = None,
+                      total: int | None = None, messages: int | None = None) -> DataFrame:
+    """Readable text of each thread, oldest message first, bodies reduced to their text.
+
+    Lengths of the output: at most ``messages`` messages (oldest first), each body cut at
+    ``per_message``, the whole at ``total``; None does not cut.  The ranking limit runs
+    before the shuffle too, so a long thread sends at most ``messages`` rows per task,
+    and only those rows have their body cleaned.
     """
+    cut = lambda text, n: text if n is None else F.left(text, F.lit(n))
     order = Window.partitionBy("thread_id").orderBy("date", "id")
     chosen = (df.select("id", "thread_id", "date", "from_name", "from_email", "subject",
                         "body")
-              .withColumn("rank", F.row_number().over(order))
-              .filter(F.col("rank") <= messages))
+              .withColumn("rank", F.row_number().over(order)))
+    if messages is not None:
+        chosen = chosen.filter(F.col("rank") <= messages)
     text = F.concat(
         F.lit("--- Message "), F.col("rank").cast("string"), F.lit(" ---\nFrom: "),
         "from_name", F.lit(" <"), "from_email", F.lit(">\nDate: "),
         F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("\nSubject: "), "subject",
-        F.lit("\n\n"), F.left(visible_text(F.col("body")), F.lit(per_message)))
+        F.lit("\n\n"), cut(visible_text(F.col("body")), per_message))
     parts = F.array_sort(F.collect_list(F.struct("rank", text.alias("text"))))
     whole = F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n")
     return chosen.groupBy("thread_id").agg(
-        F.count("*").alias("n_messages"), F.left(whole, F.lit(total)).alias("transcript"))
+        F.count("*").alias("n_messages"), cut(whole, total).alias("transcript"))

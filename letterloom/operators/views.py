@@ -291,9 +291,13 @@ def newest(df: DataFrame, n: int = 200) -> DataFrame:
 
 
 def page(df: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page by position, limit held to 1..200.  Use :func:`page_after` to go deep."""
-    limit = min(200, max(1, limit))
-    return df.orderBy(*by_newest()).offset(max(0, offset)).limit(limit)
+    """A page by position.  Use :func:`page_after` to go deep."""
+    return df.orderBy(*by_newest()).offset(max(0, offset)).limit(max(1, limit))
+
+
+def api_page(df: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page as the list interface gives it: its length is held to 1..200."""
+    return page(df, min(200, limit), offset)
 
 
 def page_after(df: DataFrame, date, last_id: str, limit: int = 50) -> DataFrame:

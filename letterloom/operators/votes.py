@@ -73,7 +73,7 @@ def first_valid_score(replies: DataFrame) -> DataFrame:
     score = F.floor(F.col("score") + 0.5).cast("int")
     rank = F.when(F.col("score").between(0, 100), F.col("ordinal"))
     kept = F.struct("model", score.alias("score"),
-                    F.coalesce("reason", F.lit("")).alias("reasoning"),
+                    F.coalesce("reasoning", F.lit("")).alias("reasoning"),
                     F.coalesce("confidence", F.lit(0.7)).alias("confidence"))
     return (parsed(replies).groupBy("email_id").agg(F.min_by(kept, rank).alias("s"))
             .filter(F.col("s").isNotNull()).select("email_id", "s.*")

@@ -74,11 +74,11 @@ def list_page(mail: DataFrame, as_of, *, limit: int = 50, offset: int = 0,
               **request) -> Bundle:
     """One page of a list for other programs, next to the number of matches."""
     rows = mail.filter(V.api_list_filter(as_of, **request))
-    return {"page": V.api_projection(V.page(rows, limit, offset)),
+    return {"page": V.api_projection(V.api_page(rows, limit, offset)),
             "total": V.page_total(rows)}
 
 
 def daily_briefing(mail: DataFrame, as_of, *, self_email: str = DEFAULT_SELF) -> Bundle:
     sections = B.briefing_sections(mail, as_of, self_email=self_email)
-    return {"sections": sections, "counts": B.briefing_counts(sections),
+    return {"sections": sections, "counts": B.briefing_counts(mail, self_email=self_email),
             "headline": B.briefing_headline(sections)}

@@ -67,7 +67,8 @@ INBOUND = T.StructType(
 )
 
 # What a model is asked to answer; every field may be missing.
-REPLY_JSON = ("intent STRING, confidence DOUBLE, reason STRING, summary STRING, "
+REPLY_JSON = ("intent STRING, confidence DOUBLE, reason STRING, reasoning STRING, "
+              "summary STRING, "
               "suggestedReply STRING, score DOUBLE, "
               "commitments ARRAY<STRUCT<who: STRING, action: STRING, due: STRING, "
               "source: STRING>>")

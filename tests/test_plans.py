@@ -37,6 +37,23 @@ def test_conversations_combine_before_the_shuffle(spark):
 
 
 def test_thread_limits_run_before_the_shuffle(spark):
-    plan = plan_of(T.thread_transcript(fx.table(spark, DATA, "mail")))
+    plan = plan_of(T.thread_transcript(fx.table(spark, DATA, "mail"), messages=30))
     below = plan.split("Exchange", 1)[1]
     assert "WindowGroupLimit" in below and "Partial" in below
+
+
+def test_briefing_is_one_scan_with_early_limits(spark):
+    from letterloom.operators import briefing as B
+
+    mail = fx.table(spark, DATA, "mail")
+    plan = plan_of(B.briefing_sections(mail, fx.AS_OF))
+    assert plan.count("FileScan") == plan_of(mail).count("FileScan")
+    assert "rangepartitioning" not in plan and plan.count("Exchange hashpartitioning(section") == 1
+    assert "WindowGroupLimit" in plan.split("Exchange hashpartitioning(section", 1)[1]
+
+
+def test_contacts_are_one_scan(spark):
+    from letterloom.operators import people as P
+
+    mail = fx.table(spark, DATA, "mail")
+    assert plan_of(P.address_union(mail)).count("FileScan") == plan_of(mail).count("FileScan")

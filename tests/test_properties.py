@@ -116,7 +116,7 @@ def test_hot_thread_rollups(hot_mail):
     n = hot_mail.filter("thread_id = 'hot'").count()
     sizes = T.thread_participants(hot_mail).filter("thread_id = 'hot'")
     assert sizes.agg(F.sum("message_count")).first()[0] == n
-    assert T.thread_transcript(hot_mail).filter("thread_id = 'hot'").first()["n_messages"] == 30
+    assert T.thread_transcript(hot_mail, messages=30).filter("thread_id = 'hot'").first()["n_messages"] == 30
     status = T.thread_status(hot_mail).filter("thread_id = 'hot'").first()["status"]
     assert status.startswith(f"Thread of {n} messages between ")
 
@@ -154,12 +154,14 @@ def test_searches_in_several_passes(spark, mail):
         [(1, "subject", "invoice"), (1, "subject", "track"), (1, "text", "77"),
          (1, "text", "invoice"), (2, "is", "read"), (2, "is", "unread"), (3, "is", "odd"),
          (4, "in", "nowhere"), (4, "is", "starred"), (5, "in", "sent"), (5, "in", "inbox")],
-        "query_id int, field string, value string")
+        "query_id int, field string, value string").withColumn(
+            "term_no", F.when(F.col("value") == "inbox", 1).otherwise(0))
     got = rows(SS.match_saved_searches(odd, mail))
     two = mail.filter("lower(subject) LIKE '%invoice%' AND lower(subject) LIKE '%track%' "
                       "AND body LIKE '%77%'").select(F.lit(1), "id")
     four = mail.filter("is_starred").select(F.lit(4), "id")
-    assert got == rows(two.unionByName(four.toDF("1", "id")))
+    five = mail.filter("folder = 'INBOX'").select(F.lit(5), "id")
+    assert got == rows(two.unionByName(four.toDF("1", "id")).unionByName(five.toDF("1", "id")))
 
 
 def test_saved_search_equals_single_search(spark, mail):
@@ -190,7 +192,8 @@ def test_paging_meets_itself(mail):
     rest = [tuple(r) for r in V.page_after(mail, F.lit(first[-1][0]), first[-1][1], 40)
             .select("date", "id").collect()]
     assert first + rest == listed
-    assert V.page(mail, 9999).count() == 200 and V.page(mail, -5, -5).count() == 1
+    assert V.api_page(mail, 9999).count() == 200 and V.api_page(mail, -5, -5).count() == 1
+    assert V.page(mail, 9999).count() == min(9999, mail.count())
 
 
 def test_reports(spark, mail):
@@ -279,3 +282,54 @@ def test_hints_spare_the_body(spark, mail, folder):
         plan = report(stored)._jdf.queryExecution().executedPlan().toString()
         assert "body" not in plan.split("ReadSchema")[1]
         assert rows(report(stored)) == rows(report(stored.drop("has_question")))
+
+
+def test_undo_with_a_repeated_id_keeps_the_rows(spark, mail):
+    from letterloom.operators import mutate as M
+
+    ids = mail.select("id").limit(3)
+    twice = M.undo_snapshot(mail, ids.union(ids), "folder")
+    twice = twice.union(twice.withColumn("previous", F.lit("ZZZ")))
+    assert M.undo_bulk(mail, twice, "folder").count() == mail.count()
+    assert rows(M.undo_bulk(mail, twice, "folder").select("id", "folder")) == rows(
+        mail.select("id", "folder"))
+
+
+def test_changes_without_an_order_can_be_repeated(spark, mail):
+    from letterloom.operators import mutate as M
+
+    some = mail.select("id").limit(2)
+    changes = some.withColumn("folder", F.lit("TRASH")).union(some.withColumn("folder", F.lit("INBOX")))
+    for given in (changes, changes.orderBy("folder"), changes.orderBy(F.desc("folder"))):
+        got = M.bulk_update(mail, given.withColumn("clear_snooze", F.lit(False))).join(some, "id")
+        assert {r.folder for r in got.select("folder").collect()} == {"TRASH"}
+
+
+def test_phrases_take_any_mail_space(spark):
+    from letterloom.functions.intent import classify_intent
+
+    mails = spark.createDataFrame(
+        [(i, f"please{space}call back") for i, space in enumerate([" ", " ", " ", "\t"])],
+        "id int, body string").selectExpr(
+        "id", "body", "'' AS subject", "'x@y.example' AS from_email", "'x' AS from_name")
+    got = classify_intent(mails, self_email=SELF, snippet=None, labels=None).select("signal.intent").distinct()
+    assert [r[0] for r in got.collect()] == ["REQUIRES_REPLY"]
+
+
+def test_score_gives_its_reasoning(spark):
+    said = spark.createDataFrame(
+        [("n", "a", 0, '{"score": 70, "reasoning": "because", "reason": "other"}')],
+        "email_id string, model string, ordinal long, content string")
+    assert votes.first_valid_score(said).first()["reasoning"] == "because"
+
+
+def test_transcripts_and_suggestions_are_whole(spark, mail):
+    from letterloom.operators import people as P
+
+    long = mail.limit(1).select(*[F.lit("word " * 3000).alias(c) if c == "body" else c
+                                  for c in mail.columns])
+    assert len(T.thread_transcript(long).first()["transcript"]) > 14_000
+    name = "n" * 500
+    people = spark.createDataFrame([("a@b.example", name)], "email string, name string")
+    typed = spark.createDataFrame([(name,)], "text string")
+    assert P.suggest_contacts(people, typed).count() == 1

@@ -19,6 +19,11 @@ ROUNDS = 3          # leaders that a bucket is compared with before all its othe
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
+def n_shingles(line: Column) -> Column:
+    """How many different shingles a line has."""
+    return F.size(F.array_distinct(shingles(line)))
+
+
 def shingles(line: Column, size: int = SHINGLE) -> Column:
     """All runs of ``size`` characters (by ``size`` shifted readings, so that long lines
     take linear time); a shorter line is its own shingle."""
@@ -27,37 +32,29 @@ def shingles(line: Column, size: int = SHINGLE) -> Column:
         for k in range(size)]))
 
 
-def band_keys(hashed: Column, way: int) -> Column:
-    """Keys of a set of shingle hashes: the minima in order, neighbours hashed together
-    from each of the first places. Two sets share a key when neighbours in the order of
-    their union lie in both, at similarity s with chance s**ROWS each."""
+def band_keys(low: str, way: int) -> Column:
+    """Keys of a set of shingle hashes given in order: neighbours hashed together from each
+    of the first places. Two sets share a key when neighbours in the order of their union
+    lie in both, at similarity s with chance s**ROWS each. No hashes give no keys."""
     rows, last = ROWS[way], KEYS[way] - 1
-
-    def keys(low):
-        return F.transform(
-            F.sequence(F.lit(0), F.least(F.lit(last), F.greatest(F.size(low) - rows, F.lit(0)))),
-            lambda i: F.xxhash64(F.lit(way), F.slice(low, i + 1, rows)))
-    return let(F.sort_array(F.array_distinct(hashed)), keys)
-
-
-def line_keys(line: Column) -> Column:
-    every = F.transform(shingles(line), lambda s: F.xxhash64(s))
-    starts = F.transform(
-        F.regexp_extract_all(line, F.lit(r"(?<![^\x20])(?=([^\x20].{0,%d}))" % (ANCHORED - 1)), 1),
-        lambda s: F.xxhash64(s))
-    size = F.char_length(line)
-    # A long line without word starts (blanks other than spaces only in front) is signed whole.
-    starts = F.when(F.size(starts) == 0, F.array(F.xxhash64(line))).otherwise(starts)
-    return F.when(size < LONG, band_keys(every, 0)).when(size > SHORT, band_keys(starts, 1)) \
-        .otherwise(F.concat(band_keys(every, 0), band_keys(starts, 1)))
-
-
-def jaccard_at_least(a: Column, b: Column, least: float) -> Column:
-    """Exact Jaccard similarity of the shingle sets of two lines."""
-    sets = F.struct(F.array_distinct(shingles(a)).alias("x"), F.array_distinct(shingles(b)).alias("y"))
-    return let(sets, lambda s: let(
-        F.size(F.array_intersect(s.x, s.y)), lambda both:
-        both >= F.lit(least) * (F.size(s.x) + F.size(s.y) - both)))
+    return F.when(F.size(low) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(
+        F.sequence(F.lit(0), F.least(F.lit(last), F.greatest(F.size(low) - rows, F.lit(0)))),
+        lambda i: F.xxhash64(F.lit(way), F.slice(low, i + 1, rows))))
+
+
+def signed_lines(lines: DataFrame) -> DataFrame:
+    """Adds the band ``keys`` of every ``line``. The hashes are sorted in a column of
+    their own, outside lambdas, where Spark compiles it."""
+    size, none = F.char_length("line"), F.array().cast("array<bigint>")
+    hashed = lambda parts: F.transform(parts, lambda x: F.xxhash64(x))
+    starts = F.regexp_extract_all("line", F.lit(
+        r"(?<![^\x20])(?=([^\x20].{0,%d}))" % (ANCHORED - 1)), 1)
+    every = F.when(size <= SHORT, hashed(shingles(F.col("line")))).otherwise(none)
+    anchored = F.when(size >= LONG, hashed(starts)).otherwise(none)
+    ordered = lines.withColumn("low_0", F.sort_array(F.array_distinct(every))) \
+        .withColumn("low_1", F.sort_array(F.array_distinct(anchored)))
+    return ordered.withColumn("keys", F.concat(band_keys("low_0", 0), band_keys("low_1", 1))) \
+        .drop("low_0", "low_1")
 
 
 def row_key(doc_id: str, text: str) -> Column:
@@ -74,20 +71,29 @@ def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 def line_texts(wanted: DataFrame, places: DataFrame, docs: DataFrame, doc_id: str,
                text: str) -> DataFrame:
-    """``(h, line)`` of the wanted line keys ``h``, from one occurrence of each."""
+    """``(h, line, n)`` of the wanted line keys ``h``, from one occurrence of each; ``n``:
+    its different shingles."""
     found = places.join(wanted, "h").groupBy("h").agg(
         F.min(F.struct("rid", "line_no")).alias("at")).groupBy("at.rid").agg(
         F.collect_list(F.struct("h", "at.line_no")).alias("take"))  # lines of one document
     lines = docs.select(row_key(doc_id, text).alias("rid"), F.col(text).alias("t")).join(
         found, "rid").select(F.split("t", "\n").alias("lines"), F.explode("take").alias("k"))
-    return lines.select("k.h", F.get("lines", F.col("k.line_no")).alias("line")).dropDuplicates(["h"])
+    one = lines.select("k.h", F.get("lines", F.col("k.line_no")).alias("line")).dropDuplicates(["h"])
+    return one.withColumn("n", n_shingles(F.col("line")))
 
 
 def similar(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
-    """The pairs ``(a, b)`` of line keys whose lines are similar."""
-    return pairs.join(lines.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a") \
-        .join(lines.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b") \
-        .where(jaccard_at_least(F.col("line_a"), F.col("line_b"), least)).select("a", "b")
+    """The pairs ``(a, b)`` of line keys whose lines have a Jaccard similarity of ``least``
+    or more, computed exactly. Sets whose sizes rule it out are not compared."""
+    def side(x: str) -> DataFrame:
+        return lines.select(F.col("h").alias(x), F.col("line").alias(f"line_{x}"),
+                            F.col("n").alias(f"n_{x}"))
+    met = pairs.join(side("a"), "a").where("n_a > 0").join(side("b"), "b").where(
+        F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b"))
+    both = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect(
+        shingles(F.col("line_a")), shingles(F.col("line_b")))).alias("both"))
+    return both.where(F.col("both") >= F.lit(least) * (F.col("n_a") + F.col("n_b") - F.col("both"))
+                      ).select("a", "b")
 
 
 def similar_lines(shared: DataFrame, lines: DataFrame, least: float) -> DataFrame:
@@ -139,8 +145,8 @@ def line_groups(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_id",
     text count as one document. Lines are named by a 64-bit hash. No rows give no rows.
     """
     lines = lines_of(docs, doc_id, text)
-    signed = stored(lines.select("rid", "doc_id", "line_no", F.xxhash64("line").alias("h"),
-                                 line_keys(F.col("line")).alias("keys")), "signed")
+    signed = stored(signed_lines(lines).select(
+        "rid", "doc_id", "line_no", F.xxhash64("line").alias("h"), "keys"), "signed")
     keyed = signed.select(F.explode("keys").alias("key"), "h")
     buckets = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")) \
         .where("low <> high").select("key")

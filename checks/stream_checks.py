@@ -2,10 +2,9 @@
 
 from contextlib import contextmanager
 
-from letterloom.operators import mutate
 from letterloom.streaming import jobs as J
 from letterloom.streaming import stateful as ST
-from letterloom.streaming.sinks import run_append, run_changes
+from letterloom.streaming.sinks import fold_back, run_append, run_changes
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
@@ -65,10 +64,7 @@ def _(t):
 def _(t):
     ticks = _events(t).select(F.lit(AS_OF).cast("timestamp").alias("ts"))
     done = run_changes(ticks, "deliver", ["id"], change=J.deliver_due_batch(t.mail))
-    sent = mutate.bulk_update(t.mail, done.select("id", "folder"))
-    cleared = done.select("id", F.lit(None).cast("timestamp_ntz").alias("previous"))
-    return mutate.undo_bulk(sent, cleared, "scheduled_for").select(
-        "id", "folder", "scheduled_for")
+    return fold_back(t.mail, done).select("id", "folder", "scheduled_for")
 
 
 @check("T3_snooze_returns", f"""

@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
                   or context.getCheckpointDir())
     if configured:
         return configured.rstrip("/")
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     context.setCheckpointDir(folder)

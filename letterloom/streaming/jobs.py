@@ -16,40 +16,93 @@ from letterloom.operators import links as L
 from letterloom.operators import stats
 from letterloom.operators import views as V
 from letterloom.schema import DEFAULT_SELF
-from letterloom.sources.inbound import ingest_inbound
+from letterloom.sources.inbound import ingest_inbound, rejected_inbound
+from letterloom.streaming.sinks import Query, start_batches
 
 # Fixed value: how long a send can be taken back.
 UNDO_SECONDS = 5
 
 
+# A table, or a function that returns its current version.
+Table = DataFrame | Callable[[], DataFrame]
+
+
+def _current(table: Table) -> DataFrame:
+    return table() if callable(table) else table
+
+
+def _posted_once(raw: DataFrame, arrived: str, delay: str) -> DataFrame:
+    """Posts without repeats.  A post without an ``id`` is named by its content, so that
+    the same post has the same id in every attempt."""
+    content = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000"))
+               for c in raw.columns if c != arrived]
+    named = raw if "id" in raw.columns else raw.withColumn(
+        "id", F.left(F.sha2(F.concat_ws("\u0001", *content), 256), F.lit(32)))
+    return named.withWatermark(arrived, delay).dropDuplicatesWithinWatermark(["id"])
+
+
 def stream_inbound(raw: DataFrame, *, self_email: str = DEFAULT_SELF,
                    arrived: str = "arrived", delay: str = "1 hour") -> DataFrame:
     """Received messages as mail rows; a post sent again within ``delay`` is dropped.
 
-    ``arrived`` is the time of the post; it stands in for a missing date.
+    ``raw`` has the declared columns of a post; ``arrived`` is the time of the post and
+    stands in for a missing date.
     """
-    once = raw.withWatermark(arrived, delay).dropDuplicatesWithinWatermark(["id"])
+    once = _posted_once(raw, arrived, delay)
     return ingest_inbound(once, F.col(arrived).cast("timestamp_ntz"), self_email=self_email)
 
 
-def deliver_due_batch(mail: DataFrame,
+def inbound_to(raw: DataFrame, folder: str, every: str | None = None, *,
+               self_email: str = DEFAULT_SELF, arrived: str = "arrived",
+               delay: str = "1 hour") -> Query:
+    """Writes posts as mail rows to ``folder``/rows and refused posts with their reason to
+    ``folder``/rejected, one epoch folder per batch in each."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        at = F.col(arrived).cast("timestamp_ntz")
+        for name, rows in (("rows", ingest_inbound(batch, at, self_email=self_email)),
+                           ("rejected", rejected_inbound(batch))):
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}/epoch={epoch}")
+
+    return start_batches(_posted_once(raw, arrived, delay), folder, every, write, "append")
+
+
+def deliver_due_batch(mail: Table,
                       delivered: Callable[[], DataFrame | None] = lambda: None):
-    """For ``changes_to``: the scheduled messages due at the newest tick of a batch.
+    """For ``changes_to``: the scheduled messages due at the newest tick of a batch, as
+    rows that ``sinks.fold_back`` can lay over the mail table.
 
-    ``delivered`` returns the deliveries known when the batch starts; they are not
-    repeated.  Without it a message due twice is reported twice, with the same
-    outcome.
+    Give ``mail`` as a function to see messages scheduled after the start.  ``delivered``
+    returns the deliveries known when the batch starts; they are not repeated.  Without
+    it a message due twice is reported twice, with the same outcome.
     """
     def change(ticks: DataFrame) -> DataFrame:
         now = ticks.agg(F.max("ts").cast("timestamp_ntz")).scalar()
-        due = mail.filter(F.coalesce(V.due_scheduled(now), F.lit(False)))
+        due = _current(mail).filter(F.coalesce(V.due_scheduled(now), F.lit(False)))
         known = delivered()
         if known is not None:
             due = due.join(known.select("id"), "id", "left_anti")
-        return due.select("id", F.lit("SENT").alias("folder"), now.alias("delivered_at"))
+        return due.select("id", F.lit("SENT").alias("folder"),
+                          F.lit(None).cast("timestamp_ntz").alias("scheduled_for"),
+                          now.alias("delivered_at"))
     return change
 
 
+def first_views_batch(links: Table):
+    """For ``changes_to``: ``first_views`` of one batch against the current links.  No
+    state is kept: read the result with ``latest_changes(..., smallest="viewed_at")``."""
+    return lambda events: first_views(events, _current(links))
+
+
+def delivery_status_batch(links: Table):
+    """For ``changes_to``: ``delivery_status`` of one batch against the current links."""
+    return lambda events: delivery_status(events, _current(links))
+
+
+def create_links_batch(mail: Table, **options):
+    """For ``changes_to``: one link per send request, against the current mail table."""
+    return lambda events: L.create_links(events, _current(mail), **options)
+
+
 def undo_window(sends: DataFrame, cancels: DataFrame, seconds: int = UNDO_SECONDS,
                 delay: str = "10 seconds") -> DataFrame:
     """Sends that were not cancelled within ``seconds``.

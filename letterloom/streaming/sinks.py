@@ -23,6 +23,9 @@ def job_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/letterloom/{name}-{uuid.uuid4().hex}"
 
 
+Query = StreamingQuery
+
+
 def _start(writer, folder: str, every: str | None) -> StreamingQuery:
     writer = writer.option("checkpointLocation", f"{folder}/state")
     if every is None:
@@ -44,19 +47,38 @@ def changes_to(stream: DataFrame, folder: str, every: str | None = None,
     def write(batch: DataFrame, epoch: int) -> None:
         change(batch).write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
 
-    return _start(stream.writeStream.outputMode("update").foreachBatch(write), folder, every)
+    return start_batches(stream, folder, every, write)
+
+
+def start_batches(stream: DataFrame, folder: str, every: str | None,
+                  write: Callable[[DataFrame, int], None], mode: str = "update") -> Query:
+    """Starts a stream whose batches ``write`` stores."""
+    return _start(stream.writeStream.outputMode(mode).foreachBatch(write), folder, every)
 
 
 def rows_of(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/rows")
 
 
-def latest_changes(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
-    """The newest row per key over all epochs."""
+def latest_changes(spark: SparkSession, folder: str, keys: list[str],
+                   smallest: str | None = None) -> DataFrame:
+    """The newest row per key over all epochs, or the one with the ``smallest`` value."""
     rows = rows_of(spark, folder)
     rest = [c for c in rows.columns if c not in {*keys, "epoch"}]
-    newest = F.max_by(F.struct(*rest), "epoch").alias("row")
-    return rows.groupBy(*keys).agg(newest).select(*keys, "row.*")
+    picked = (F.max_by(F.struct(*rest), "epoch") if smallest is None
+              else F.min_by(F.struct(*rest), F.struct(smallest, "epoch")))
+    return rows.groupBy(*keys).agg(picked.alias("row")).select(*keys, "row.*")
+
+
+def fold_back(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """The table with the columns that it shares with ``changes`` replaced in the changed
+    rows, NULL included.  ``changes`` has one row per key; write the result as the next
+    version and start the changes in a new folder."""
+    shared = [c for c in table.columns if c in changes.columns and c != key]
+    new = changes.select(key, F.struct(*shared).alias("_new"))
+    value = lambda c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(
+        F.col(c)).alias(c) if c in shared else F.col(c)
+    return table.join(new, key, "left").select(*[value(c) for c in table.columns])
 
 
 def run_append(stream: DataFrame, name: str) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from letterloom.streaming import jobs as J
 from letterloom.streaming import stateful as ST
-from letterloom.streaming.sinks import (append_to, changes_to, latest_changes, rows_of)
+from letterloom.schema import INBOUND
+from letterloom.streaming.sinks import (append_to, changes_to, fold_back, latest_changes,
+                                        rows_of)
 
 T0 = dt.datetime(2024, 1, 1, 12)
 
@@ -147,3 +149,69 @@ def test_snooze_timer(spark, folder):
 def quiet(spark):
     spark.sparkContext.setLogLevel("OFF")
     assert spark.range(1).agg(F.count("*")).first()[0] == 1
+
+
+def test_declared_posts_without_ids(spark, folder):
+    """Posts as declared have no id: equal ones are one, refused ones are kept apart."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in INBOUND) + ", arrived timestamp"
+    names = [f.name for f in INBOUND] + ["arrived"]
+    post = lambda t, **given: tuple({**dict.fromkeys(names), "arrived": at(t), **given}[n]
+                                    for n in names)
+    ana = {"fromName": "Ana", "fromEmail": "a@x", "subject": "one"}
+    feed = Feed(spark, f"{folder}/in", schema)
+    feed.add(post(0, **ana), post(1, **ana), post(2, **{**ana, "subject": "two"}))
+    feed.add(post(5, **ana), post(6, fromName=" "), post(7, **ana, date="no time"))
+    out = f"{folder}/out"
+    finish(J.inbound_to(feed.stream(), out))
+    feed.add(post(9, **ana), post(10, **{**ana, "subject": "three"}))
+    finish(J.inbound_to(feed.stream(), out))
+    got = rows_of(spark, out).orderBy("subject").collect()
+    assert [r.subject for r in got] == ["one", "three", "two"] and len({r.id for r in got}) == 3
+    refused = spark.read.parquet(f"{out}/rejected").select("reason").collect()
+    assert sorted(r.reason for r in refused) == ["date is not a time",
+                                                "fromName and fromEmail are required"]
+
+
+def test_mail_scheduled_after_the_start_is_delivered_once(spark, folder):
+    mail = fx.table(spark, "/root/testdata/sf0.001", "mail")
+    one = mail.filter("folder = 'INBOX'").limit(1).select(
+        *[F.lit("late").alias(c) if c == "id" else F.lit("SCHEDULED").alias(c) if c == "folder"
+          else F.lit(at(0)).cast("timestamp_ntz").alias(c) if c == "scheduled_for" else c
+          for c in mail.columns])
+    feed = Feed(spark, f"{folder}/t", "ts timestamp")
+    out, current = f"{folder}/out", f"{folder}/mail"
+    mail.write.parquet(f"{current}/1")
+    versions = [f"{current}/1"]
+    job = J.deliver_due_batch(lambda: spark.read.parquet(versions[-1]))
+    feed.add((at(-86400 * 300),))
+    finish(changes_to(feed.stream(), out, change=job))
+    one.union(mail).write.parquet(f"{current}/2")
+    versions.append(f"{current}/2")
+    feed.add((at(10),))
+    finish(changes_to(feed.stream(), out, change=job))
+    done = latest_changes(spark, out, ["id"])
+    assert done.filter("id = 'late'").count() == 1
+    next_ = fold_back(spark.read.parquet(versions[-1]), done)
+    assert next_.columns == mail.columns and next_.count() == mail.count() + 1
+    row = next_.filter("id = 'late'").first()
+    assert (row.folder, row.scheduled_for) == ("SENT", None)
+    next_.write.parquet(f"{current}/3")
+    versions.append(f"{current}/3")
+    feed.add((at(20),))
+    finish(changes_to(feed.stream(), f"{folder}/again", change=job))
+    assert latest_changes(spark, f"{folder}/again", ["id"]).filter("id = 'late'").count() == 0
+
+
+def test_views_of_links_made_after_the_start(spark, folder):
+    schema = "id string, token string, expires_at timestamp_ntz, viewed_at timestamp_ntz"
+    links = [spark.createDataFrame([("l1", "t1", None, None)], schema)]
+    job = J.first_views_batch(lambda: links[-1])
+    feed = Feed(spark, f"{folder}/v", "token string, ts timestamp")
+    feed.add(("t1", at(20)), ("t2", at(21)))
+    out = f"{folder}/out"
+    finish(changes_to(feed.stream(), out, change=job))
+    links.append(spark.createDataFrame([("l1", "t1", None, None), ("l2", "t2", None, None)], schema))
+    feed.add(("t1", at(10)), ("t2", at(30)))
+    finish(changes_to(feed.stream(), out, change=job))
+    got = latest_changes(spark, out, ["token"], smallest="viewed_at").orderBy("token").collect()
+    assert [(r.token, r.viewed_at) for r in got] == [("t1", at(10)), ("t2", at(30))]

@@ -52,11 +52,13 @@ def sample(df: DataFrame, bound: int, *keys: str, total: int | None = None) -> D
     """About ``bound`` rows at most, chosen by the hash of ``keys``: the same rows
     however the table is split. For fitting and estimating only."""
     total = df.count() if total is None else total
-    if total <= bound:
-        return df
+    return df if total <= bound else df.where(in_sample(bound / total, *keys))
+
+
+def in_sample(share: float, *keys: str) -> Column:
+    """Whether the hash of ``keys`` lies in the first ``share`` of its range."""
     parts = 1 << 20
-    return df.where(F.pmod(F.xxhash64(F.lit(17), *keys), F.lit(parts))
-                    < F.lit(int(parts * bound / total)))
+    return F.pmod(F.xxhash64(F.lit(17), *keys), F.lit(parts)) < F.lit(int(parts * share))
 
 
 def groups_of_links(links: DataFrame) -> DataFrame:

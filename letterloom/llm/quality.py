@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from letterloom.llm.arrays import flat
-from letterloom.llm.common import let, sample, stored, whole_text, words_of
+from letterloom.llm.common import let, sample, whole_text, words_of
 
 BUCKETS = 1 << 18
 SHARDS = 4          # parts that learn on their own; their weights are averaged
@@ -88,8 +88,8 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label",
     its own part, and the driver averages the weights, whose size is fixed. Without rows
     all weights are zero, and every text scores one half.
     """
-    known = stored(labelled.where(F.col(label).isin(0, 1)).select(
-        whole_text(text).alias("t"), F.col(label).cast("int").alias("y")), "labelled")
+    known = labelled.where(F.col(label).isin(0, 1)).select(
+        whole_text(text).alias("t"), F.col(label).cast("int").alias("y"))
     chosen = sample(known, rows, "t", "y").select(
         F.pmod(F.xxhash64(F.lit(9), "t", "y"), F.lit(SHARDS)).alias("shard"),
         F.xxhash64("t", "y").alias("place"), "y", features(F.col("t")).alias("ids"))
@@ -99,17 +99,12 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label",
         values, offsets = flat(group["ids"])
         ids, x, bounds = _sparse(values.to_numpy(zero_copy_only=False), offsets)
         w = follow_the_leader(ids, x, bounds, group["y"].to_numpy(), range(group.num_rows))
-        used = np.flatnonzero(w)
-        return pa.table({"id": used.astype(np.int32), "w": w[used], "n": np.full(
-            len(used), group.num_rows)})
-
-    parts = chosen.groupBy("shard").applyInArrow(learn, "id int, w double, n bigint")
-    seen = known.count() and chosen.count()
-    out = np.zeros(BUCKETS + 1)
-    if seen:
-        total = parts.groupBy("id").agg(F.sum(F.col("w") * F.col("n")).alias("w")).toPandas()
-        out[total["id"]] = total["w"] / seen
-    return out
+        return pa.table({"n": pa.array([group.num_rows], pa.int64()),
+                         "w": pa.array([w.tobytes()], pa.binary())})
+
+    parts = chosen.groupBy("shard").applyInArrow(learn, "n bigint, w binary").collect()
+    seen = sum(r.n for r in parts)
+    return sum((np.frombuffer(r.w) * (r.n / seen) for r in parts), np.zeros(BUCKETS + 1))
 
 
 def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "score") -> DataFrame:

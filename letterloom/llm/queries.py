@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from letterloom.llm import (langid, lines, mixing, pieces, pii, quality, rules, secrets,
                             simhash, vectors)
-from letterloom.llm.common import held_out, table
+from letterloom.llm.common import held_out, in_sample, table
 from letterloom.llm.spans import joined
 
 # Vocabulary file of a public tokenizer.
@@ -110,9 +110,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts with the quality label of their document, held-out documents left out."""
-    known = labels.select("doc_id", F.col("quality").alias("label"))
-    return docs.select("doc_id", "text").where(~held_out()).join(known, "doc_id").select(
+    """Texts with the quality label of their document, held-out documents left out: about
+    ``quality.TRAINING_ROWS`` at most, chosen by id on both sides before they are joined."""
+    known = labels.where(~held_out() & F.col("quality").isin(0, 1)).select(
+        "doc_id", F.col("quality").alias("label"))
+    share = min(1.0, quality.TRAINING_ROWS / max(known.count(), 1))
+    chosen = (~held_out()) & (in_sample(share, "doc_id") if share < 1 else F.lit(True))
+    return docs.select("doc_id", "text").where(chosen).join(known.where(chosen), "doc_id").select(
         "text", "label")
 
 

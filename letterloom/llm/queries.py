@@ -160,3 +160,37 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), "ids",
         same("back").alias("round_trip"), F.coalesce(F.size("viterbi"), F.lit(0)).alias("n_viterbi"),
         same("viterbi back").alias("viterbi_round_trip"))
+
+
+ORACLES["op7_quality_rules"] = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)),
+                lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM words WHERE len(w) >= 8),
+windows AS (SELECT doc_id, p, array_to_string(w[p:p + 7], ' ') AS g FROM places),
+twice AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n
+  FROM windows) AS x WHERE n > 1),
+covered AS (SELECT doc_id, sum(least(8, coalesce(after - p, 8)))::BIGINT AS n FROM (
+  SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS after FROM twice) AS x
+  GROUP BY doc_id),
+counted AS (
+  SELECT words.doc_id, t, w, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+    coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+  FROM words LEFT JOIN covered ON covered.doc_id = words.doc_id),
+judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+    OR 2 * n_dup_lines > n_lines
+    OR 5 * len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) > n_words
+    OR 10 * len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^[ ]*[-*•]')))
+       > 9 * n_lines
+    OR length(regexp_replace(t, '[^\p{L}]', '', 'g')) * 2 < word_chars
+    OR length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) * 2
+       > length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS rejected FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT rejected AS kept FROM judged
+"""

@@ -64,6 +64,11 @@ def text_counts(df: DataFrame, text: str = "text", out: str = "counts") -> DataF
     return df.withColumn(out, counted)
 
 
+def stuttered(words: Column) -> Column:
+    """Words equal to the one before."""
+    return let(words, lambda w: F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))))
+
+
 @dataclass(frozen=True)
 class Rule:
     """A text is rejected where ``fails`` is true."""
@@ -83,7 +88,8 @@ def standard_rules(text: str = "text", counts: str = "counts") -> list[Rule]:
         Rule("symbols", F.expr(f"10 * {c}.n_symbols > {c}.n_words")),
         Rule("word_length", F.expr(f"{c}.word_chars < 2 * {c}.n_words OR "
                                    f"{c}.word_chars > 15 * {c}.n_words")),
-        Rule("dup_lines", F.expr(f"10 * {c}.n_dup_lines > 3 * {c}.n_lines")),
+        Rule("dup_lines", F.expr(f"2 * {c}.n_dup_lines > {c}.n_lines")),
+        Rule("stutter", 5 * stuttered(words_of(body)) > F.col(f"{c}.n_words")),
         Rule("bullets", F.expr("10 * size(filter(split(coalesce(%s, ''), '\\n'), x -> "
                                "x rlike '^[ ]*[-*•]')) > 9 * %s.n_lines" % (text, c))),
         Rule("letters", F.char_length(F.regexp_replace(body, r"[^\p{L}]", "")) * 2

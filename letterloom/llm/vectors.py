@@ -103,7 +103,7 @@ def _links(table: pa.Table, window: int, least: float, seam: int | None = None):
                 i = i[(i < seam) & (i + step >= seam)]
             if not len(i):
                 continue
-            close = np.einsum("ij,ij->i", v[i - lo], v[i - lo + step]) >= least - 1e-9
+            close = np.einsum("ij,ij->i", v[i - lo], v[i - lo + step]) >= least
             x.append(i[close]), y.append(i[close] + step)
     root = forest(len(cid), np.concatenate(x), np.concatenate(y))
     linked = np.flatnonzero(root != np.arange(len(root)))

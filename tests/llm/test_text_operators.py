@@ -104,3 +104,10 @@ def test_empty_tables(texts, op):
 
 def test_joined_is_empty_without_spans(texts):
     assert pii.find_pii(texts.where("text = ''")).select(joined(pii.F.col("pii"))).first()[0] == ""
+
+
+def test_rules_query_equals_sql(spark):
+    from checks.compare import connect, differences
+
+    df = queries.op7_quality_rules(spark, DATA)
+    assert not differences(connect(DATA), df, queries.ORACLES["op7_quality_rules"])

@@ -18,6 +18,7 @@ from checks import fixtures as fx  # noqa: E402
 from checks.registry import Tables  # noqa: E402
 from letterloom import build_session  # noqa: E402
 from letterloom.functions.intent import classify_intent  # noqa: E402
+from letterloom.operators import briefing as B  # noqa: E402
 from letterloom.operators import commitments as C  # noqa: E402
 from letterloom.operators import mutate as M  # noqa: E402
 from letterloom.operators import people as P  # noqa: E402
@@ -59,6 +60,8 @@ def headline(t: Tables, mail, replies) -> dict:
         "X1_classify_mail": lambda: classify_intent(mail, self_email=SELF),
         "X1_classify_documents": lambda: classify_intent(
             docs, self_email=SELF, snippet=None, labels=None),
+        "W7_briefing_sections": lambda: B.briefing_sections(mail, AS_OF, self_email=SELF),
+        "A16_briefing_counts": lambda: B.briefing_counts(mail, self_email=SELF),
         "X4_commitments": lambda: C.commitments(mail, self_email=SELF),
     }
 

@@ -251,14 +251,14 @@ def _(t):
 
 
 @check("U2_relabel", """
-SELECT id, CASE WHEN id IN (SELECT original_id FROM reply_requests) AND labels = '' THEN 'New'
-  WHEN id IN (SELECT original_id FROM reply_requests) AND labels = 'Work' THEN 'Work,New'
-  ELSE 'other' END AS labels FROM mail WHERE labels IN ('', 'Work')""", REPLY)
+SELECT id, CASE WHEN hit THEN array_to_string(list_filter(ls, lambda x, i: list_position(ls, x) = i), ',')
+  ELSE labels END AS labels
+FROM (SELECT id, labels, id IN (SELECT original_id FROM reply_requests) AS hit, list_append(
+    list_filter(list_transform(string_split(labels, ','), lambda x: trim(x)), lambda x: x <> ''),
+    'New') AS ls FROM mail) AS m""", REPLY)
 def _(t):
     ids = t.reply_requests.select(F.col("original_id").alias("id"))
-    out = M.relabel(t.mail.filter("labels IN ('', 'Work')"), ids, "New")
-    return out.select("id", F.when(F.col("labels").contains("New"), F.col("labels"))
-                      .otherwise("other").alias("labels"))
+    return M.relabel(t.mail, ids, "New").select("id", "labels")
 
 
 # --- Removal ------------------------------------------------------------------------
@@ -275,11 +275,13 @@ def _(t):
         links.select(F.lit("link").alias("kind"), "id"))
 
 
-@check("J11_empty_folder", """SELECT folder, count(*) AS n FROM mail WHERE folder <> 'TRASH'
-GROUP BY folder""")
+@check("J11_empty_folder", """SELECT 'mail' AS kind, id FROM mail WHERE folder <> 'TRASH'
+UNION ALL SELECT 'link', id FROM links
+  WHERE email_id NOT IN (SELECT id FROM mail WHERE folder = 'TRASH')""", ("mail", "links"))
 def _(t):
-    mail, _links = M.empty_folder(t.mail, t.links, "TRASH")
-    return mail.groupBy("folder").agg(F.count("*").alias("n"))
+    mail, links = M.empty_folder(t.mail, t.links, "TRASH")
+    return mail.select(F.lit("mail").alias("kind"), "id").unionByName(
+        links.select(F.lit("link").alias("kind"), "id"))
 
 
 @check("J13_drop_sent_drafts", """SELECT id, folder FROM mail

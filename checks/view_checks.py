@@ -7,6 +7,8 @@ from letterloom.operators.links import link_state
 from letterloom.operators.people import contacts, suggest_contacts
 from letterloom.operators.saved_searches import match_saved_searches
 from letterloom.schema import LIST_COLUMNS
+from letterloom.sources.tables import load_mail, write_version
+from letterloom.streaming.sinks import job_dir
 from pyspark.sql import functions as F
 
 from checks.registry import AS_OF, AWAKE, CORR, NOW, OWN, SELF, check
@@ -31,9 +33,11 @@ BULK = f"(intent IN ('NEWSLETTER', 'PROMOTION') OR {NEWS})"
 ANSWER = "(intent = 'COMMITMENT' OR contains(body, '?'))"
 
 
-@check("S1_load_mail", "SELECT id, from_email, date, is_read FROM mail")
+@check("S1_load_mail", "SELECT id, from_email, date, is_read, folder, body FROM mail")
 def _(t):
-    return t.mail.select("id", "from_email", "date", "is_read")
+    path = job_dir(t.spark, "load")
+    write_version(t.mail, path)
+    return load_mail(t.spark, path, ["id", "from_email", "date", "is_read", "folder", "body"])
 
 
 @check("S8_lookup", "SELECT id, folder FROM mail WHERE id IN (SELECT id FROM updates)",

@@ -14,6 +14,7 @@ from letterloom.functions.intent import classify_intent
 from letterloom.functions.replies import parse_model_reply
 from letterloom.functions.score import priority_level
 from letterloom.operators.commitments import detect_commitments
+from letterloom.operators.mutate import update_fields
 from letterloom.schema import DEFAULT_SELF
 
 
@@ -94,6 +95,11 @@ def refine_intent(df: DataFrame, replies: DataFrame, *,
             .select("id", "c.*", "source"))
 
 
+def persist_intents(df: DataFrame, refined: DataFrame) -> DataFrame:
+    """The mail table with the refined intents of ``refine_intent`` as its own."""
+    return update_fields(df, refined.select("id", "intent"))
+
+
 def merge_handled(df: DataFrame, replies: DataFrame, *,
                   self_email: str = DEFAULT_SELF) -> DataFrame:
     """Workflow proposal per message: the best reply, with the rules stepping in for

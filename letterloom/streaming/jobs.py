@@ -173,6 +173,16 @@ def stream_label_counts(mail: DataFrame) -> DataFrame:
             .agg(F.count("*").alias("n")))
 
 
+def view_counts_batch(mail: Table, *, self_email: str = DEFAULT_SELF):
+    """For ``changes_to``: view counts that follow the clock.  Every batch of ticks counts
+    the current mail table as of its newest tick; the key is ``view``."""
+    def change(ticks: DataFrame) -> DataFrame:
+        now = ticks.agg(F.max("ts").cast("timestamp_ntz")).scalar()
+        return stats.view_counts(_current(mail), now, self_email=self_email).withColumn(
+            "as_of", now)
+    return change
+
+
 def stream_view_counts(mail: DataFrame, as_of, *, self_email: str = DEFAULT_SELF) -> DataFrame:
     """Running view counts for a fixed moment.  Membership moves with the clock: a
     job that follows the clock recomputes them per batch with ``stats.view_counts``."""

@@ -333,3 +333,13 @@ def test_transcripts_and_suggestions_are_whole(spark, mail):
     people = spark.createDataFrame([("a@b.example", name)], "email string, name string")
     typed = spark.createDataFrame([(name,)], "text string")
     assert P.suggest_contacts(people, typed).count() == 1
+
+
+def test_refined_intents_are_stored(spark, mail):
+    replies = mail.select(
+        F.col("id").alias("email_id"), F.lit("a").alias("model"), F.lit(0).cast("long").alias("ordinal"),
+        F.lit('{"intent": "ORDER", "confidence": 1.0}').alias("content"))
+    refined = votes.refine_intent(mail, replies, self_email=SELF)
+    stored = votes.persist_intents(mail, refined)
+    assert stored.columns == mail.columns
+    assert rows(stored.select("id", "intent")) == rows(refined.select("id", "intent"))

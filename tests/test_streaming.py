@@ -215,3 +215,19 @@ def test_views_of_links_made_after_the_start(spark, folder):
     finish(changes_to(feed.stream(), out, change=job))
     got = latest_changes(spark, out, ["token"], smallest="viewed_at").orderBy("token").collect()
     assert [(r.token, r.viewed_at) for r in got] == [("t1", at(10)), ("t2", at(30))]
+
+
+def test_view_counts_follow_the_clock(spark, folder):
+    from letterloom.operators import stats as S
+
+    mail = fx.table(spark, "/root/testdata/sf0.001", "mail")
+    feed = Feed(spark, f"{folder}/t", "ts timestamp")
+    feed.add((dt.datetime(2024, 1, 10),)).add((dt.datetime(2024, 1, 30, 12),))
+    out = f"{folder}/out"
+    finish(changes_to(feed.stream(), out, change=J.view_counts_batch(lambda: mail)))
+    got = {(r.view, r.n) for r in latest_changes(spark, out, ["view"]).collect()}
+    want = S.view_counts(mail, "2024-01-30 12:00:00").collect()
+    assert got == {(r.view, r.n) for r in want}
+    early = {(r.view, r.n) for r in S.view_counts(mail, "2024-01-10 00:00:00").collect()}
+    first = rows_of(spark, out).filter("epoch = 0").collect()
+    assert {(r.view, r.n) for r in first} == early

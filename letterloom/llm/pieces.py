@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from letterloom.llm.arrays import flat
 
 SPACE = "▁"
-CELLS = 1 << 22      # table cells (words x places x lengths) that are open at once
+CELLS = 1 << 18      # table cells (words x places x lengths) that are open at once
+TOKENS = 1_000_000   # words that a task holds at once, besides one whole text
 LONG_WORD = 256      # above, byte-pair merges go through a heap
 UNIGRAM, BPE = 1, 2  # model types of the format
 NORMAL, UNKNOWN, CONTROL, BYTE = 0, 1, 2, 3
@@ -160,22 +163,25 @@ def _merges(table: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     """Lengths of the pieces at their starts by byte-pair merges: in every round each
     word merges its neighbours with the best-scored union, the leftmost of equals."""
     n, size, reach = table.shape
-    score = np.where(table >= 0, vocab.scores[table], -np.inf)
+    score = np.append(vocab.scores, -np.inf).astype(np.float32)[table]  # -1: the last
+    flat_score = score.reshape(-1)
     length = np.ones((n, size), np.int64)
-    active = np.arange(n)
+    active, part = np.arange(n), np.ones((n, size), np.int64)
     place = np.arange(size)
     while len(active) and size > 1:
-        part = length[active]
         after = np.minimum(place + part, size - 1)
-        union = part + np.take_along_axis(part, after, 1)
+        rows = np.arange(len(active))
+        union = part + part[rows[:, None], after]
         ok = (part > 0) & (place + part < size) & (union <= reach)
-        value = np.where(ok, score[active[:, None], place, np.minimum(union, reach) - 1], -np.inf)
+        cell = (active[:, None] * size + place) * reach + np.minimum(union, reach) - 1
+        value = np.where(ok, flat_score[cell], -np.inf)
         pick = value.argmax(axis=1)
-        rows = np.arange(len(active))
         going = value[rows, pick] > -np.inf
-        active, rows, pick = active[going], rows[going], pick[going]
-        length[active, pick] = union[rows, pick]
-        length[active, after[rows, pick]] = 0
+        length[active[~going]] = part[~going]
+        rows, pick = rows[going], pick[going]
+        part[rows, pick] = union[rows, pick]
+        part[rows, after[rows, pick]] = 0
+        active, part = active[going], part[going]
     return length
 
 
@@ -219,30 +225,41 @@ def _utf8(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def split_words(words: list[str], vocab: Vocabulary, method: int) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of distinct words, end to end, and offsets by word. Words of one length
-    advance together; ``method`` is ``UNIGRAM`` (Viterbi) or ``BPE`` (merges)."""
+def split_words(words: list[str], vocab: Vocabulary, methods: tuple[int, ...]) -> dict:
+    """Method -> piece ids of the words, end to end, and offsets by word. Words of one length
+    advance together; a method is ``UNIGRAM`` (Viterbi) or ``BPE`` (merges), and all of
+    them read the same tables."""
     sizes = np.array([len(w) for w in words], np.int64)
     c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     first = np.cumsum(sizes) - sizes
-    length = np.zeros(len(c), np.int64)   # by flat place: length of the piece there
-    piece = np.full(len(c), -1, np.int64)
-    for size in np.unique(sizes):
+    # By flat place: length and id of the piece that starts there.
+    length = {m: np.zeros(len(c), np.int32) for m in methods}
+    piece = {m: np.full(len(c), -1, np.int32) for m in methods}
+    order = np.argsort(sizes, kind="stable")
+    bounds = np.searchsorted(sizes[order], np.unique(sizes))
+    for group in np.split(order, bounds[1:]):
+        size = int(sizes[group[0]]) if len(group) else 0
         if size == 0:
             continue
-        group = np.flatnonzero(sizes == size)
-        many = max(1, CELLS // int(size * max(1, min(size, vocab.longest))))
+        many = max(1, CELLS // (size * max(1, min(size, vocab.longest))))
         for lo in range(0, len(group), many):
             at = first[group[lo:lo + many]][:, None] + np.arange(size)
             table = _tables(c[at], vocab)
-            if method == UNIGRAM:
-                cut = _viterbi(table, vocab)
-            elif size > LONG_WORD:
-                cut = np.stack([_merges_of_long(t, vocab) for t in table])
-            else:
-                cut = _merges(table, vocab)
-            length[at] = cut
-            piece[at] = np.take_along_axis(table, np.maximum(cut - 1, 0)[:, :, None], 2)[:, :, 0]
+            for m in methods:
+                if m == UNIGRAM:
+                    cut = _viterbi(table, vocab)
+                elif size > LONG_WORD:
+                    cut = np.stack([_merges_of_long(t, vocab) for t in table])
+                else:
+                    cut = _merges(table, vocab)
+                length[m][at] = cut
+                piece[m][at] = np.take_along_axis(
+                    table, np.maximum(cut - 1, 0)[:, :, None], 2)[:, :, 0]
+    return {m: _pieces_of(words, c, first, length[m], piece[m], vocab) for m in methods}
+
+
+def _pieces_of(words, c, first, length, piece, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and offsets of words; characters outside the vocabulary become bytes."""
     starts = np.flatnonzero(length)
     found = piece[starts]
     bare = found < 0                      # single characters outside the vocabulary
@@ -260,11 +277,49 @@ def split_words(words: list[str], vocab: Vocabulary, method: int) -> tuple[np.nd
             ids[at[bare][has] + k] = vocab.bytes_at[raw[has, k]]
     else:
         ids[at[bare]] = vocab.unknown
-    word_of = np.searchsorted(first, starts, "right") - 1 if len(first) else starts
     # Empty words share their start with the next word; they own no piece.
+    word_of = np.searchsorted(first, starts, "right") - 1 if len(first) else starts
     return ids, np.append(0, np.cumsum(np.bincount(word_of, counts, len(words)))).astype(np.int64)
 
 
+def _marked_words(column, vocab: Vocabulary) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words (with the spaces in front of them as ``SPACE``) of texts that were cut at every
+    space: distinct words, the word numbers of all texts end to end, and their offsets.
+
+    Between single spaces every token is a word. Texts with other runs of spaces, or with
+    ``SPACE`` itself, are cut again one by one.
+    """
+    values, offsets = flat(column)
+    coded = values.dictionary_encode()
+    names = [SPACE + w for w in coded.dictionary.to_pylist()]
+    codes = coded.indices.to_numpy().astype(np.int64)
+    size = np.diff(offsets)
+    row = np.repeat(np.arange(len(size)), size)
+    odd = np.array([len(w) == 1 or SPACE in w[1:] for w in names], bool)
+    again = np.zeros(len(size), bool)
+    if vocab.apart:
+        again[row[odd[codes]]] = True
+    else:
+        again[size > 0] = True
+    if not again.any():
+        return names, codes, offsets
+    special = {}
+    for r in np.flatnonzero(again):
+        text = "".join(names[k] for k in codes[offsets[r]:offsets[r + 1]])
+        special[r] = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+$", text) if vocab.apart else [text]
+    new_size = size.copy()
+    for r, words in special.items():
+        new_size[r] = len(words)
+    new_offsets = np.append(0, np.cumsum(new_size))
+    out = np.empty(new_offsets[-1], np.int64)
+    keep = ~again[row]
+    out[(new_offsets[row] + np.arange(len(codes)) - offsets[row])[keep]] = codes[keep]
+    for r, words in special.items():
+        out[new_offsets[r]:new_offsets[r + 1]] = len(names) + np.arange(len(words))
+        names += words
+    return names, out, new_offsets
+
+
 def _gather(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs ``rows`` of ``values`` end to end, and the end of each."""
     n = offsets[rows + 1] - offsets[rows]
@@ -273,22 +328,30 @@ def _gather(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[
     return values[index], ends
 
 
-def encode_lists(column, vocab: Vocabulary, method: int) -> pa.Array:
-    """Piece ids of lists of words, ``array<int>`` for every list; null stays null."""
-    values, offsets = flat(column)
-    coded = values.dictionary_encode()
-    ids, bounds = split_words(coded.dictionary.to_pylist(), vocab, method)
-    out, ends = _gather(ids, bounds, coded.indices.to_numpy().astype(np.int64))
-    ends = np.append(0, ends)[offsets].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(out), mask=column.is_null())
+def encode_lists(column, vocab: Vocabulary, methods: tuple[int, ...]) -> dict[int, pa.Array]:
+    """Method -> piece ids (``array<int>``) of texts cut at every space; null stays null."""
+    names, codes, offsets = _marked_words(column, vocab)
+    out = {}
+    for m, (ids, bounds) in split_words(names, vocab, methods).items():
+        flat_ids, ends = _gather(ids, bounds, codes)
+        ends = np.append(0, ends)[offsets].astype(np.int32)
+        out[m] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat_ids), mask=column.is_null())
+    return out
+
 
+def _tokens(text: Column) -> Column:
+    """A text cut at every space; an empty text has no token."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
 
-def _words(text: Column, vocab_apart: bool) -> Column:
-    """Words, each with the spaces in front of it. Every text gets one in front."""
-    marked = F.concat(F.lit(SPACE), F.translate(text, " ", SPACE))
-    cut = f"(?<=[^{SPACE}])(?={SPACE})"
-    words = F.split(marked, cut) if vocab_apart else F.array(marked)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(words)
+
+def _parts(batch: pa.RecordBatch, last: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``TOKENS`` list elements in column ``last`` at most."""
+    offsets = flat(batch.column(last))[1]
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + TOKENS, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def encoded(docs: DataFrame, vocab: Vocabulary, text: str = "text", out: str = "ids",
@@ -304,20 +367,55 @@ def encoded(docs: DataFrame, vocab: Vocabulary, text: str = "text", out: str = "
     sent = docs.sparkSession.sparkContext.broadcast(vocab)  # its size is the vocabulary's
     method = method or vocab.model
     work = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out],
-                       _words(F.col(text), vocab.apart).alias("llm words"))
+                       _tokens(F.col(text)).alias("llm words"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in work.schema.fields[:-1])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, max(batch.num_rows, 1), 2_000):
-                part = batch.slice(lo, 2_000)
-                ids = encode_lists(part.column(part.num_columns - 1), sent.value, method)
+            last = batch.num_columns - 1
+            for part in _parts(batch, last):
+                ids = encode_lists(part.column(last), sent.value, (method,))[method]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], ids], [*part.schema.names[:-1], out])
 
     return work.mapInArrow(encode, f"{schema}`{out}` array<int>")
 
 
+def round_trips(docs: DataFrame, vocab: Vocabulary, keep: list[str], text: str = "text",
+                viterbi: bool = False) -> DataFrame:
+    """The columns ``keep`` with ``ids`` of the model's own method and ``round_trip``: they
+    decode to the text again. With ``viterbi`` also ``n_viterbi`` and
+    ``viterbi_round_trip`` for the split by Viterbi. All in one pass over the texts, which
+    share tables and words. Texts with U+2581 decode to spaces there, and count as equal.
+    Null texts have null ids and are equal to nothing else."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocab)
+    work = docs.select(*[F.col(f"`{c}`") for c in keep], _tokens(F.col(text)).alias("llm words"))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in work.schema.fields[:-1])
+    methods = tuple(dict.fromkeys([vocab.model, UNIGRAM] if viterbi else [vocab.model]))
+
+    def same(column, ids) -> pa.Array:
+        plain = pc.replace_substring(pc.binary_join(column, " "), SPACE, " ")
+        equal = pc.equal(plain, decode_lists(ids, sent.value))
+        return pc.fill_null(equal, True)  # null and null
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = batch.num_columns - 1
+            for part in _parts(batch, last):
+                column = part.column(last)
+                ids = encode_lists(column, sent.value, methods)
+                new = {"ids": ids[methods[0]], "round_trip": same(column, ids[methods[0]])}
+                if viterbi:
+                    n = pc.fill_null(pc.list_value_length(ids[UNIGRAM]), 0)
+                    new |= {"n_viterbi": n.cast(pa.int32()),
+                            "viterbi_round_trip": same(column, ids[UNIGRAM])}
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], *new.values()], [*keep, *new])
+
+    more = ", n_viterbi int, viterbi_round_trip boolean" if viterbi else ""
+    return work.mapInArrow(run, f"{schema}ids array<int>, round_trip boolean{more}")
+
+
 def decode_lists(column, vocab: Vocabulary) -> pa.Array:
     """Texts of lists of piece ids."""
     raw = [b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE
@@ -348,8 +446,7 @@ def decoded(df: DataFrame, vocab: Vocabulary, ids: str = "ids", out: str = "text
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, max(batch.num_rows, 1), 2_000):
-                part = batch.slice(lo, 2_000)
+            for part in _parts(batch, kept.index(ids)):
                 text = decode_lists(part.column(kept.index(ids)), sent.value)
                 yield pa.RecordBatch.from_arrays([*part.columns, text], [*kept, out])
 

@@ -150,16 +150,9 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document by the model's own method and by Viterbi, each decoded
     again and compared with the text."""
-    vocab = pieces.load_vocabulary(PIECES)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    own = pieces.decoded(pieces.encoded(docs, vocab), vocab, out="back")
-    both = pieces.encoded(own, vocab, out="viterbi", method=pieces.UNIGRAM)
-    done = pieces.decoded(both, vocab, ids="viterbi", out="viterbi back")
-    same = lambda c: F.col(c).eqNullSafe(F.translate("text", pieces.SPACE, " "))
-    return done.select(
-        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), "ids",
-        same("back").alias("round_trip"), F.coalesce(F.size("viterbi"), F.lit(0)).alias("n_viterbi"),
-        same("viterbi back").alias("viterbi_round_trip"))
+    done = pieces.round_trips(table(spark, sf_dir, "documents"), pieces.load_vocabulary(PIECES),
+                              ["doc_id"], viterbi=True)
+    return done.withColumn("n_pieces", F.coalesce(F.size("ids"), F.lit(0)))
 
 
 ORACLES["op7_quality_rules"] = r"""

@@ -45,12 +45,12 @@ def test_ids_equal_the_library(spark, vocab, library, texts):
                max_size=60))
 def test_any_text_round_trips(text):
     vocab = _cached()
-    words = [] if not text else _python_words(text)
-    ids = pieces.encode_lists(pa.array([words], pa.list_(pa.string())), vocab, vocab.model)
+    tokens = pa.array([text.split(" ") if text else []], pa.list_(pa.string()))
+    found = pieces.encode_lists(tokens, vocab, (vocab.model, pieces.UNIGRAM))
+    ids = found[vocab.model]
     assert ids[0].as_py() == _library().encode(text)
     assert pieces.decode_lists(ids, vocab)[0].as_py() == text.replace("▁", " ")
-    best = pieces.encode_lists(pa.array([words], pa.list_(pa.string())), vocab, pieces.UNIGRAM)
-    assert pieces.decode_lists(best, vocab)[0].as_py() == text.replace("▁", " ")
+    assert pieces.decode_lists(found[pieces.UNIGRAM], vocab)[0].as_py() == text.replace("▁", " ")
 
 
 _CACHE = {}
@@ -76,7 +76,7 @@ def test_viterbi_equals_all_splits():
     score = dict(zip(vocab.pieces, vocab.scores))
     bad = min(vocab.scores[1:]) - 10
     words = ["".join(rng.choice(list("abcz"), n)) for n in (1, 2, 3, 5, 7, 8, 8, 9)]
-    ids, bounds = pieces.split_words(words, vocab, pieces.UNIGRAM)
+    ids, bounds = pieces.split_words(words, vocab, (pieces.UNIGRAM,))[pieces.UNIGRAM]
     for i, w in enumerate(words):
         best = max(sum(score.get(p, bad if len(p) == 1 else -1e18) for p in split)
                    for cuts in itertools.product([0, 1], repeat=len(w) - 1)
@@ -102,7 +102,7 @@ def test_viterbi_never_scores_below_merges(vocab):
     words = [w for t in TEXTS if t and len(t) < 4000 for w in _python_words(t)] + ["▁inter" * 5, "▁"]
     total = {}
     for method in (pieces.UNIGRAM, pieces.BPE):
-        ids, bounds = pieces.split_words(words, vocab, method)
+        ids, bounds = pieces.split_words(words, vocab, (method,))[method]
         sums = np.concatenate([[0], np.cumsum(np.where(vocab.kinds[ids] == pieces.NORMAL, vocab.scores[ids], 0))])
         total[method] = np.diff(sums[bounds])
     assert (total[pieces.UNIGRAM] >= total[pieces.BPE] - 1e-6).all()
@@ -110,9 +110,9 @@ def test_viterbi_never_scores_below_merges(vocab):
 
 def test_long_words_by_heap_equal_rounds(vocab, monkeypatch):
     words = ["▁internationalisation" * 9, "a" * 250, "0123456789" * 20, "éßab" * 50]
-    one = pieces.split_words(words, vocab, pieces.BPE)
+    one = pieces.split_words(words, vocab, (pieces.BPE,))[pieces.BPE]
     monkeypatch.setattr(pieces, "LONG_WORD", 0)
-    two = pieces.split_words(words, vocab, pieces.BPE)
+    two = pieces.split_words(words, vocab, (pieces.BPE,))[pieces.BPE]
     assert all((a == b).all() for a, b in zip(one, two))
 
 

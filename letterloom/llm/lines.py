@@ -82,21 +82,22 @@ def line_texts(wanted: DataFrame, places: DataFrame, docs: DataFrame, doc_id: st
     return one.withColumn("n", n_shingles(F.col("line")))
 
 
-def similar(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
+def similar(pairs: DataFrame, lines: DataFrame, least: float, parts=shingles) -> DataFrame:
     """The pairs ``(a, b)`` of line keys whose lines have a Jaccard similarity of ``least``
-    or more, computed exactly. Sets whose sizes rule it out are not compared."""
+    or more, computed exactly on their ``parts``. Sets whose sizes rule it out are not
+    compared."""
     def side(x: str) -> DataFrame:
         return lines.select(F.col("h").alias(x), F.col("line").alias(f"line_{x}"),
                             F.col("n").alias(f"n_{x}"))
     met = pairs.join(side("a"), "a").where("n_a > 0").join(side("b"), "b").where(
         F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b"))
     both = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect(
-        shingles(F.col("line_a")), shingles(F.col("line_b")))).alias("both"))
+        parts(F.col("line_a")), parts(F.col("line_b")))).alias("both"))
     return both.where(F.col("both") >= F.lit(least) * (F.col("n_a") + F.col("n_b") - F.col("both"))
                       ).select("a", "b")
 
 
-def similar_lines(shared: DataFrame, lines: DataFrame, least: float) -> DataFrame:
+def similar_lines(shared: DataFrame, lines: DataFrame, least: float, parts=shingles) -> DataFrame:
     """``(id, root)`` of lines ``h`` that share a ``key`` and hang together by similar pairs.
 
     In each of ``ROUNDS`` rounds every bucket that still holds several groups has a leader
@@ -125,7 +126,7 @@ def similar_lines(shared: DataFrame, lines: DataFrame, least: float) -> DataFram
                        .distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
-        found = stored(similar(pairs, lines, least), "links")
+        found = stored(similar(pairs, lines, least, parts), "links")
         tested = tested.union(pairs)
         if not found.isEmpty():
             groups = stored(groups_of_links(groups.toDF("a", "b").union(found)), "groups")

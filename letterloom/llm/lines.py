@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from letterloom.llm.common import groups_of_links, let, stored, whole_text
 
 SHINGLE = 5         # characters of a shingle that similarity is measured on
-ANCHORED = 12       # characters of a signature shingle of a long line
-SHORT, LONG = 125, 100  # lines up to SHORT are signed at every character, lines from
-                        # LONG on at word starts; in between both ways, so that
-                        # similar lines on either side of a limit share a way
-# Band keys of a signature, and the minima that make one key: the short way has common
-# shingles and takes three, the long way has rarer ones and takes two.
-KEYS, ROWS = (10, 8), (3, 2)
+LONG_SHINGLE = 8    # characters of a signature shingle of a long line, which is rarer
+SHORT, LONG = 125, 100  # lines up to SHORT are signed by SHINGLE, lines from LONG on by
+                        # LONG_SHINGLE, both at every character, so that no script or
+                        # separator matters; in between both ways, so that similar
+                        # lines on either side of a limit share a way
+# Band keys of a signature, and the minima that make one key. Scattered edits at
+# similarity 0.8 leave the longer shingles about 0.72, so the long way has more keys.
+KEYS, ROWS = (10, 20), (3, 3)
 ROUNDS = 3          # leaders that a bucket is compared with before all its other pairs
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
@@ -47,12 +48,10 @@ def signed_lines(lines: DataFrame) -> DataFrame:
     their own, outside lambdas, where Spark compiles it."""
     size, none = F.char_length("line"), F.array().cast("array<bigint>")
     hashed = lambda parts: F.transform(parts, lambda x: F.xxhash64(x))
-    starts = F.regexp_extract_all("line", F.lit(
-        r"(?<![^\x20])(?=([^\x20].{0,%d}))" % (ANCHORED - 1)), 1)
     every = F.when(size <= SHORT, hashed(shingles(F.col("line")))).otherwise(none)
-    anchored = F.when(size >= LONG, hashed(starts)).otherwise(none)
+    longer = F.when(size >= LONG, hashed(shingles(F.col("line"), LONG_SHINGLE))).otherwise(none)
     ordered = lines.withColumn("low_0", F.sort_array(F.array_distinct(every))) \
-        .withColumn("low_1", F.sort_array(F.array_distinct(anchored)))
+        .withColumn("low_1", F.sort_array(F.array_distinct(longer)))
     return ordered.withColumn("keys", F.concat(band_keys("low_0", 0), band_keys("low_1", 1))) \
         .drop("low_0", "low_1")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from letterloom.llm.common import let, whole_text
-from letterloom.llm.spans import matches, no_spans, tagged
+from letterloom.llm.spans import matches, matches_anywhere, no_spans, tagged
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("iban", "ssn")
@@ -20,7 +20,19 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
 # A chain of digits is read whole: only chains of 16 to 19 digits can pass.
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+# Characters of an account number without spaces, by country. Other countries have runs
+# of any length that end where the capitals and digits do.
+IBAN_LENGTH = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+IBAN = r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:%s|(?!%s)[A-Z0-9]{4}%s)(?![A-Za-z0-9])" % (
+    "|".join(r"(?:%s)[0-9]{2}(?:\x20?[A-Z0-9]){%d}" % (c.replace(" ", "|"), n - 4)
+             for n, c in IBAN_LENGTH.items()),
+    "|".join(" ".join(IBAN_LENGTH.values()).split()), r"(?:\x20?[A-Z0-9]){11,30}+")
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
 CONTEXT = {
@@ -64,8 +76,8 @@ def pii_spans(text: Column, min_score: float = 0.6) -> Column:
     Extra kinds are kept with ``min_score`` or more: an account number that passes
     mod 97 is sure enough alone, three groups of digits need a context word.
     """
-    def kind(name, pattern, may, passes, confirmed):
-        found = F.filter(matches(text, pattern), passes)
+    def kind(name, pattern, may, passes, confirmed, found=None):
+        found = F.filter(matches(text, pattern), passes) if found is None else found
         return F.when(may, tagged(name, found, _score(name, confirmed))).otherwise(no_spans())
 
     def parts_ok(m):
@@ -74,8 +86,8 @@ def pii_spans(text: Column, min_score: float = 0.6) -> Column:
             & (F.lpad(v, 3, "0") <= "255")))
 
     extra = F.concat(
-        kind("iban", IBAN, text.rlike("[A-Z]{2}[0-9]{2}"),
-             lambda m: mod_97(m.hit) == 1, 0.7),
+        kind("iban", IBAN, text.rlike("[A-Z]{2}[0-9]{2}"), None, 0.7,
+             matches_anywhere(text, IBAN, lambda hit: mod_97(hit) == 1)),
         kind("ssn", SSN, text.rlike("[0-9]{3}-[0-9]{2}-"), lambda m: F.lit(True), 0.4))
     return F.concat(
         kind("email", EMAIL, text.contains("@"), lambda m: F.lit(True), 0.7),

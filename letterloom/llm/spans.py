@@ -49,6 +49,32 @@ def matches(text: Column, pattern: str, context: int = 48) -> Column:
                         F.regexp_extract_all(text, F.lit(pattern), 0).alias("hits")), placed)
 
 
+def matches_anywhere(text: Column, pattern: str, passes, context: int = 48) -> Column:
+    """Like ``matches``, for the matches that ``passes(hit)`` accepts: the pattern is tried
+    at every start, so one that is refused hides none that begins inside it. Of accepted
+    matches that overlap the first stays."""
+    at = f"(?=({pattern}))"
+
+    def placed(s):  # the mark in front keeps a match at the very start apart
+        return let(running_starts(F.transform(s.parts, lambda p: F.char_length(p))),
+                   lambda starts: F.transform(s.hits, lambda h, i: let(
+                       F.get(starts, i + 1) - 1, lambda start: F.struct(
+                           h.alias("hit"), start.alias("start"),
+                           (start + F.char_length(h)).alias("end"),
+                           F.right(F.get(s.parts, i), F.lit(context)).alias("before"),
+                           F.substr(F.get(s.parts, i + 1), F.char_length(h) + 1,
+                                    F.lit(context)).alias("after")))))
+
+    def apart(found):
+        return F.filter(found, lambda m, i: (i == 0) | (
+            F.array_max(F.transform(F.slice(found, F.lit(1), i), lambda p: p.end)) <= m.start))
+    marked = F.concat(F.lit("\n"), text)
+    return let(F.filter(let(F.struct(
+        F.split(marked, at, -1).alias("parts"),
+        F.regexp_extract_all(marked, F.lit(at), 1).alias("hits")), placed),
+        lambda m: passes(m.hit)), apart)
+
+
 def tagged(kind: str, found: Column, score) -> Column:
     """Spans of ``matches``; ``score(match)`` is a number."""
     return F.transform(found, lambda m: F.struct(

@@ -7,15 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from letterloom.llm.arrays import flat
-from letterloom.llm.common import sample, stored, whole_text
+from letterloom.llm.common import stored, whole_text
 
 BUCKETS = 1 << 17
 SHARDS = 4             # parts that learn on their own; their weights are averaged
-TRAINING_ROWS = 6_000  # bound of the training sample
+TRAINING_ROWS = 6_000  # bound of the training sample, shared out by size, but
+LEAST_ROWS = 300       # so many texts of every language, or all that it has
 EPOCHS = 2
 SEQUENCE = 128         # words of one training sequence
 BATCH = 32             # sequences of one update
@@ -206,14 +207,24 @@ def learn(texts: pa.Array, label: np.ndarray, n_labels: int, epochs: int = EPOCH
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang",
           rows: int = TRAINING_ROWS) -> Model:
     """A model from ``(text, lang)`` rows; rows without a lang or without letters teach
-    nothing. At most about ``rows`` rows are used, chosen by hash, dealt to ``SHARDS``
-    tasks that learn on their own; the driver averages their weights, whose size is fixed
-    by ``BUCKETS`` and the number of languages. Without rows the model has no labels."""
-    known = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    chosen = stored(sample(known, rows, text, lang).select(
-        F.pmod(F.xxhash64(F.lit(9), text, lang), F.lit(SHARDS)).alias("shard"),
-        F.xxhash64(text, lang).alias("place"), F.col(lang).alias("lang"),
-        letters(F.col(text)).alias("words")).where("size(words) > 0"), "labelled")
+    nothing. Every language of the table is learned: texts are counted per language over
+    all rows, and about ``rows`` of them in all, but ``LEAST_ROWS`` of every language,
+    are chosen by hash, copies once. They are dealt to ``SHARDS`` tasks that learn on
+    their own; the driver averages their weights, whose size is fixed by ``BUCKETS`` and
+    the number of languages. Without rows the model has no labels."""
+    known = labelled.where(F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull()).select(
+        F.col(text).alias("text"), F.col(lang).alias("lang"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n"))
+    share = F.greatest(F.lit(rows) / F.sum("n").over(Window.partitionBy()),
+                       F.lit(LEAST_ROWS) / F.col("n"))
+    parts = 1 << 40
+    bounds = sizes.select("lang", (F.least(F.lit(1.0), share) * parts).cast("long").alias("bound"))
+    texts = known.join(F.broadcast(bounds), "lang").where(
+        F.pmod(F.xxhash64(F.lit(17), "text", "lang"), F.lit(parts)) < F.col("bound")).select(
+        "lang", "text", F.xxhash64("text", "lang").alias("place")).dropDuplicates(["lang", "place"])
+    chosen = stored(texts.select(
+        F.pmod(F.xxhash64(F.lit(9), "text", "lang"), F.lit(SHARDS)).alias("shard"), "place", "lang",
+        letters(F.col("text")).alias("words")).where("size(words) > 0"), "labelled")
     labels = sorted(r[0] for r in chosen.select("lang").distinct().collect())
 
     def fit(group: pa.Table) -> pa.Table:

@@ -210,9 +210,10 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def one_of_each_group(docs: DataFrame, budget: int = 2) -> DataFrame:
-    """``docs`` with one row of each group: the one whose doc_id names it (any one row
-    when ids repeat; a group without an id keeps one row of each fingerprint). Columns
-    stay as they are."""
+    """``docs`` with the row of each group whose doc_id names it. Ids must be unique and
+    not null: a group without an id has no row here, and of rows that repeat an id only
+    one stays. ``neardup.one_of_each_group`` chooses rows, whatever their ids, and is
+    what the pipeline uses. Columns stay as they are."""
     groups = near_groups(docs, budget=budget)
     ids = groups.where("doc_id = component_id").select("doc_id")
     plain = ids.groupBy("doc_id").agg(F.count("*").alias("n"))

@@ -1,4 +1,4 @@
-"""The queries of the ten operators over whole tables, and SQL where it can say the same."""
+"""The queries of the operators over whole tables, and SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm import (langid, lines, mixing, pieces, pii, quality, rules, secrets,
-                            simhash, vectors)
-from letterloom.llm.common import held_out, in_sample, table
+from letterloom.llm import (langid, lines, mixing, periods, pieces, pii, quality, rules,
+                            secrets, simhash, vectors)
+from letterloom.llm.common import held_out, in_sample, let, table, whole_text, words_of
 from letterloom.llm.spans import joined
 
 # Vocabulary file of a public tokenizer.
@@ -155,6 +155,41 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("n_pieces", F.coalesce(F.size("ids"), F.lit(0)))
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """``docs`` in which every tenth text repeats a few of its words from some word on, as
+    the crc32 of its id (null: of an empty text) asks for."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        def from_word(a):
+            tail = F.size(w) - a
+            p = (1 + F.floor(tail / (3 + F.pmod(g, F.lit(8))))).cast("int")
+            loop = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil(tail / p).cast("int")))
+            return F.array_join(F.slice(F.concat(F.slice(w, F.lit(1), a), loop), F.lit(1), F.size(w)), " ")
+        return F.when(F.size(w) > 0, let(F.pmod(g, F.size(w)).cast("int"), from_word)).otherwise("")
+
+    return docs.withColumn("text", F.when(h % 10 == 0, let(words_of(whole_text()), repeated))
+                           .otherwise(whole_text()))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in every document, a tenth of which is made periodic."""
+    docs = looped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = periods.periodic_runs(docs)
+    longer = lambda x, y: x.length * y.period > y.length * x.period
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    best = F.aggregate("runs", none, lambda b, r: F.when(b.isNull() | longer(r, b), r).otherwise(b))
+    listed = F.transform("runs", lambda r: F.concat(r.start, F.lit(","), r.length, F.lit(","),
+                                                    r.period, F.lit("\n")))
+    return done.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length",
+        "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period"))
+        .alias("exponent_milli"), F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 ORACLES["op7_quality_rules"] = r"""
 WITH words AS (
   SELECT doc_id, coalesce(text, '') AS t,

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from letterloom.llm import (langid, lines, mixing, periods, pieces, pii, quality, rules,
-                            secrets, simhash, vectors)
-from letterloom.llm.common import held_out, in_sample, let, table, whole_text, words_of
+                            secrets, simhash, turns, vectors)
+from letterloom.llm.common import held_out, in_sample, let, stored, table, whole_text, words_of
 from letterloom.llm.spans import joined
 
 # Vocabulary file of a public tokenizer.
@@ -190,6 +190,26 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def damaged(convs: DataFrame) -> DataFrame:
+    """Conversations with faults put in by the crc32 of ``conv_id:turn`` (nulls: one
+    space): ``copies`` says how often a turn stands there."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    text = space("text")
+    return convs.select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(space("role")).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1).alias("copies"))
+
+
+@query
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, and its cheapest repair."""
+    convs = damaged(table(spark, sf_dir, "conversations"))
+    return turns.repaired_digests(convs, stored(turns.audits(convs, "copies"), "audits"), "copies").select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 ORACLES["op7_quality_rules"] = r"""
 WITH words AS (
   SELECT doc_id, coalesce(text, '') AS t,

@@ -29,8 +29,10 @@ def _seed(min_length: int, min_repeats: int) -> int:
     return min(shared_at_least(q, min_length, min_repeats) for q in range(1, min_length + 1))
 
 
-def suffix_order(codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffixes in order, and the ranks by 1, 2, 4, ... leading codes.
+def suffix_order(codes: np.ndarray,
+                 depth: int | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Suffixes in order, and the ranks by 1, 2, 4, ... leading codes; with ``depth`` by
+    so many codes at most.
 
     The last code must occur once. Prefix doubling, in which only places that still tie
     are sorted again."""
@@ -40,8 +42,9 @@ def suffix_order(codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     levels = [rank.astype(np.int32)]
     tied = np.flatnonzero(counts[inverse] > 1)
     step = 1
-    while len(tied):
-        key = rank[tied] * n + rank[tied + step]
+    while len(tied) and (depth is None or step < depth):
+        further = step if depth is None else min(step, depth - step)
+        key = rank[tied] * n + rank[tied + further]
         order = np.argsort(key)
         tied, key = tied[order], key[order]
         base = key // n
@@ -54,10 +57,8 @@ def suffix_order(codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         sizes = np.diff(np.append(np.flatnonzero(new), len(tied)))
         tied = tied[np.repeat(sizes > 1, sizes)]
         levels.append(rank.astype(np.int32))
-        step *= 2
-    suffixes = np.empty(n, np.int64)
-    suffixes[rank] = np.arange(n)
-    return suffixes, levels
+        step += further
+    return np.argsort(rank, kind="stable"), levels
 
 
 def shared_words(a: np.ndarray, b: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
@@ -236,9 +237,10 @@ def periodic_runs(docs: DataFrame, text: str = "text", out: str = "runs", short:
     """
     if min_repeats < 3:
         raise ValueError("min_repeats must be 3 or more")
-    kept = [c for c in docs.columns if c not in (text, out, short)]
-    work = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("binary").alias("text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in work.schema.fields[:-1])
+    kept = [f for f in docs.schema.fields if f.name not in (text, out, short)]
+    work = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)],
+                       F.col(f"`{text}`").cast("binary").alias("text"))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
     kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "length", "period")]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,6 +253,6 @@ def periodic_runs(docs: DataFrame, text: str = "text", out: str = "runs", short:
                         for w, r in zip(words, runs)]
                 yield pa.RecordBatch.from_arrays(
                     [*batch.slice(lo, len(texts)).columns[:-1], pa.array(rows, kind),
-                     pa.array(left, pa.string())], [*kept, out, short])
+                     pa.array(left, pa.string())], [*[f.name for f in kept], out, short])
 
     return work.mapInArrow(find, f"{schema}`{out}` {RUNS}, `{short}` string")

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm import (langid, lines, mixing, periods, pieces, pii, quality, rules,
-                            secrets, simhash, turns, vectors)
+from letterloom.llm import (langid, lines, mixing, pages, periods, pieces, pii, quality,
+                            rules, secrets, simhash, turns, vectors)
 from letterloom.llm.common import held_out, in_sample, let, stored, table, whole_text, words_of
 from letterloom.llm.spans import joined
 
@@ -210,6 +210,14 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
 
 
+@query
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, and how many words its host repeats outside articles."""
+    done = pages.main_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"),
+                       "n_repeated")
+
+
 ORACLES["op7_quality_rules"] = r"""
 WITH words AS (
   SELECT doc_id, coalesce(text, '') AS t,

@@ -212,10 +212,9 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Main text of every page, and how many words its host repeats outside articles."""
+    """Main text of every page."""
     done = pages.main_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"),
-                       "n_repeated")
+    return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 ORACLES["op7_quality_rules"] = r"""

@@ -6,6 +6,7 @@ BENCH_RUNS (default 3, median reported after one warm-up) steer it.
 
 from __future__ import annotations
 
+import dataclasses
 import json
 import os
 import statistics
@@ -27,6 +28,7 @@ from letterloom.operators import threads as T  # noqa: E402
 from letterloom.operators import views as V  # noqa: E402
 from letterloom.operators import votes  # noqa: E402
 from letterloom.operators.saved_searches import match_saved_searches  # noqa: E402
+from letterloom.sources import versions  # noqa: E402
 from letterloom.sources.tables import load_mail, with_hints, write_version  # noqa: E402
 from letterloom.streaming.jobs import stream_inbound  # noqa: E402
 from letterloom.streaming.sinks import append_to, job_dir  # noqa: E402
@@ -55,6 +57,9 @@ def headline(t: Tables, mail, replies) -> dict:
         "J1_overdue_commitments": lambda: C.overdue_commitments(mail, AS_OF, self_email=SELF),
         "J6_bulk_update": lambda: M.bulk_update(mail, t.updates),
         "J16_100_saved_searches": lambda: match_saved_searches(t.saved_searches, mail),
+        "J16_10000_saved_searches": lambda: match_saved_searches(many_searches(t), mail),
+        "J6_change_of_10_ids": lambda: versions_of(mail).change(
+            t.updates.limit(10), lambda part: M.bulk_update(part, t.updates.limit(10))).slices(),
         "O1_newest": lambda: V.newest(mail),
         "W8_thread_position": lambda: T.thread_position(mail),
         "X1_classify_mail": lambda: classify_intent(mail, self_email=SELF),
@@ -66,6 +71,28 @@ def headline(t: Tables, mail, replies) -> dict:
     }
 
 
+def many_searches(t: Tables):
+    """The saved searches a hundred times; copies ask for longer words."""
+    from pyspark.sql import functions as F
+
+    word = F.col("field").isin("text", "subject", "from", "to") & (F.col("copy") > 0)
+    return t.saved_searches.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(99)))).select(
+        (F.col("query_id") + 1000 * F.col("copy")).alias("query_id"), "field",
+        F.when(word, F.concat("value", "copy")).otherwise(F.col("value")).alias("value"), "term_no")
+
+
+VERSIONS = {}
+
+
+def versions_of(mail):
+    """The stored mail table cut into slices, made once."""
+    if not VERSIONS:
+        VERSIONS["first"] = versions.create(mail, job_dir(mail.sparkSession, "versions"), hints=True)
+    first = VERSIONS["first"]
+    VERSIONS["n"] = VERSIONS.get("n", 1) + 1
+    return dataclasses.replace(first, number=VERSIONS["n"] - 1)
+
+
 def timed(run) -> float:
     start = time.perf_counter()
     run()

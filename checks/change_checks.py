@@ -4,6 +4,7 @@ from letterloom.operators import links as L
 from letterloom.operators import mutate as M
 from letterloom.schema import FOLDERS, MAIL_COLUMNS
 from letterloom.sources import inbound as I
+from letterloom.sources import versions
 from letterloom.sources.tables import mirror, rebuild_snapshot, with_intent
 from letterloom.streaming.sinks import job_dir
 from pyspark.sql import functions as F
@@ -20,6 +21,15 @@ def _same_columns(df):
     return df.select(*MAIL_COLUMNS)
 
 
+def _stored(t):
+    """The mail table as the first version of a stored one."""
+    return versions.create(t.mail, job_dir(t.spark, "versions"))
+
+
+def _ids(df, column="id"):
+    return df.select(F.col(column).alias("id"))
+
+
 def _intent_of(text: str, sender: str, own: str, with_labels: bool = True) -> str:
     return outcome(f"({rule_case(text, sender, own, with_labels)})", 0)
 
@@ -205,14 +215,16 @@ def _mail_with(**changed: str) -> str:
 @check("J14_mark_read_on_reply", f"""SELECT {_mail_with(is_read='(is_read OR ' + _REPLIED + ')')}
 FROM mail AS m""", REPLY)
 def _(t):
-    return _same_columns(M.mark_read_on_reply(t.mail, t.reply_requests))
+    return _stored(t).change(_ids(t.reply_requests, "original_id"),
+                             lambda mail: M.mark_read_on_reply(mail, t.reply_requests)).read()
 
 
 @check("J12_archive_replied", f"""SELECT {_mail_with(
     folder="CASE WHEN folder = 'INBOX' AND " + _REPLIED + " THEN 'ARCHIVE' ELSE folder END")}
 FROM mail AS m""", REPLY)
 def _(t):
-    return _same_columns(M.archive_replied(t.mail, t.reply_requests))
+    return _stored(t).change(_ids(t.reply_requests, "original_id"),
+                             lambda mail: M.archive_replied(mail, t.reply_requests)).read()
 
 
 # --- Updates ------------------------------------------------------------------------
@@ -229,7 +241,7 @@ FROM mail AS m LEFT JOIN updates AS u ON u.id = m.id"""
 
 @check("J6_bulk_update", _UPDATED, BOTH)
 def _(t):
-    return _same_columns(M.bulk_update(t.mail, t.updates))
+    return _stored(t).change(t.updates, lambda mail: M.bulk_update(mail, t.updates)).read()
 
 
 @check("J7_update_fields", f"""SELECT {_mail_with(
@@ -238,16 +250,18 @@ def _(t):
     intent='coalesce(u.intent, m.intent)', snoozed_until=_SNOOZE)}
 FROM mail AS m LEFT JOIN patches AS u ON u.id = m.id""", ("mail", "patches"))
 def _(t):
-    return _same_columns(M.update_fields(t.mail, t.patches))
+    return _stored(t).change(t.patches, lambda mail: M.update_fields(mail, t.patches)).read()
 
 
 @check("J17_undo_bulk", "SELECT id, folder, snoozed_until FROM mail", BOTH)
 def _(t):
-    folders = M.undo_snapshot(t.mail, t.updates, "folder")
-    snoozes = M.undo_snapshot(t.mail, t.updates, "snoozed_until")
-    changed = M.bulk_update(t.mail, t.updates)
-    restored = M.undo_bulk(M.undo_bulk(changed, folders, "folder"), snoozes, "snoozed_until")
-    return restored.select("id", "folder", "snoozed_until")
+    first = _stored(t)
+    folders = M.undo_snapshot(first.read(), t.updates, "folder")
+    snoozes = M.undo_snapshot(first.read(), t.updates, "snoozed_until")
+    changed = first.change(t.updates, lambda mail: M.bulk_update(mail, t.updates))
+    restored = changed.change(folders, lambda mail: M.undo_bulk(
+        M.undo_bulk(mail, folders, "folder"), snoozes, "snoozed_until"))
+    return restored.read(["id", "folder", "snoozed_until"])
 
 
 @check("U2_relabel", """
@@ -257,8 +271,8 @@ FROM (SELECT id, labels, id IN (SELECT original_id FROM reply_requests) AS hit,
     list_filter(list_transform(string_split(labels, ','), lambda x: trim(x)), lambda x: x <> ''),
     'New') AS ls FROM mail) AS m""", REPLY)
 def _(t):
-    ids = t.reply_requests.select(F.col("original_id").alias("id"))
-    return M.relabel(t.mail, ids, "New").select("id", "labels")
+    ids = _ids(t.reply_requests, "original_id")
+    return _stored(t).change(ids, lambda mail: M.relabel(mail, ids, "New")).read(["id", "labels"])
 
 
 # --- Removal ------------------------------------------------------------------------

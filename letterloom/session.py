@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that change results or plans.  Sizes are left to the cluster.
 SETTINGS = {
@@ -42,3 +43,12 @@ def shared_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     context.setCheckpointDir(folder)
     return folder
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """A table written to the shared folder and read back: cuts lineage, is not computed
+    twice, and tells the planner its size."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

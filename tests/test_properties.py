@@ -1,6 +1,7 @@
 """Properties that hold whatever the data, and behaviour under skew."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from letterloom.operators import threads as T
 from letterloom.operators import views as V
 from letterloom.operators import votes
 from letterloom.plans import reports
-from letterloom.sources import inbound
+from letterloom.sources import inbound, versions
 from letterloom.sources.tables import (load_mail, load_text_layout, mirror, rebuild_snapshot,
                                        write_version)
 
@@ -37,6 +38,10 @@ def hot_mail(spark, mail):
         .otherwise(F.col("from_email"))})
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
@@ -146,22 +151,44 @@ def test_vote_tie_goes_to_the_first(spark):
         (85, "high")]
 
 
-def test_searches_in_several_passes(spark, mail):
-    searches = fx.table(spark, DATA, "saved_searches")
-    whole = rows(SS.match_saved_searches(searches, mail))
-    assert rows(SS.match_saved_searches(searches, mail, searches_per_pass=7)) == whole
+def test_odd_saved_searches(spark, mail):
     odd = spark.createDataFrame(
         [(1, "subject", "invoice"), (1, "subject", "track"), (1, "text", "77"),
          (1, "text", "invoice"), (2, "is", "read"), (2, "is", "unread"), (3, "is", "odd"),
-         (4, "in", "nowhere"), (4, "is", "starred"), (5, "in", "sent"), (5, "in", "inbox")],
+         (4, "in", "nowhere"), (4, "is", "starred"), (5, "in", "sent"), (5, "in", "inbox"),
+         (6, "text", ""), (7, "subject", None), (8, "subject", "é"), (9, "from", "R1"),
+         (10, "text", "Fish & CHIPS \u2014"), (11, "is", "starred"), (11, "subject", None)],
         "query_id int, field string, value string").withColumn(
             "term_no", F.when(F.col("value") == "inbox", 1).otherwise(0))
     got = rows(SS.match_saved_searches(odd, mail))
-    two = mail.filter("lower(subject) LIKE '%invoice%' AND lower(subject) LIKE '%track%' "
-                      "AND body LIKE '%77%'").select(F.lit(1), "id")
-    four = mail.filter("is_starred").select(F.lit(4), "id")
-    five = mail.filter("folder = 'INBOX'").select(F.lit(5), "id")
-    assert got == rows(two.unionByName(four.toDF("1", "id")).unionByName(five.toDF("1", "id")))
+    want = {1: "lower(subject) LIKE '%invoice%' AND lower(subject) LIKE '%track%' AND body LIKE '%77%'",
+            4: "is_starred", 5: "folder = 'INBOX'", 6: "true", 8: "lower(subject) LIKE '%é%'",
+            9: "lower(from_name) LIKE '%r1%' OR lower(from_email) LIKE '%r1%'"}
+    assert got == sorted(((q, r.id) for q, rule in want.items() for r in mail.filter(rule).collect()), key=repr)
+    assert SS.match_saved_searches(odd.limit(0), mail).count() == 0
+
+
+def test_any_number_of_searches_is_one_plan_with_few_pairs(spark, mail):
+    """Text searches meet the messages that have their rarest piece, and one plan does
+    for 25 and 10,000 of them."""
+    words = ["invoice and tr", "board meets", "pale sky", "hot> for two", "no such words"]
+    searches = lambda n: spark.range(n).select(
+        F.col("id").alias("query_id"), F.lit("text").alias("field"),
+        F.concat(F.element_at(F.array(*map(F.lit, words)), (F.col("id") % 5 + 1).cast("int")),
+                 F.when(F.col("id") >= 25, F.concat(F.lit(" q"), F.col("id"))).otherwise("")).alias("value"))
+    shape = lambda df: re.sub(r"[#\d]+|file:\S+", "", plan_of(df))
+    few, many = (SS.match_saved_searches(searches(n), mail) for n in (25, 10_000))
+    assert shape(few) == shape(many)
+    for word in ("NestedLoop", "Cartesian", "Python"):
+        assert word not in plan_of(few)
+    low = F.lower(F.concat_ws("\n", *SS.LOWERED))
+    want = sorted((i, r.id) for i in range(25) for r in mail.filter(low.contains(words[i % 5])).collect())
+    want.sort(key=repr)
+    assert rows(few) == rows(many) == want and want
+    lowered = mail.select(*[F.lower(c).alias(c) if c in SS.LOWERED else c for c in mail.columns])
+    index = SS.filed(searches(10_000), lowered)
+    met = SS._keyed(lowered, F.array().cast("array<int>"), "id").distinct().join(index, "key").count()
+    assert met <= 3 * len(want)
 
 
 def test_saved_search_equals_single_search(spark, mail):
@@ -173,6 +200,34 @@ def test_saved_search_equals_single_search(spark, mail):
     assert rows(SS.match_saved_searches(stored, anywhere)) == rows(single)
 
 
+def test_a_change_reads_and_writes_only_slices_that_it_touches(spark, mail, folder):
+    first = versions.create(mail, folder, shares=8)
+    assert rows(first.read()) == rows(mail)
+    before = {r["name"]: r.n for r in first.slices().collect()}
+    assert sum(before.values()) == mail.count() and len(before) > 20
+    ids = mail.filter("folder = 'INBOX'").select("id").limit(3).union(spark.createDataFrame([("none",)], "id string"))
+    updates = spark.createDataFrame([(r.id,) for r in ids.collect()], "id string").withColumns(
+        {"folder": F.lit("ARCHIVE"), "is_starred": F.lit(True)})
+    seen = []
+    second = first.change(updates, lambda part: (seen.extend(part.inputFiles()), M.bulk_update(part, updates))[1])
+    touched = first.holding(updates)
+    assert 1 <= len(touched) <= 3
+    assert seen and all(any(n in f for n in touched) for f in seen)
+    after = {r["name"] for r in second.slices().collect()}
+    assert set(before) - after == set(touched) and sum(r.n for r in second.slices().collect()) == mail.count()
+    assert rows(second.read()) == rows(M.bulk_update(mail, updates))
+    assert rows(first.read()) == rows(mail)          # the old version stays
+    moved = second.read(["id"], folders=["ARCHIVE"])
+    assert rows(moved) == rows(M.bulk_update(mail, updates).filter("folder = 'ARCHIVE'").select("id"))
+    third = second.change(updates, lambda part: part.join(updates, "id", "left_anti"))
+    assert rows(third.read()) == rows(mail.join(updates, "id", "left_anti").select(*mail.columns))
+    same = third.change(updates, lambda part: part)
+    assert same.number == 4 and rows(same.slices()) == rows(third.slices())
+    assert rows(same.added(mail.filter("id = 'none'")).read(["id"])) == rows(third.read(["id"]))
+    some = first.read(["id", "date"], since="2024-01-20 00:00:00")
+    assert rows(some.filter("date >= '2024-01-20'")) == rows(mail.filter("date >= '2024-01-20'").select("id", "date"))
+
+
 def test_suggestions_by_brute_force(spark, mail):
     people = P.contacts(mail, self_email=SELF)
     typed = ["", "an", "x@y, 1", "STEIN 2", "nobody-here", "@bank.example", "É"]

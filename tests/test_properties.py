@@ -188,7 +188,7 @@ def test_any_number_of_searches_is_one_plan_with_few_pairs(spark, mail):
     lowered = mail.select(*[F.lower(c).alias(c) if c in SS.LOWERED else c for c in mail.columns])
     index = SS.filed(searches(10_000), lowered)
     met = SS._keyed(lowered, F.array().cast("array<int>"), "id").distinct().join(index, "key").count()
-    assert met <= 3 * len(want)
+    assert met <= 10 * len(want) and met * 1_000 < 10_000 * mail.count()
 
 
 def test_saved_search_equals_single_search(spark, mail):

@@ -120,13 +120,29 @@ SELECT CAST(conv_id AS STRING) AS thread_id, count(*) AS n_messages,
 FROM (SELECT *, {visible('text')} AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn)
   AS r FROM conversations) AS c GROUP BY conv_id""", ())
 def _(t):
-    mail = t.conversations.select(
+    return T.thread_transcript(_talks(t))
+
+
+@check("A22_transcript_parts", f"""
+SELECT CAST(conv_id AS STRING) AS thread_id, (r - 1) // 3 AS part, count(*) AS n_messages,
+  string_agg(concat('--- Message ', r, ' ---', chr(10), 'From: ', role, ' <', role, '>', chr(10),
+    'Date: ', strftime(TIMESTAMP '1970-01-01' + to_seconds(turn), '%Y-%m-%dT%H:%M:%S'), '.000Z',
+    chr(10), 'Subject: ', chr(10), chr(10), body), concat(chr(10), chr(10)) ORDER BY r)
+    AS transcript
+FROM (SELECT *, {visible('text')} AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn)
+  AS r FROM conversations) AS c GROUP BY conv_id, (r - 1) // 3""", ())
+def _(t):
+    return T.transcript_parts(_talks(t), messages=3)
+
+
+def _talks(t):
+    """The conversations as threads of mail."""
+    return t.conversations.select(
         F.concat_ws("-", "conv_id", F.lpad(F.col("turn").cast("string"), 9, "0")).alias("id"),
         F.col("conv_id").cast("string").alias("thread_id"),
         F.timestamp_seconds("turn").cast("timestamp_ntz").alias("date"),
         F.col("role").alias("from_name"), F.col("role").alias("from_email"),
         F.lit("").alias("subject"), F.col("text").alias("body"))
-    return T.thread_transcript(mail)
 
 
 @check("J5_thread_of", """

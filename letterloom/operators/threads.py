@@ -2,18 +2,19 @@
 
 One thread may hold a large share of the table.  Rollups therefore use
 aggregates that combine in the scan tasks, per-thread limits use ranking windows
-that Spark also limits before the shuffle, and full positions are computed per
-time slice.
+that Spark also limits before the shuffle, and full positions come from one sort and
+sums over its parts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from letterloom.functions.text import visible_text
 from letterloom.operators import views as V
 from letterloom.schema import DEFAULT_SELF
+from letterloom.session import kept
 
 
 def _rank():
@@ -77,26 +78,36 @@ def thread_of(df: DataFrame, ids: DataFrame) -> DataFrame:
     return V.thread_order(df.join(wanted, "thread_id", "left_semi"))
 
 
-def thread_position(df: DataFrame, slice_by: str = "minute") -> DataFrame:
+def placed(df: DataFrame) -> DataFrame:
+    """(id, thread_id, date, part, place): all messages sorted by thread, date and id and
+    dealt by range, so that one thread, day or minute spreads over as many parts as it
+    needs. ``place`` counts up inside a ``part`` and the parts are in order."""
+    order = ["thread_id", "date", "id"]
+    rows = df.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    # Written once: a second reading must find every row in the same place.
+    stored = kept(rows.withColumn("place", F.monotonically_increasing_id()), "places")
+    return stored.withColumn("part", F.shiftright("place", 33))
+
+
+def thread_position(df: DataFrame) -> DataFrame:
     """Position of each message in its thread, thread size, and the flags made of
     them.
 
-    Rows are ranked inside (thread, time slice); the counts of earlier slices come
-    from a table with one row per slice.  No task sorts a whole thread, however
-    long it is.
+    Ranks by prefix sums: rows are sorted once, dealt by range; a small table with one row
+    per thread and part adds up what stands in earlier parts. No task holds more of a
+    thread than its part, whatever the times of its messages.
     """
-    rows = df.select("id", "thread_id", "date",
-                     F.date_trunc(slice_by, "date").alias("slice"))
-    counts = rows.groupBy("thread_id", "slice").agg(F.count("*").alias("n"))
+    rows = placed(df)
+    counts = rows.groupBy("thread_id", "part").agg(
+        F.min("place").alias("first"), F.count("*").alias("n"))
     by_thread = Window.partitionBy("thread_id")
-    earlier = by_thread.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = by_thread.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        "thread_id", "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
+        "thread_id", "part",
+        (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1).alias("shift"),
         F.sum("n").over(by_thread).alias("n_in_thread"))
-    in_slice = Window.partitionBy("thread_id", "slice").orderBy("date", "id")
-    ranked = rows.withColumn("rank", F.row_number().over(in_slice))
-    position = F.col("before") + F.col("rank")
-    return ranked.join(offsets, ["thread_id", "slice"]).select(
+    position = F.col("place") + F.col("shift")
+    return rows.join(offsets, ["thread_id", "part"]).select(
         "id", "thread_id", position.alias("position"), "n_in_thread",
         (position == F.col("n_in_thread")).alias("is_last"),
         (F.col("n_in_thread") > 1).alias("is_threaded"))
@@ -132,6 +143,35 @@ def thread_status(df: DataFrame) -> DataFrame:
         "thread_id", F.when(F.col("n") > 1, many).otherwise(single).alias("status"))
 
 
+def _message_text(rank: Column, body: Column) -> Column:
+    return F.concat(
+        F.lit("--- Message "), rank.cast("string"), F.lit(" ---\nFrom: "),
+        "from_name", F.lit(" <"), "from_email", F.lit(">\nDate: "),
+        F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("\nSubject: "), "subject",
+        F.lit("\n\n"), body)
+
+
+def _cut(text: Column, n: int | None) -> Column:
+    return text if n is None else F.left(text, F.lit(n))
+
+
+def transcript_parts(df: DataFrame, per_message: int | None = None, messages: int = 100) -> DataFrame:
+    """Readable text of each thread in parts of at most ``messages`` messages:
+    (thread_id, part, n_messages, transcript), parts counted from 0, oldest message first.
+
+    Positions come from ``thread_position``, so a thread with any number of messages is
+    many groups of a bounded size; its parts in order, joined by an empty line, are the
+    transcript of the whole thread.
+    """
+    at = thread_position(df).select("id", "position")
+    rows = df.select("id", "thread_id", "date", "from_name", "from_email", "subject", "body").join(at, "id")
+    text = _message_text(F.col("position"), _cut(visible_text(F.col("body")), per_message))
+    parts = F.array_sort(F.collect_list(F.struct("position", text.alias("text"))))
+    return rows.groupBy("thread_id", F.floor((F.col("position") - 1) / messages).alias("part")).agg(
+        F.count("*").alias("n_messages"),
+        F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("transcript"))
+
+
 def thread_transcript(df: DataFrame, per_message: int | None = None,
                       total: int | None = None, messages: int | None = None) -> DataFrame:
     """Readable text of each thread, oldest message first, bodies reduced to their text.
@@ -139,21 +179,17 @@ def thread_transcript(df: DataFrame, per_message: int | None = None,
     Lengths of the output: at most ``messages`` messages (oldest first), each body cut at
     ``per_message``, the whole at ``total``; None does not cut.  The ranking limit runs
     before the shuffle too, so a long thread sends at most ``messages`` rows per task,
-    and only those rows have their body cleaned.
+    and only those rows have their body cleaned. Without that limit a thread is one row
+    and one group: use ``transcript_parts`` where threads have no bound.
     """
-    cut = lambda text, n: text if n is None else F.left(text, F.lit(n))
     order = Window.partitionBy("thread_id").orderBy("date", "id")
     chosen = (df.select("id", "thread_id", "date", "from_name", "from_email", "subject",
                         "body")
               .withColumn("rank", F.row_number().over(order)))
     if messages is not None:
         chosen = chosen.filter(F.col("rank") <= messages)
-    text = F.concat(
-        F.lit("--- Message "), F.col("rank").cast("string"), F.lit(" ---\nFrom: "),
-        "from_name", F.lit(" <"), "from_email", F.lit(">\nDate: "),
-        F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("\nSubject: "), "subject",
-        F.lit("\n\n"), cut(visible_text(F.col("body")), per_message))
+    text = _message_text(F.col("rank"), _cut(visible_text(F.col("body")), per_message))
     parts = F.array_sort(F.collect_list(F.struct("rank", text.alias("text"))))
     whole = F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n")
     return chosen.groupBy("thread_id").agg(
-        F.count("*").alias("n_messages"), cut(whole, total).alias("transcript"))
+        F.count("*").alias("n_messages"), _cut(whole, total).alias("transcript"))

@@ -108,6 +108,25 @@ def test_undo_restores_nulls(mail):
                 ) == rows(mail.select("id", "snoozed_until"))
 
 
+def test_one_thread_in_one_minute_spreads_over_tasks(spark, mail):
+    """Positions and transcripts when all mail is one thread of one moment."""
+    one = mail.withColumns({"thread_id": F.lit("t"), "date": F.lit(AS_OF).cast("timestamp_ntz")})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in T.placed(one).groupBy("part").count().collect()]
+        got = rows(T.thread_position(one).select("id", "position", "is_last"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    n = mail.count()
+    assert len(sizes) == 8 and max(sizes) < 2 * n / 8
+    ids = sorted(r.id for r in mail.select("id").collect())
+    assert got == sorted(((x, i + 1, i + 1 == n) for i, x in enumerate(ids)), key=repr)
+    parts = T.transcript_parts(one.limit(250), messages=100).orderBy("part").collect()
+    assert [(p.part, p.n_messages) for p in parts] == [(0, 100), (1, 100), (2, 50)]
+    whole = T.thread_transcript(one.limit(250)).first()["transcript"]
+    assert "\n\n".join(p.transcript for p in parts) == whole
+
+
 def test_hot_thread_positions(hot_mail):
     out = T.thread_position(hot_mail).filter("thread_id = 'hot'")
     n = hot_mail.filter("thread_id = 'hot'").count()

@@ -6,26 +6,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from letterloom.functions import lexicon as lx
-from letterloom.functions.text import strip_space
 from letterloom.schema import REPLY_JSON
 
 JSON_OPTIONS = {"mode": "PERMISSIVE"}
 
 
-def without_fences(raw: Column) -> Column:
-    opened = F.regexp_replace(raw, f"```(?:json|JSON)?{lx.SPACE}*", "")
-    return strip_space(F.replace(opened, F.lit("```"), F.lit("")))
+def without_fences(text: Column) -> Column:
+    opened = F.regexp_replace(text, f"```(?:json|JSON)?{lx.SPACE}*", "")
+    return F.replace(opened, F.lit("```"), F.lit(""))
 
 
 def outer_object(text: Column) -> Column:
-    """The text from the first ``{`` to the last ``}``; '' without such a pair."""
-    return F.regexp_extract(text, r"\{[\s\S]*\}", 0)
+    """The text from the first ``{`` to the last ``}``; '' without such a pair. Found by
+    position: a pattern that runs to the end and back is several times slower."""
+    first = F.instr(text, "{")
+    last = F.length(text) - F.instr(F.reverse(text), "}") + 1
+    found = (first > 0) & (last <= F.length(text)) & (last > first)
+    return F.when(found, F.substring(text, first, last - first + 1)).when(text.isNotNull(), "")
 
 
 def parse_model_reply(raw: Column, schema: str = REPLY_JSON) -> Column:
     """JSON reply as a struct; prose or fences around the object are skipped.
 
     Cutting to the outermost braces is a no-op for a bare object, so one parse
-    covers both forms.
+    covers both forms. Fences hold no brace, so they may go after the cut.
     """
-    return F.from_json(outer_object(without_fences(raw)), schema, JSON_OPTIONS)
+    cut = outer_object(raw)
+    return F.from_json(F.when(raw.contains("```"), without_fences(cut)).otherwise(cut), schema, JSON_OPTIONS)

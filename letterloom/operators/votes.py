@@ -34,8 +34,10 @@ def _is_text(column: str):
 def majority_vote(replies: DataFrame) -> DataFrame:
     """Intent most replies name, its share of the valid replies, and the reason of
     the first reply that named it."""
-    votes = parsed(replies).groupBy("email_id", F.coalesce("intent", F.lit("")).alias("intent")
-                                    ).agg(
+    # Only the two fields of a vote are read from the JSON.
+    fields = parse_model_reply(F.col("content"), "intent STRING, reason STRING")
+    read = replies.select("email_id", "ordinal", fields.alias("r")).select("email_id", "ordinal", "r.*")
+    votes = read.groupBy("email_id", F.coalesce("intent", F.lit("")).alias("intent")).agg(
         F.count("*").alias("n"), F.min("ordinal").alias("first"),
         F.min_by(F.coalesce("reason", F.lit("")), "ordinal").alias("reason"))
     named = F.col("intent") != ""

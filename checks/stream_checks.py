@@ -4,12 +4,15 @@ from contextlib import contextmanager
 
 from letterloom.streaming import jobs as J
 from letterloom.streaming import stateful as ST
-from letterloom.streaming.sinks import fold_back, run_append, run_changes
+from letterloom.session import kept
+from letterloom.sources import versions
+from letterloom.streaming.changelog import ChangeLog, fold_into
+from letterloom.streaming.sinks import job_dir, rows_of, run_append, run_changes
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from checks.change_checks import DELIVERED, inbound_sql
-from checks.registry import AS_OF, SELF
+from checks.registry import AS_OF, NOW, SELF
 from checks.registry import check as register
 from checks.stat_checks import DAILY, LABEL_COUNTS, VIEW_RULES
 
@@ -49,6 +52,56 @@ def _mail(t):
     return fx.stream_of(_events(t), "mail")
 
 
+# Three ticks. What happens up to a tick arrives before it, in a batch of its own.
+TICKS = ["2024-01-10 00:00:00", "2024-01-20 06:00:00", AS_OF]
+
+
+def _batch_of(column):
+    """Number of the tick before which a row arrives; everything later comes last."""
+    first, second = (F.lit(x).cast("timestamp_ntz") for x in TICKS[:2])
+    return F.when(column <= first, 0).when(column <= second, 1).otherwise(2)
+
+
+def _in_batches(t, df, column):
+    """``df`` as a stream of three micro-batches by ``column``."""
+    folder = job_dir(t.spark, "arrivals")
+    for k in range(3):
+        df.filter(_batch_of(F.col(column).cast("timestamp_ntz")) == k).coalesce(1).write.parquet(
+            f"{folder}/batch={k}")
+    return (t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+            .load(f"{folder}/*").select(*df.columns))
+
+
+def _ticks(t):
+    rows = t.spark.range(3).select(F.element_at(F.array(*map(F.lit, TICKS)), F.col("id").cast("int") + 1)
+                                   .cast("timestamp").alias("ts"))
+    return _in_batches(t, rows, "ts")
+
+
+class _Arriving:
+    """A table that grows while a stream runs: every look at it is one batch later."""
+
+    def __init__(self, first, later):
+        self.versions, self.later = [first], list(later)
+
+    def look(self):
+        now = self.versions[-1]
+        if self.later:
+            self.versions.append(self.later.pop(0)(now))
+        return now
+
+
+def _arriving_mail(t):
+    """The mail table, of which each version has what arrives before its tick."""
+    part = lambda k: t.mail.filter(_batch_of(F.col("date")) == k)
+    return _Arriving(versions.create(part(0), job_dir(t.spark, "mail")),
+                     [lambda v: v.added(part(1)), lambda v: v.added(part(2))])
+
+
+def _log(t, name, keys, **options):
+    return ChangeLog(t.spark, job_dir(t.spark, name), keys, every=2, **options)
+
+
 @check("T1_stream_inbound", f"""SELECT id, thread_id, from_name, to_emails, subject, body, snippet,
   labels, intent FROM ({inbound_sql('inbound')}) AS x""", ("inbound",))
 def _(t):
@@ -60,11 +113,27 @@ def _(t):
                        "snippet", "labels", "intent")
 
 
+def _deliveries(t):
+    mail, log = _arriving_mail(t), _log(t, "deliver", ["id"])
+    # A tick reads the slices of scheduled mail only.
+    job = J.deliver_due_batch(lambda: mail.look().read(folders=["SCHEDULED"]), log.read)
+    log.start(_ticks(t), job).awaitTermination()
+    return mail.versions[-1], log.read()
+
+
 @check("T2_deliver_due", f"SELECT id, folder, scheduled_for FROM ({DELIVERED}) AS d")
 def _(t):
-    ticks = _events(t).select(F.lit(AS_OF).cast("timestamp").alias("ts"))
-    done = run_changes(ticks, "deliver", ["id"], change=J.deliver_due_batch(t.mail))
-    return fold_back(t.mail, done).select("id", "folder", "scheduled_for")
+    mail, done = _deliveries(t)
+    return fold_into(mail, done).read(["id", "folder", "scheduled_for"])
+
+
+@check("T2_deliveries", f"""
+SELECT id, min(tick) AS delivered_at FROM mail, (SELECT unnest([{", ".join(
+    f"TIMESTAMP '{x}'" for x in TICKS)}]) AS tick) AS ticks
+WHERE folder = 'SCHEDULED' AND scheduled_for <= tick
+  AND (date <= tick OR tick = TIMESTAMP '{TICKS[2]}') GROUP BY id""")
+def _(t):
+    return _deliveries(t)[1].select("id", "delivered_at")
 
 
 @check("T3_snooze_returns", f"""
@@ -110,23 +179,33 @@ _OPENINGS = """SELECT md5(concat('m', event_id)) AS token, ts + INTERVAL '1' HOU
   UNION ALL SELECT md5(concat('m', event_id)), ts + INTERVAL '3' DAY FROM events"""
 
 
+def _arriving_links(t):
+    """The links, of which each version has those made before its tick."""
+    upto = lambda k: t.links.filter(_batch_of(F.col("created_at")) <= k)
+    return _Arriving(upto(0), [lambda _: upto(1), lambda _: upto(2)])
+
+
 @check("T5_first_views", _VIEWED.format(views=_OPENINGS), ("links",))
 def _(t):
     token = F.md5(F.concat(F.lit("m"), F.col("event_id").cast("string"))).alias("token")
     hours = F.explode(F.array(F.lit(1), F.lit(72))).alias("h")
-    openings = _events(t).select(token, _ts(), hours).select(
+    openings = t.events.select(token, _ts(), hours).select(
         "token", (F.col("ts") + F.make_interval(hours=F.col("h"))).alias("ts"))
-    return run_changes(J.first_views(openings, t.links), "views", ["token"])
+    links, log = _arriving_links(t), _log(t, "views", ["token"], smallest="viewed_at")
+    log.start(_in_batches(t, openings, "ts"), J.first_views_batch(links.look)).awaitTermination()
+    return log.read()
 
 
 @check("T6_delivery_status", """
 SELECT concat('dm', event_id) AS link_id, max(ts) AS viewed_at, true AS viewed FROM events
 WHERE value > 10 AND concat('dm', event_id) IN (SELECT id FROM links) GROUP BY 1""", ("links",))
 def _(t):
-    status = _events(t).select(
+    status = t.events.select(
         F.concat(F.lit("dm"), F.col("event_id").cast("string")).alias("link_id"), _ts(),
         F.when(F.col("value") > 10, "delivered").otherwise("bounced").alias("status"))
-    return run_changes(J.delivery_status(status, t.links), "status", ["link_id"])
+    links, log = _arriving_links(t), _log(t, "status", ["link_id"])
+    log.start(_in_batches(t, status, "ts"), J.delivery_status_batch(links.look)).awaitTermination()
+    return log.read()
 
 
 @check("T7_create_links", """
@@ -134,10 +213,12 @@ SELECT concat('link-m', event_id) AS id, m.id AS email_id, to_emails AS recipien
   ts + INTERVAL '30' DAY AS expires_at FROM events JOIN mail AS m ON m.id = concat('m', event_id)
 WHERE event_type = 'click'""")
 def _(t):
-    sends = _events(t).filter("event_type = 'click'").select(
+    sends = t.events.filter("event_type = 'click'").select(
         F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("id"), _ts())
-    links = run_append(J.create_links(sends, t.mail, random_token=False), "links")
-    return links.select("id", "email_id", "recipient_email", "expires_at")
+    mail, log = _arriving_mail(t), _log(t, "links", ["id"])
+    job = J.create_links_batch(lambda: mail.look().read(), random_token=False)
+    log.start(_in_batches(t, sends, "ts"), job).awaitTermination()
+    return log.read().select("id", "email_id", "recipient_email", "expires_at")
 
 
 _PRESENCE = """presence AS (
@@ -198,3 +279,18 @@ def _(t):
     for v, rule in VIEW_RULES.items()))
 def _(t):
     return run_changes(J.stream_view_counts(_mail(t), AS_OF, self_email=SELF), "views", ["view"])
+
+
+@check("T10_view_counts_over_ticks", " UNION ALL ".join(
+    f"SELECT TIMESTAMP '{tick}' AS as_of, '{v}' AS view, count(*) AS n FROM mail WHERE ({rule})"
+    + ("" if k == 2 else f" AND date <= TIMESTAMP '{tick}'")
+    for k, tick in enumerate(TICKS) for v, rule in (
+        (v, rule.replace(NOW, f"TIMESTAMP '{tick}'")) for v, rule in VIEW_RULES.items())))
+def _(t):
+    """Counts at three ticks; mail is read once, when it arrives."""
+    moves = [kept(J.view_deltas(t.mail.filter(_batch_of(F.col("date")) == k), tick, self_email=SELF), "moves")
+             for k, tick in enumerate(TICKS)]
+    deltas = _Arriving(moves[0], [lambda d: d.unionByName(moves[1]), lambda d: d.unionByName(moves[2])])
+    log = ChangeLog(t.spark, job_dir(t.spark, "views"), ["view"])
+    log.start(_ticks(t), J.view_counts_by_deltas(deltas.look, log.read)).awaitTermination()
+    return rows_of(t.spark, log.folder).select("as_of", "view", "n")

@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from letterloom.functions.dates import moment
 from letterloom.functions.text import csv_to_array
 from letterloom.operators import links as L
 from letterloom.operators import stats
 from letterloom.operators import views as V
-from letterloom.schema import DEFAULT_SELF
+from letterloom.schema import COUNTED_VIEWS, DEFAULT_SELF
 from letterloom.sources.inbound import ingest_inbound, rejected_inbound
 from letterloom.streaming.sinks import Query, start_batches
 
@@ -183,6 +184,51 @@ def view_counts_batch(mail: Table, *, self_email: str = DEFAULT_SELF):
     return change
 
 
+def view_deltas(mail: DataFrame, since, *, self_email: str = DEFAULT_SELF) -> DataFrame:
+    """(view, at, delta): how the view counts move when ``mail`` is there from ``since`` on.
+
+    Only the end of a snooze moves a message between views, so each has its views at
+    ``since`` and, if it sleeps then, what changes when it wakes. One row per view and
+    moment, whatever the number of messages.
+    """
+    now, until = moment(since), F.col("snoozed_until")
+    question = V.asks_question(mail)
+    before = stats.counted_views(now, self_email, question)
+    after = stats.counted_views(until, self_email, question)
+    wakes = until > now
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    moves = F.array(*[
+        F.struct(F.lit(v).alias("view"), at.alias("at"), delta.alias("delta"))
+        for v in before for at, delta in (
+            (now, one(before[v])),
+            (until, F.when(wakes, one(after[v]) - one(before[v])).otherwise(0)))])
+    rows = mail.select(F.explode_outer(moves).alias("m")).select("m.*")
+    return rows.filter(F.col("delta") != 0).groupBy("view", "at").agg(F.sum("delta").alias("delta"))
+
+
+def view_counts_by_deltas(deltas: Table, known: Callable[[], DataFrame | None]):
+    """For a change log with the key ``view``: view counts that follow the clock without
+    counting the mail again. Every batch of ticks adds the moves since the tick before.
+
+    ``deltas`` are those of ``view_deltas``, with rows for later mail (``since`` its tick);
+    ``known`` returns the counts of the newest tick, None before the first.
+    """
+    def change(ticks: DataFrame) -> DataFrame:
+        now = ticks.agg(F.max("ts").cast("timestamp_ntz")).scalar()
+        views = ticks.sparkSession.range(1).select(F.explode(F.array(
+            *[F.lit(v) for v in COUNTED_VIEWS])).alias("view"))
+        last = known()
+        before = (views.withColumns({"n": F.lit(0).cast("long"),
+                                     "as_of": F.lit(None).cast("timestamp_ntz")})
+                  if last is None else last.select("view", "n", "as_of"))
+        moves = _current(deltas).join(before.select("view", "as_of"), "view").filter(
+            (F.col("at") <= now) & (F.col("as_of").isNull() | (F.col("at") > F.col("as_of")))).groupBy(
+            "view").agg(F.sum("delta").alias("moved"))
+        return before.join(moves, "view", "left").select(
+            "view", (F.col("n") + F.coalesce("moved", F.lit(0))).alias("n"), now.alias("as_of"))
+    return change
+
+
 def stream_view_counts(mail: DataFrame, as_of, *, self_email: str = DEFAULT_SELF) -> DataFrame:
     """Running view counts for a fixed moment.  Membership moves with the clock: a
     job that follows the clock recomputes them per batch with ``stats.view_counts``."""

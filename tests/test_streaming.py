@@ -9,6 +9,8 @@ from checks import fixtures as fx
 from letterloom.streaming import jobs as J
 from letterloom.streaming import stateful as ST
 from letterloom.schema import INBOUND
+from letterloom.sources import versions
+from letterloom.streaming import changelog as CL
 from letterloom.streaming.sinks import (append_to, changes_to, fold_back, latest_changes,
                                         rows_of)
 
@@ -231,3 +233,52 @@ def test_view_counts_follow_the_clock(spark, folder):
     early = {(r.view, r.n) for r in S.view_counts(mail, "2024-01-10 00:00:00").collect()}
     first = rows_of(spark, out).filter("epoch = 0").collect()
     assert {(r.view, r.n) for r in first} == early
+
+
+def test_a_log_merges_its_batches_and_forgets_them(spark, folder):
+    feed = Feed(spark, f"{folder}/v", "token string, ts timestamp")
+    for k in range(7):
+        feed.add((f"t{k}", at(k)), ("all", at(100 - k if k < 4 else 200 + k)))
+    for name, smallest, wanted in (("newest", None, 206), ("first", "at", 97)):
+        log = CL.ChangeLog(spark, f"{folder}/{name}", ["token"], smallest=smallest, every=2)
+        assert log.read() is None
+        change = lambda batch: batch.select("token", F.col("ts").cast("timestamp_ntz").alias("at"))
+        finish(log.start(feed.stream(), change))
+        got = {r.token: r.at for r in log.read().collect()}
+        assert got == {"all": at(wanted), **{f"t{k}": at(k) for k in range(7)}}
+        # Of seven batches the last generation and the one before it are left.
+        assert CL._numbers(spark, f"{log.folder}/rows", "generation=") == [2, 3]
+        assert CL._numbers(spark, f"{log.folder}/merged", "") == [1, 2]
+        log._merge(2)  # a repeated batch merges again from what was kept
+        assert {r.token: r.at for r in log.read().collect()} == got
+
+
+def test_folded_changes_rewrite_only_their_slices(spark, folder):
+    mail = fx.table(spark, "/root/testdata/sf0.001", "mail")
+    first = versions.create(mail, f"{folder}/mail")
+    one = mail.filter("folder = 'SCHEDULED'").limit(1).select("id").first().id
+    done = spark.createDataFrame([(one, "SENT", None)], "id string, folder string, scheduled_for timestamp_ntz")
+    second = CL.fold_into(first, done)
+    kept_, new = ({r["name"] for r in v.slices().collect()} for v in (first, second))
+    assert len(kept_ - new) == 1
+    changed = second.read(["id", "folder", "scheduled_for"]).filter(F.col("id") == one).first()
+    assert (changed.folder, changed.scheduled_for) == ("SENT", None)
+    assert second.read(["id"]).count() == mail.count()
+
+
+def test_view_counts_by_deltas_equal_a_recount(spark, folder):
+    from letterloom.operators import stats as S
+
+    mail = fx.table(spark, "/root/testdata/sf0.001", "mail")
+    ticks = [dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 15, 6), dt.datetime(2024, 1, 15, 7),
+             dt.datetime(2024, 2, 28)]
+    feed = Feed(spark, f"{folder}/t", "ts timestamp")
+    for tick in ticks:
+        feed.add((tick,))
+    deltas = J.view_deltas(mail, ticks[0])
+    moments = deltas.groupBy("view", "at").count()
+    assert deltas.count() == moments.count()           # one row per view and moment
+    log = CL.ChangeLog(spark, f"{folder}/out", ["view"])
+    finish(log.start(feed.stream(), J.view_counts_by_deltas(deltas, log.read)))
+    got = {(r.as_of, r.view, r.n) for r in rows_of(spark, log.folder).collect()}
+    assert got == {(tick, r.view, r.n) for tick in ticks for r in S.view_counts(mail, tick).collect()}

@@ -244,10 +244,12 @@ known AS (SELECT *, last_value(CASE WHEN type = 'message' THEN NULL ELSE type ||
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM presence)
 SELECT conn_id, seq, CASE type WHEN 'join' THEN 'user-joined' WHEN 'leave' THEN 'user-left'
   ELSE 'message' END AS kind, username FROM known
-WHERE type = 'join' OR (type = 'leave' AND before LIKE 'join%')
-  OR (type = 'message' AND before = 'join' || username)""", ())
+WHERE (type = 'join' OR (type = 'leave' AND before LIKE 'join%')
+  OR (type = 'message' AND before = 'join' || username))
+  AND ts < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '1' MINUTE FROM events)""", ())
 def _(t):
-    return run_append(ST.presence(_presence(t)), "presence")
+    # No connection is silent for a year.
+    return run_append(ST.presence(_presence(t), ttl_seconds=365 * 86_400), "presence")
 
 
 @check("T8_online", f"""WITH {_PRESENCE}

@@ -20,45 +20,102 @@ def use_state_store(spark: SparkSession) -> None:
 class Presence(StatefulProcessor):
     """Remembers under which name a connection is joined.
 
-    A message counts only if its connection is joined under the same name.
-    Connections are small keys; what arrives for one in a micro-batch is put in
-    time order first.
+    A message counts only if its connection is joined under the same name. Rows wait
+    until the watermark has passed them and are then taken in time order, whatever the
+    batches they came in. A connection that is silent for longer than ``ttl`` is gone:
+    its name is forgotten, in the results and in the state.
     """
 
+    def __init__(self, ttl_ms: int) -> None:
+        self._ttl = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._name = handle.getValueState("username", "username string")
+        self._handle = handle
+        self._known = handle.getValueState("known", "username string, last_us long")
+        self._waiting = handle.getListState("waiting", "ts_us long, seq long, type string, username string")
+        self._timer = handle.getValueState("timer", "at long")
+
+    def _wake_at(self, ms: int | None) -> None:
+        """Keeps one timer per connection."""
+        if self._timer.exists():
+            self._handle.deleteTimer(self._timer.get()[0])
+            self._timer.clear()
+        if ms is not None:
+            self._handle.registerTimer(ms)
+            self._timer.update((ms,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
                         ) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
-        name = self._name.get()[0] if self._name.exists() else None
-        out = []
-        for event in events.itertuples(index=False):
-            if event.type == "join":
-                name, kind = event.username, "user-joined"
-            elif event.type == "leave":
-                kind, name, left = ("user-left" if name else None), None, name
-            else:
-                kind = "message" if name and name == event.username else None
-            if kind:
-                out.append((key[0], event.seq, kind,
-                            left if kind == "user-left" else event.username))
-        if name is None:
-            self._name.clear()
+        first = self._timer.get()[0] if self._waiting.exists() else None
+        for chunk in rows:
+            columns = [chunk[c].tolist() for c in ("ts_us", "seq", "type", "username")]
+            self._waiting.appendList(list(zip(*columns)))
+            earliest = min(columns[0]) // 1000 + 1
+            first = earliest if first is None else min(first, earliest)
+        self._wake_at(first)
+        yield pd.DataFrame([], columns=OUT)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        self._timer.clear()
+        waiting = pd.DataFrame(list(self._waiting.get()), columns=["ts_us", "seq", "type", "username"])
+        ready = waiting[waiting["ts_us"] < passed].sort_values(["ts_us", "seq"], kind="stable")
+        rest = waiting[waiting["ts_us"] >= passed]
+        if len(rest):
+            self._waiting.put([tuple(r) for r in rest.values.tolist()])
         else:
-            self._name.update((name,))
-        yield pd.DataFrame(out, columns=["conn_id", "seq", "kind", "username"])
+            self._waiting.clear()
+        name, last = self._known.get() if self._known.exists() else ("", None)
+        if len(ready):
+            out, name, last = self._taken(ready, name, last)
+            yield out.assign(conn_id=key[0])[OUT]
+        gone = last is not None and last + self._ttl * 1000 < passed
+        if not name or gone:
+            self._known.clear()
+        else:
+            self._known.update((name, int(last)))
+        if len(rest):
+            self._wake_at(int(rest["ts_us"].min()) // 1000 + 1)
+        elif name and not gone:
+            self._wake_at(int(last) // 1000 + self._ttl + 1)
+
+    def _taken(self, rows: pd.DataFrame, name: str, last: int | None):
+        """Accepted rows, and the name and time that are known after them."""
+        ts, user = rows["ts_us"], rows["username"].fillna("")
+        silent = ts.diff().fillna(0 if last is None else ts.iloc[0] - last) > self._ttl * 1000
+        stretch = silent.cumsum()
+        known = user.where(rows["type"] == "join").mask(rows["type"] == "leave", "")
+        after = known.groupby(stretch).ffill()
+        before = after.groupby(stretch).shift()
+        if name:
+            after, before = (x.mask(x.isna() & (stretch == 0), name) for x in (after, before))
+        after, before = after.fillna(""), before.fillna("")
+        kind = pd.Series(None, index=rows.index, dtype=object)
+        kind[rows["type"] == "join"] = "user-joined"
+        kind[(rows["type"] == "leave") & (before != "")] = "user-left"
+        kind[(rows["type"] == "message") & (before != "") & (before == user)] = "message"
+        out = pd.DataFrame({"seq": rows["seq"], "kind": kind,
+                            "username": user.mask(rows["type"] == "leave", before)})
+        return out[kind.notna()], after.iloc[-1], int(ts.iloc[-1])
 
     def close(self) -> None:
         pass
 
 
-def presence(events: DataFrame) -> DataFrame:
-    """Joins, leaves and accepted messages of (conn_id, username, type, ts, seq)."""
+OUT = ["conn_id", "seq", "kind", "username"]
+
+
+def presence(events: DataFrame, delay: str = "1 minute", ttl_seconds: int = 86_400) -> DataFrame:
+    """Joins, leaves and accepted messages of (conn_id, username, type, ts, seq), once the
+    watermark (``delay`` behind the newest row) has passed them. Rows that come later than
+    that are dropped. State is bounded by the rows of the last ``delay`` and by the
+    connections with a row in the last ``ttl_seconds``."""
     use_state_store(events.sparkSession)
-    return events.groupBy("conn_id").transformWithStateInPandas(
-        Presence(), "conn_id string, seq long, kind string, username string",
-        outputMode="append", timeMode="None")
+    timed = events.withWatermark("ts", delay).select(
+        "conn_id", "username", "type", "seq", "ts", F.unix_micros("ts").alias("ts_us"))
+    return timed.groupBy("conn_id").transformWithStateInPandas(
+        Presence(ttl_seconds * 1000), "conn_id string, seq long, kind string, username string",
+        outputMode="append", timeMode="EventTime")
 
 
 def online(events: DataFrame) -> DataFrame:

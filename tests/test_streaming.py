@@ -123,12 +123,13 @@ def test_running_counts_over_batches(spark, folder):
 
 
 def test_presence_over_batches(spark, folder):
+    """Rows come late and out of order over two batches; the result is that of time order."""
     feed = Feed(spark, f"{folder}/p",
                 "conn_id string, username string, type string, ts timestamp, seq long")
-    feed.add(("c", "ana", "message", at(0), 0), ("c", "ana", "join", at(1), 1),
-             ("d", "bo", "leave", at(1), 2))
-    feed.add(("c", "ana", "message", at(2), 3), ("c", "bo", "message", at(3), 4),
-             ("c", "", "leave", at(4), 5), ("c", "ana", "message", at(5), 6))
+    feed.add(("c", "ana", "message", at(2), 3), ("c", "ana", "message", at(0), 0),
+             ("d", "bo", "leave", at(1), 2), ("c", "", "leave", at(4), 5), ("z", "", "message", at(30), 90))
+    feed.add(("c", "ana", "join", at(1), 1), ("c", "bo", "message", at(3), 4),
+             ("c", "ana", "message", at(5), 6), ("z", "", "message", at(200), 91))
     out = f"{folder}/out"
     finish(append_to(ST.presence(feed.stream()), out))
     got = rows_of(spark, out).orderBy("seq").collect()
@@ -136,6 +137,24 @@ def test_presence_over_batches(spark, folder):
         (1, "user-joined", "ana"), (3, "message", "ana"), (5, "user-left", "ana")]
 
 
+def test_silent_connections_are_forgotten(spark, folder):
+    feed = Feed(spark, f"{folder}/p",
+                "conn_id string, username string, type string, ts timestamp, seq long")
+    feed.add(("a", "ana", "join", at(0), 1), ("b", "bo", "join", at(0), 2), ("a", "ana", "message", at(50), 3))
+    feed.add(("b", "bo", "message", at(101), 4), ("a", "ana", "message", at(150), 5))
+    feed.add(("a", "ana", "leave", at(200), 6), ("z", "", "message", at(1_000), 7))
+    feed.add(("z", "", "message", at(2_000), 8))
+    out = f"{folder}/out"
+    finish(append_to(ST.presence(feed.stream(), ttl_seconds=100), out))
+    got = rows_of(spark, out).orderBy("seq").collect()
+    # b is silent for 101 seconds, a never for more than 100.
+    assert [(r.seq, r.kind) for r in got] == [
+        (1, "user-joined"), (2, "user-joined"), (3, "message"), (5, "message"), (6, "user-left")]
+    kept_ = {v: spark.read.format("statestore").option("path", f"{out}/state")
+             .option("stateVarName", v).load().count() for v in ("known", "waiting")}
+    assert kept_ == {"known": 0, "waiting": 1}   # only the newest row of z
+
+
 def test_snooze_timer(spark, folder):
     feed = Feed(spark, f"{folder}/z",
                 "id string, ts timestamp, snoozed_until timestamp_ntz")

@@ -341,8 +341,7 @@ def _(t):
 SELECT id, 'direct-mx' AS route_id, 'Direct MX Delivery' AS route_name, '' AS route_host,
   25 AS route_port, 'global' AS route_region FROM mail WHERE folder = 'SENT'""")
 def _(t):
-    none = t.route_configs.withColumn("enabled", F.lit(0))
-    return L.assign_route(t.mail.filter(F.col("folder") == "SENT"), none)
+    return L.assign_route(t.mail.filter(F.col("folder") == "SENT"), t.closed_routes)
 
 
 @check("T7_create_links_batch", """

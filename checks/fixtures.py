@@ -173,6 +173,9 @@ SELECT concat('r', CAST(s_suppkey AS STRING)) AS id, s_name AS name,
 FROM @supplier@
 """)
 
+# A mail system all of whose routes are switched off.
+TABLES["closed_routes"] = (["route_configs"], "SELECT * FROM route_configs WHERE enabled = 0")
+
 # Answers of up to seven models about a message; keys beyond the mail table stay unmatched.
 TABLES["model_replies"] = ([], """
 SELECT email_id, concat('model-', CAST(l_linenumber AS STRING)) AS model,

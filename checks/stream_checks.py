@@ -14,6 +14,7 @@ from checks import fixtures as fx
 from checks.change_checks import DELIVERED, inbound_sql
 from checks.registry import AS_OF, NOW, SELF
 from checks.registry import check as register
+from checks.rule_sql import strip
 from checks.stat_checks import DAILY, LABEL_COUNTS, VIEW_RULES
 
 
@@ -113,6 +114,41 @@ def _(t):
                        "snippet", "labels", "intent")
 
 
+_CRLF = "concat(chr(13), chr(10))"
+_HEAD = f"split_part(value, concat({_CRLF}, {_CRLF}), 1)"
+# What a file of raw messages says, as posts: the text writer ends a file with a line feed.
+_POSTED = f"""posted AS (SELECT DISTINCT left(sha256(concat(value, chr(10))), 32) AS id,
+  CASE WHEN {strip(r"regexp_replace(f, '^([^<]*)<[^>]+>', concat(chr(92), '1'))")} = '' THEN 'Unknown'
+    ELSE {strip(r"regexp_replace(f, '^([^<]*)<[^>]+>', concat(chr(92), '1'))")} END AS fromName,
+  nullif(regexp_extract(f, '<([^>]+)>', 1), '') AS fromEmail,
+  coalesce(nullif(regexp_extract(h, 'Subject:\\s*(.+)', 1, 'i'), ''), '(no subject)') AS subject,
+  CASE WHEN contains(r, '<') THEN r ELSE concat('<p>', replace(r, {_CRLF}, '<br/>'), '</p>') END AS body,
+  CAST(NULL AS VARCHAR) AS toEmails, CAST(NULL AS VARCHAR) AS ccEmails, CAST(NULL AS VARCHAR) AS bccEmails,
+  CAST(NULL AS VARCHAR) AS date, CAST(NULL AS VARCHAR) AS labels, CAST(NULL AS VARCHAR) AS attachmentName,
+  CAST(NULL AS VARCHAR) AS threadId, CAST(NULL AS BOOLEAN) AS hasAttachment, CAST(NULL AS BOOLEAN) AS isImportant
+  FROM (SELECT *, regexp_extract(h, 'From:\\s*(.+)', 1, 'i') AS f FROM (
+    SELECT value, replace({_HEAD}, chr(13), '') AS h,
+      concat(substr(value, length({_HEAD}) + 5), chr(10)) AS r FROM raw_messages) AS a) AS b)"""
+
+
+@check("S5_raw_message_files", f"""WITH {_POSTED}
+SELECT id, from_name, from_email, subject, body, snippet, intent, 'taken' AS outcome
+  FROM ({inbound_sql('posted')}) AS x
+UNION ALL SELECT id, fromName, fromEmail, NULL, NULL, NULL, NULL, 'fromName and fromEmail are required'
+  FROM posted WHERE fromEmail IS NULL""", ("raw_messages",))
+def _(t):
+    folder = job_dir(t.spark, "raw")
+    t.raw_messages.select("id", "value").repartition(8, "id").write.partitionBy("id").text(f"{folder}/in")
+    J.raw_messages_to(t.spark, f"{folder}/in", f"{folder}/out", self_email=SELF).awaitTermination()
+    refused = t.spark.read.parquet(f"{folder}/out/rejected").select(
+        "id", F.col("fromName").alias("from_name"), F.col("fromEmail").alias("from_email"),
+        *[F.lit(None).cast("string").alias(c) for c in ("subject", "body", "snippet", "intent")],
+        F.col("reason").alias("outcome"))
+    return rows_of(t.spark, f"{folder}/out").select(
+        "id", "from_name", "from_email", "subject", "body", "snippet", "intent",
+        F.lit("taken").alias("outcome")).unionByName(refused)
+
+
 def _deliveries(t):
     mail, log = _arriving_mail(t), _log(t, "deliver", ["id"])
     # A tick reads the slices of scheduled mail only.

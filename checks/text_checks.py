@@ -75,6 +75,18 @@ def _(t):
         size(F.filter("s", lambda s: s["direction"] == "incoming")).alias("incoming"))
 
 
+@check("X3_detected_signals", commitments_sql(
+    "SELECT email_id, CAST(pos AS BIGINT) AS pos, action, owner, direction, due, evidence, confidence FROM found"))
+def _(t):
+    """The signals themselves, one row each."""
+    own = t.mail.filter("folder IN ('INBOX', 'SENT', 'ARCHIVE')")
+    signals = C.detect_commitments(own, self_email=SELF)
+    return signals.select(c("id").alias("email_id"), F.explode_outer("signals").alias("s")).filter(
+        c("s").isNotNull()).select(
+        "email_id", c("s.pos").cast("bigint").alias("pos"), "s.action", "s.owner", "s.direction",
+        c("s.due_date").alias("due"), "s.evidence", "s.confidence")
+
+
 _DOC_PARTS = (rf"string_split(regexp_replace({collapse('replace(' + tags('text') + ', ' + q('&nbsp;') + ', ' + q(' ') + ')')}, "
               rf"'([.!?]) +', concat('\1', chr(1)), 'g'), chr(1))")
 

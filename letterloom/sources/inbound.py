@@ -152,15 +152,21 @@ def ingest_composed(raw: DataFrame, as_of, *, self_email: str = DEFAULT_SELF) ->
 
 # --- Raw messages -------------------------------------------------------------------
 
-def read_raw_messages(spark: SparkSession, path: str) -> DataFrame:
-    """One message per file: (id, value)."""
-    return (spark.read.text(path, wholetext=True)
-            .select(F.input_file_name().alias("id"), "value"))
+def read_raw_messages(spark: SparkSession, path: str, *, stream: bool = False) -> DataFrame:
+    """One message per file, in any folder below ``path``: (id, value, file, arrived). The
+    id is made of the content, so a message that is read again, from wherever, has the same;
+    ``arrived`` is the time of the file."""
+    reader = spark.readStream if stream else spark.read
+    return (reader.format("text").option("wholetext", True).option("recursiveFileLookup", True)
+            .load(path).select(
+                F.left(F.sha2("value", 256), F.lit(32)).alias("id"), "value",
+                F.col("_metadata.file_path").alias("file"),
+                F.col("_metadata.file_modification_time").alias("arrived")))
 
 
 def parse_raw_messages(raw: DataFrame) -> DataFrame:
     """Header and body text to the inbound shape (``envelope_from``/``envelope_to``
-    come from the transport when known)."""
+    come from the transport when known; ``arrived`` stays)."""
     here = set(raw.columns)
     envelope = lambda n: F.col(n) if n in here else F.lit(None).cast("string")
     cut = F.split("value", "\r\n\r\n", 2)
@@ -187,7 +193,7 @@ def parse_raw_messages(raw: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("attachmentName"),
         F.lit(None).cast("string").alias("threadId"),
         F.lit(None).cast("boolean").alias("hasAttachment"),
-        F.lit(None).cast("boolean").alias("isImportant"))
+        F.lit(None).cast("boolean").alias("isImportant"), *[c for c in ("arrived",) if c in here])
 
 
 def ingest_raw_messages(raw: DataFrame, as_of, *, self_email: str = DEFAULT_SELF

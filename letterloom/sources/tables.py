@@ -78,10 +78,11 @@ def mirror(df: DataFrame, first: str, second: str) -> DataFrame:
 
     The second copy is made from the first one written, so an expensive source
     is computed once and both copies hold the same rows even if it is not
-    deterministic.
+    deterministic. The first is laid out as its rows come, because dealing them by
+    date would sample the source before; the second is dealt by date.
     """
     spark = df.sparkSession
-    write_version(df, first)
+    write_version(df, first, sort_by_date=False)
     write_version(load_mail(spark, first), second)
     counts = [load_mail(spark, p, ["id"]).agg(F.count("*").alias("n"))
               .select(F.lit(p).alias("path"), "n") for p in (first, second)]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from letterloom.functions.dates import moment
@@ -17,7 +17,8 @@ from letterloom.operators import links as L
 from letterloom.operators import stats
 from letterloom.operators import views as V
 from letterloom.schema import COUNTED_VIEWS, DEFAULT_SELF
-from letterloom.sources.inbound import ingest_inbound, rejected_inbound
+from letterloom.sources.inbound import (ingest_inbound, parse_raw_messages, read_raw_messages,
+                                        rejected_inbound)
 from letterloom.streaming.sinks import Query, start_batches
 
 # Fixed value: how long a send can be taken back.
@@ -67,6 +68,14 @@ def inbound_to(raw: DataFrame, folder: str, every: str | None = None, *,
     return start_batches(_posted_once(raw, arrived, delay), folder, every, write, "append")
 
 
+def raw_messages_to(spark: SparkSession, path: str, folder: str, every: str | None = None,
+                    *, self_email: str = DEFAULT_SELF, delay: str = "1 hour") -> Query:
+    """Writes the raw messages in the files below ``path`` as ``inbound_to`` does: mail rows,
+    and those without a sender with the reason."""
+    posts = parse_raw_messages(read_raw_messages(spark, path, stream=True))
+    return inbound_to(posts, folder, every, self_email=self_email, delay=delay)
+
+
 def deliver_due_batch(mail: Table,
                       delivered: Callable[[], DataFrame | None] = lambda: None):
     """For ``changes_to``: the scheduled messages due at the newest tick of a batch, as

@@ -173,6 +173,17 @@ SELECT concat('r', CAST(s_suppkey AS STRING)) AS id, s_name AS name,
 FROM @supplier@
 """)
 
+# Mailboxes named after the regions; the first has half of the mail and the last none.
+TABLES["mailboxes"] = ([], f"""
+SELECT r_name AS mailbox, CASE r_regionkey WHEN 0 THEN '{SELF}' WHEN 1 THEN 'user3@NO-reply.example'
+  WHEN 2 THEN 'user7@acme.example' ELSE concat('own', CAST(r_regionkey AS STRING), '@acme.example') END
+  AS self_email FROM @region@
+""")
+TABLES["boxed_mail"] = (["mail"], """
+SELECT mail.*, CASE CAST(substr(id, 2) AS BIGINT) % 6 WHEN 3 THEN 'AMERICA' WHEN 4 THEN 'ASIA'
+  WHEN 5 THEN 'EUROPE' ELSE 'AFRICA' END AS mailbox FROM mail
+""")
+
 # A mail system all of whose routes are switched off.
 TABLES["closed_routes"] = (["route_configs"], "SELECT * FROM route_configs WHERE enabled = 0")
 

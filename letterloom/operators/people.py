@@ -12,7 +12,7 @@ from letterloom.operators.views import by_name
 from letterloom.schema import DEFAULT_SELF
 
 
-def address_union(df: DataFrame) -> DataFrame:
+def address_union(df: DataFrame, *keep: str) -> DataFrame:
     """Every address occurrence: sender, To and Cc entries, with when it was seen.
 
     ``source`` orders occurrences inside one message: sender, then To, then Cc.
@@ -29,18 +29,22 @@ def address_union(df: DataFrame) -> DataFrame:
     sender = F.array(entry(0, F.col("from_email"), F.col("from_name")))
     found = unnest(df, F.concat(sender, *[F.coalesce(x, F.array().cast(
         "array<struct<source:int,email:string,name:string>>")) for x in listed]),
-        "a", "date", "id")
-    return found.select("date", "id", "a.*").filter(F.col("email") != "")
+        "a", *keep, "date", "id")
+    return found.select(*keep, "date", "id", "a.*").filter(F.col("email") != "")
 
 
 def contacts(df: DataFrame, *, self_email: str = DEFAULT_SELF) -> DataFrame:
     """Distinct addresses by name.  The first occurrence decides the name: the
     sender's own, or one made of the address."""
     seen = address_union(df).filter(F.lower("email") != self_email.lower())
+    return by_name(named_addresses(seen), "email")
+
+
+def named_addresses(seen: DataFrame, *keep: str) -> DataFrame:
+    """One row per address (and ``keep``) with the name of its first occurrence."""
     first = F.min_by("name", F.struct("date", "id", "source")).alias("name")
-    named = seen.groupBy("email").agg(first).select(
-        "email", F.coalesce("name", display_name_from_address(F.col("email"))).alias("name"))
-    return by_name(named, "email")
+    return seen.groupBy(*keep, "email").agg(first).select(
+        *keep, "email", F.coalesce("name", display_name_from_address(F.col("email"))).alias("name"))
 
 
 def last_token(typed):

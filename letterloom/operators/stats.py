@@ -18,25 +18,28 @@ from letterloom.schema import (CATEGORIES, COUNTED_VIEWS, DATE_BUCKETS, DEFAULT_
                                FOLDERS)
 
 
-def _rows_of(one_row: DataFrame, key: str, columns: dict[str, list[str]],
-             names: list[str]) -> DataFrame:
-    """Turn a one-row aggregate into one row per name."""
+def rows_of(one_row: DataFrame, key: str, columns: dict[str, list[str]],
+            names: list[str], *keep: str) -> DataFrame:
+    """Turn an aggregate of one row (per ``keep``) into one row per name."""
     structs = [F.struct(F.lit(n).alias(key), *[F.col(f"`{cols[i]}`").alias(c)
                                              for c, cols in columns.items()])
                for i, n in enumerate(names)]
-    return one_row.select(F.inline(F.array(*structs)))
+    return one_row.select(*keep, F.inline(F.array(*structs)))
 
 
-def received_sent(self_email: str) -> list[Column]:
+def received_sent(self_email: str | Column) -> list[Column]:
     return [F.count_if(~V.is_own(self_email)).alias("received"),
             F.count_if(V.is_own(self_email)).alias("sent")]
 
 
+def total_columns(self_email: str | Column) -> list[Column]:
+    return [*received_sent(self_email),
+            F.count_if(~F.col("is_read") & (F.col("folder") == "INBOX")).alias("unread"),
+            F.count_if(F.col("intent") == "REQUIRES_REPLY").alias("needs_reply")]
+
+
 def totals(df: DataFrame, *, self_email: str = DEFAULT_SELF) -> DataFrame:
-    return df.filter(V.in_correspondence()).agg(
-        *received_sent(self_email),
-        F.count_if(~F.col("is_read") & (F.col("folder") == "INBOX")).alias("unread"),
-        F.count_if(F.col("intent") == "REQUIRES_REPLY").alias("needs_reply"))
+    return df.filter(V.in_correspondence()).agg(*total_columns(self_email))
 
 
 def top_correspondents(df: DataFrame, *, self_email: str = DEFAULT_SELF,
@@ -92,16 +95,22 @@ def intent_ranking(df: DataFrame, k: int = 8) -> DataFrame:
 
 def folder_counts(df: DataFrame) -> DataFrame:
     """Total and unread of every folder, empty ones included."""
+    return folder_rows(df.agg(*folder_columns()))
+
+
+def folder_columns() -> list[Column]:
+    here = lambda f: F.col("folder") == f
+    return [*[F.count_if(here(f)).alias(f"total {f}") for f in FOLDERS],
+            *[F.count_if(here(f) & ~F.col("is_read")).alias(f"unread {f}") for f in FOLDERS]]
+
+
+def folder_rows(one_row: DataFrame, *keep: str) -> DataFrame:
     cols = {"total": [f"total {f}" for f in FOLDERS],
             "unread": [f"unread {f}" for f in FOLDERS]}
-    here = lambda f: F.col("folder") == f
-    one_row = df.agg(
-        *[F.count_if(here(f)).alias(f"total {f}") for f in FOLDERS],
-        *[F.count_if(here(f) & ~F.col("is_read")).alias(f"unread {f}") for f in FOLDERS])
-    return _rows_of(one_row, "folder", cols, FOLDERS)
+    return rows_of(one_row, "folder", cols, FOLDERS, *keep)
 
 
-def counted_views(as_of, self_email: str, question: Column | None = None
+def counted_views(as_of, self_email: str | Column, question: Column | None = None
                   ) -> dict[str, Column]:
     """Membership of the views that carry a badge.
 
@@ -146,7 +155,7 @@ def view_summary(df: DataFrame, as_of, *, self_email: str = DEFAULT_SELF) -> Dat
         *[F.count_if(F.col(f"`in {v}`")).alias(f"n {v}") for v in COUNTED_VIEWS],
         *[(_newest_in(F.col(f"`in {v}`")) if v in smart else F.first(no_item))
           .alias(f"top {v}") for v in COUNTED_VIEWS])
-    return _rows_of(one_row, "view", {"n": [f"n {v}" for v in COUNTED_VIEWS],
+    return rows_of(one_row, "view", {"n": [f"n {v}" for v in COUNTED_VIEWS],
                                       "top": [f"top {v}" for v in COUNTED_VIEWS]},
                     COUNTED_VIEWS)
 
@@ -154,7 +163,7 @@ def view_summary(df: DataFrame, as_of, *, self_email: str = DEFAULT_SELF) -> Dat
 def view_counts(df: DataFrame, as_of, *, self_email: str = DEFAULT_SELF) -> DataFrame:
     rules = counted_views(as_of, self_email, V.asks_question(df))
     one_row = df.agg(*[F.count_if(rules[v]).alias(v) for v in COUNTED_VIEWS])
-    return _rows_of(one_row, "view", {"n": COUNTED_VIEWS}, COUNTED_VIEWS)
+    return rows_of(one_row, "view", {"n": COUNTED_VIEWS}, COUNTED_VIEWS)
 
 
 def top_item_per_view(df: DataFrame, as_of, *,
@@ -183,7 +192,7 @@ def category_counts(df: DataFrame, as_of) -> DataFrame:
     one_row = with_category(df.filter(V.folder_view("INBOX", as_of))).agg(
         F.count("*").alias("ALL"),
         *[F.count_if(F.col("category") == c).alias(c) for c in CATEGORIES])
-    return _rows_of(one_row, "category", {"n": ["ALL", *CATEGORIES]}, ["ALL", *CATEGORIES])
+    return rows_of(one_row, "category", {"n": ["ALL", *CATEGORIES]}, ["ALL", *CATEGORIES])
 
 
 def date_bucket_counts(df: DataFrame, as_of) -> DataFrame:

@@ -8,6 +8,8 @@ sums over its parts.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +38,8 @@ def newest_foreign_sender(df: DataFrame, *, self_email: str = DEFAULT_SELF) -> D
                     F.col("m.from_name").alias("participant_name")))
 
 
-def conversations(df: DataFrame, *, self_email: str = DEFAULT_SELF) -> DataFrame:
+def conversations(df: DataFrame, *, self_email: str | Column = DEFAULT_SELF,
+                  keys: Sequence[str] = ("thread_id",)) -> DataFrame:
     """Two-way threads: at least one message each way, with the state of the newest.
 
     ``max_by`` combines in the map tasks, so a huge thread arrives as one row per
@@ -45,7 +48,7 @@ def conversations(df: DataFrame, *, self_email: str = DEFAULT_SELF) -> DataFrame
     own = V.is_own(self_email)
     foreign_rank = F.when(~own, _rank())
     newest = F.struct("date", "subject", "snippet", "intent", own.alias("own"))
-    return (df.filter(V.in_correspondence()).groupBy("thread_id").agg(
+    return (df.filter(V.in_correspondence()).groupBy(*keys).agg(
         F.count("*").alias("message_count"),
         F.count_if(~own).alias("n_foreign"),
         F.count_if(~own & ~F.col("is_read")).alias("unread_count"),
@@ -53,7 +56,7 @@ def conversations(df: DataFrame, *, self_email: str = DEFAULT_SELF) -> DataFrame
         F.max_by(F.struct("from_name", "from_email"), foreign_rank).alias("person"))
         .filter((F.col("n_foreign") > 0) & (F.col("n_foreign") < F.col("message_count")))
         .select(
-            "thread_id", F.col("last.subject").alias("subject"),
+            *keys, F.col("last.subject").alias("subject"),
             F.col("person.from_name").alias("participant_name"),
             F.col("person.from_email").alias("participant_email"),
             "message_count", F.col("last.date").alias("last_date"),

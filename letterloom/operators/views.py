@@ -26,8 +26,10 @@ SMART_VIEWS = ["now", "reply", "waiting", "receipts", "subscriptions"]
 Term = tuple[str, str]
 
 
-def is_own(self_email: str) -> Column:
-    return F.lower("from_email") == self_email.lower()
+def is_own(self_email: str | Column) -> Column:
+    """Sent by the owner, whose address is given or stands in a column."""
+    owner = F.lower(self_email) if isinstance(self_email, Column) else self_email.lower()
+    return F.lower("from_email") == owner
 
 
 def in_folders(*folders: str) -> Column:

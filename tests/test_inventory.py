@@ -4,8 +4,8 @@ import os
 import re
 
 from checks.registry import ORACLES
-from checks import (change_checks, stat_checks, stream_checks, text_checks,  # noqa: F401
-                    thread_checks, view_checks)
+from checks import (change_checks, mailbox_checks, stat_checks, stream_checks,  # noqa: F401
+                    text_checks, thread_checks, view_checks)
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 

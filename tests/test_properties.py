@@ -247,6 +247,27 @@ def test_a_change_reads_and_writes_only_slices_that_it_touches(spark, mail, fold
     assert rows(some.filter("date >= '2024-01-20'")) == rows(mail.filter("date >= '2024-01-20'").select("id", "date"))
 
 
+def test_reports_by_mailbox_equal_single_reports(spark, mail):
+    from letterloom.operators import mailboxes as B
+
+    owners = spark.createDataFrame([("one", SELF), ("two", "USER3@no-reply.example"), ("none", "x@x")],
+                                   "mailbox string, self_email string")
+    boxed = mail.withColumn("mailbox", F.when(F.pmod(F.hash("id"), F.lit(3)) == 0, "two").otherwise("one"))
+    for name, own in (("one", SELF), ("two", "user3@no-reply.example"), ("none", "x@x")):
+        part = boxed.filter(F.col("mailbox") == name).drop("mailbox")
+        only = lambda df: rows(df.filter(F.col("mailbox") == name).drop("mailbox"))  # noqa: B023,E731
+        assert only(B.totals(boxed, owners)) == rows(S.totals(part, self_email=own))
+        assert only(B.volume_by_day(boxed, owners, AS_OF)) == rows(S.volume_by_day(part, AS_OF, self_email=own))
+        assert only(B.folder_counts(boxed, owners)) == rows(S.folder_counts(part))
+        assert only(B.view_counts(boxed, owners, AS_OF)) == rows(S.view_counts(part, AS_OF, self_email=own))
+        assert only(B.contacts(boxed, owners)) == rows(P.contacts(part, self_email=own))
+        assert only(B.conversations(boxed, owners)) == rows(T.conversations(part, self_email=own))
+        assert only(B.top_correspondents(boxed, owners).drop("place")) == rows(
+            S.top_correspondents(part, self_email=own))
+    plan = plan_of(B.top_correspondents(boxed, owners))
+    assert "WindowGroupLimit" in plan.split("Exchange hashpartitioning(mailbox", 1)[1]
+
+
 def test_suggestions_by_brute_force(spark, mail):
     people = P.contacts(mail, self_email=SELF)
     typed = ["", "an", "x@y, 1", "STEIN 2", "nobody-here", "@bank.example", "É"]

@@ -119,3 +119,15 @@ def display_name_from_address(address: Column) -> Column:
         F.translate(F.left(w, F.lit(1)), LOWER_ASCII, LOWER_ASCII.upper()),
         F.substr(w, F.lit(2)))
     return F.array_join(F.transform(words, capital), "")
+
+
+def stretch_places(word: Column, letters: int) -> Column:
+    """Where the stretches of so many (1 to 3) letters are in a word, as start * 4 + letters."""
+    first, last = 4 + letters, (F.length(word) - letters + 1) * 4 + letters
+    return F.when(last >= first, F.sequence(F.lit(first), last, F.lit(4))).otherwise(
+        F.array().cast("array<int>"))
+
+
+def stretch_at(word: Column, place: Column) -> Column:
+    """The stretch at a place of ``stretch_places``."""
+    return F.substring(word, F.shiftright(place, 2), place.bitwiseAND(3))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from letterloom.functions import lexicon as lx
 from letterloom.functions.lists import reply_all_recipients, unnest
-from letterloom.functions.text import csv_to_array, display_name_from_address
+from letterloom.functions.text import (csv_to_array, display_name_from_address, stretch_at,
+                                       stretch_places)
 from letterloom.operators.views import by_name
 from letterloom.schema import DEFAULT_SELF
+from letterloom.session import kept
 
 
 def address_union(df: DataFrame, *keep: str) -> DataFrame:
@@ -53,42 +55,42 @@ def last_token(typed):
     return F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
 
 
-def _substrings(text, length):
-    """Distinct substrings of ``text`` with the given length."""
-    last = F.char_length(text) - length + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(
-        F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, length)))
+def _stretches(text, *lengths: int):
+    """Distinct stretches of ``text`` with the given numbers of letters (1 to 3)."""
+    places = F.concat(*[stretch_places(text, n) for n in lengths])
+    return F.array_distinct(F.transform(places, lambda at: stretch_at(text, at)))
+
+
+def _postings(people: DataFrame, *keep: str) -> DataFrame:
+    """One row per contact and ``key``: its stretches of one to three letters, and the
+    empty one. Their number does not depend on what is typed."""
+    keys = F.array_distinct(F.concat(F.array(F.lit("")), *[_stretches(F.col(c), 1, 2, 3) for c in ("e", "n")]))
+    return unnest(people, keys, "key", *keep)
 
 
 def suggest_contacts(people: DataFrame, typed: DataFrame, k: int = 6) -> DataFrame:
     """The first ``k`` contacts (by name) whose address or name contains each token.
 
     ``typed`` has ``text``.  A "contains" join would compare every token with every
-    contact; here contacts are cut into substrings of the token lengths that occur
-    and matched by equality, and the limit runs on both sides of the shuffle.
+    contact; here contacts are posted under their short stretches of letters. A token of up
+    to three letters is such a stretch; a longer one is looked up under the rarest of its
+    own and then compared. The limit runs on both sides of the shuffle. The contacts are
+    computed once.
     """
-    tokens = typed.select("text", last_token(F.col("text")).alias("token"))
-    wanted = tokens.select("token").distinct()
-    # Token lengths that occur, as one small array: a token longer than any address
-    # matches nothing, so there are at most as many as the longest contact has letters.
-    lengths = (wanted.filter(F.char_length("token") >= 1)
-               .agg(F.array_sort(F.collect_set(F.char_length("token")))).scalar())
     order = ["name", "email"]
-    sized = unnest(people.select(*order, F.lower("email").alias("e"),
-                                 F.lower("name").alias("n")), lengths, "length", "*")
-    parts = F.array_distinct(F.concat(_substrings(F.col("e"), F.col("length")),
-                                      _substrings(F.col("n"), F.col("length"))))
-    grams = unnest(sized, parts, "token", *order).join(wanted, "token", "left_semi")
+    stored = kept(people.select(*order, F.lower("email").alias("e"), F.lower("name").alias("n")), "contacts")
+    tokens = kept(typed.select("text", last_token(F.col("text")).alias("token")), "typed")
+    long = F.char_length("token") > 3
+    keys = F.when(long, _stretches(F.col("token"), 3)).otherwise(F.array("token"))
+    wanted = unnest(tokens.select("token").distinct(), keys, "key", "token")
+    sizes = _postings(stored).groupBy("key").agg(F.count("*").alias("size"))
+    filed = wanted.join(sizes, "key", "left").groupBy("token").agg(
+        F.min(F.struct(F.coalesce("size", F.lit(0)), "key"))["key"].alias("key"))
+    found = _postings(stored, *order, "e", "n").join(filed, "key").filter(
+        F.contains("e", "token") | F.contains("n", "token"))
     top = Window.partitionBy("token").orderBy(*order)
-    matched = (grams.withColumn("rank", F.row_number().over(top))
-               .filter(F.col("rank") <= k))
-    # An empty token suggests the first k of all.
-    everyone = people.orderBy(*order).limit(k)
-    leading = everyone.select("email", "name", F.lit("").alias("token"), F.row_number().over(
-        Window.partitionBy(F.lit(1)).orderBy(*order)).alias("rank"))
-    found = matched.unionByName(leading, allowMissingColumns=True)
-    return tokens.join(found, "token").select("text", "token", "rank", "email", "name")
+    best = found.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)
+    return tokens.join(best, "token").select("text", "token", "rank", "email", "name")
 
 
 def reply_all_to(df: DataFrame, *, self_email: str = DEFAULT_SELF) -> DataFrame:

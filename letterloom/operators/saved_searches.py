@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from letterloom.functions.lists import unnest
+from letterloom.functions.text import stretch_at, stretch_places
 from letterloom.operators.views import FREE_TEXT_COLUMNS
 from letterloom.schema import FOLDERS
 from letterloom.session import kept
@@ -46,17 +47,6 @@ def _words(marks: list[Column], text: Column) -> Column:
     return F.array_distinct(F.split(F.concat_ws(" ", *marks, short), r"\s+"))
 
 
-def _places(word: Column, letters: int) -> Column:
-    """Where the pieces of so many letters are in a word, as start * 4 + letters."""
-    first, last = 4 + letters, (F.length(word) - letters + 1) * 4 + letters
-    return F.when(last >= first, F.sequence(F.lit(first), last, F.lit(4))).otherwise(
-        F.array().cast("array<int>"))
-
-
-def _piece(word: Column, place: Column) -> Column:
-    return F.substring(word, F.shiftright(place, 2), place.bitwiseAND(3))
-
-
 def compiled(searches: DataFrame) -> DataFrame:
     """One row per search: wanted flags and folder, and its words by field. Terms that
     say nothing are left out; a search of only such terms has no row. Of several folders
@@ -86,7 +76,7 @@ def _keys_of_search() -> Column:
     """Keys that every match of a search has. Pieces are taken from the words of a phrase,
     shorter ones only where no word of it has three letters."""
     def pieces(word):
-        return F.transform(_places(word, GRAM), lambda at: _piece(word, at))
+        return F.transform(stretch_places(word, GRAM), lambda at: stretch_at(word, at))
 
     def of_phrase(w):
         parts = F.filter(F.split(_spaced(w["value"]), r"\s+"), lambda x: x != "")
@@ -114,11 +104,11 @@ def _keyed(mail: DataFrame, short: Column, *keep) -> DataFrame:
     rows = unnest(texts, _words(marks, F.col("_text")), "word", *keep)
     kept_columns = [c for c in rows.columns if c != "word"]
     word, none = F.col("word"), F.array().cast("array<int>")
-    places = F.concat(_places(word, GRAM), *[
-        F.when(F.array_contains(short, n), _places(word, n)).otherwise(none) for n in range(1, GRAM)])
+    places = F.concat(stretch_places(word, GRAM), *[
+        F.when(F.array_contains(short, n), stretch_places(word, n)).otherwise(none) for n in range(1, GRAM)])
     placed = unnest(rows, F.when(word.startswith(MARK), F.array(F.lit(0))).otherwise(places), "at",
                     *kept_columns, "word")
-    key = F.when(F.col("at") == 0, word).otherwise(_piece(word, F.col("at")))
+    key = F.when(F.col("at") == 0, word).otherwise(stretch_at(word, F.col("at")))
     return placed.select(*kept_columns, key.alias("key"))
 
 

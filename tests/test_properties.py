@@ -270,8 +270,12 @@ def test_reports_by_mailbox_equal_single_reports(spark, mail):
 
 def test_suggestions_by_brute_force(spark, mail):
     people = P.contacts(mail, self_email=SELF)
-    typed = ["", "an", "x@y, 1", "STEIN 2", "nobody-here", "@bank.example", "É"]
-    got = P.suggest_contacts(people, spark.createDataFrame([(t,) for t in typed], "text string"))
+    typed = ["", "an", "x@y, 1", "STEIN 2", "nobody-here", "@bank.example", "É", "émi", "ser1", "ruiz"]
+    asked = spark.createDataFrame([(t,) for t in typed], "text string")
+    got = P.suggest_contacts(people, asked)
+    # Contacts are read for the sizes and for the matches, tokens for both and at the end.
+    scans = lambda df: plan_of(df).count("FileScan")
+    assert scans(got) <= 4 and scans(P.suggest_contacts(people, asked.limit(2))) == scans(got)
     everyone = [(r.name, r.email) for r in people.collect()]
     want = []
     for t in typed:

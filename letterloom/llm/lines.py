@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from letterloom.llm.common import groups_of_links, let, stored, whole_text
+from letterloom.llm.common import forget, groups_of_links, let, stored, whole_text
 
 SHINGLE = 5         # characters of a shingle that similarity is measured on
-LONG_SHINGLE = 8    # characters of a signature shingle of a long line, which is rarer
-SHORT, LONG = 125, 100  # lines up to SHORT are signed by SHINGLE, lines from LONG on by
-                        # LONG_SHINGLE, both at every character, so that no script or
-                        # separator matters; in between both ways, so that similar
-                        # lines on either side of a limit share a way
+# A line is signed by its shingles of SHINGLE characters, or, where it has many anchors, by
+# the AFTER characters behind each anchor: about a third of all places in most languages
+# and every place in scripts beyond ASCII, so that long lines take little time. Lines
+# with FEW to MANY anchors are signed both ways, so that similar lines share a way.
+ANCHOR, AFTER = r"[aenstAENST2-4\x{80}-\x{10FFFF}]", 8
+FEW, MANY = 24, 36
 # Band keys of a signature, and the minima that make one key. Scattered edits at
-# similarity 0.8 leave the longer shingles about 0.72, so the long way has more keys.
-KEYS, ROWS = (10, 20), (3, 3)
+# similarity 0.8 leave the longer stretches about 0.7, so that way has more keys; short
+# stretches are less rare, so there more of them make a key.
+KEYS, ROWS = (12, 14), (4, 3)
 ROUNDS = 3          # leaders that a bucket is compared with before all its other pairs
+SLOTS = 1 << 22     # bits of the sieve of keys: 0.5 MB whatever the number of keys
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -46,14 +49,16 @@ def band_keys(low: str, way: int) -> Column:
 def signed_lines(lines: DataFrame) -> DataFrame:
     """Adds the band ``keys`` of every ``line``. The hashes are sorted in a column of
     their own, outside lambdas, where Spark compiles it."""
-    size, none = F.char_length("line"), F.array().cast("array<bigint>")
+    none = F.array().cast("array<bigint>")
     hashed = lambda parts: F.transform(parts, lambda x: F.xxhash64(x))
-    every = F.when(size <= SHORT, hashed(shingles(F.col("line")))).otherwise(none)
-    longer = F.when(size >= LONG, hashed(shingles(F.col("line"), LONG_SHINGLE))).otherwise(none)
-    ordered = lines.withColumn("low_0", F.sort_array(F.array_distinct(every))) \
+    behind = F.regexp_extract_all("line", F.lit("(?s)%s(?=(.{%d}))" % (ANCHOR, AFTER)), 1)
+    anchored = lines.withColumn("behind", behind)
+    every = F.when(F.size("behind") < MANY, hashed(shingles(F.col("line")))).otherwise(none)
+    longer = F.when(F.size("behind") >= FEW, hashed(F.col("behind"))).otherwise(none)
+    ordered = anchored.withColumn("low_0", F.sort_array(F.array_distinct(every))) \
         .withColumn("low_1", F.sort_array(F.array_distinct(longer)))
     return ordered.withColumn("keys", F.concat(band_keys("low_0", 0), band_keys("low_1", 1))) \
-        .drop("low_0", "low_1")
+        .drop("behind", "low_0", "low_1")
 
 
 def row_key(doc_id: str, text: str) -> Column:
@@ -68,28 +73,44 @@ def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         .where(F.col("line").rlike(HAS_WORD))
 
 
-def line_texts(wanted: DataFrame, places: DataFrame, docs: DataFrame, doc_id: str,
-               text: str) -> DataFrame:
-    """``(h, line, n)`` of the wanted line keys ``h``, from one occurrence of each; ``n``:
-    its different shingles."""
-    found = places.join(wanted, "h").groupBy("h").agg(
-        F.min(F.struct("rid", "line_no")).alias("at")).groupBy("at.rid").agg(
-        F.collect_list(F.struct("h", "at.line_no")).alias("take"))  # lines of one document
-    lines = docs.select(row_key(doc_id, text).alias("rid"), F.col(text).alias("t")).join(
-        found, "rid").select(F.split("t", "\n").alias("lines"), F.explode("take").alias("k"))
-    one = lines.select("k.h", F.get("lines", F.col("k.line_no")).alias("line")).dropDuplicates(["h"])
-    return one.withColumn("n", n_shingles(F.col("line")))
+def fixed_array(cells: DataFrame, size: int) -> Column:
+    """The values ``v`` of the numbers ``i`` from 0 to ``size`` - 1 (else 0) as one array of
+    that fixed size, which is a value of a row and not a table."""
+    spark = cells.sparkSession
+    whole = spark.range(size).select(F.col("id").cast("int").alias("i")).join(cells, "i", "left")
+    return whole.agg(F.transform(F.sort_array(F.collect_list(F.struct(
+        "i", F.coalesce("v", F.lit(0).cast("long")).alias("v")))), lambda c: c.v)).scalar()
+
+
+def sieved(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``column`` no row of ``wanted`` has, by a bit
+    for every slot. Where the slots are nearly all taken it only lets more through."""
+    slot = F.pmod(F.xxhash64(F.lit(9), column), F.lit(SLOTS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    words = wanted.groupBy(F.shiftright(slot, 6).cast("int").alias("i")).agg(
+        F.bit_or(bit).alias("v"))
+    at = F.get(fixed_array(words, SLOTS // 64), F.shiftright(slot, 6).cast("int"))
+    return rows.where(F.bit_get(at, (slot % 64).cast("int")) == 1)
+
+
+def line_texts(wanted: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """``(h, line, n)`` of the wanted line keys ``h``; ``n``: its different shingles.
+    Repeats become one before the shuffle."""
+    lines = docs.select(F.explode(F.split(whole_text(text), "\n")).alias("line")).select(
+        F.xxhash64("line").alias("h"), "line")
+    one = sieved(lines, "h", wanted).groupBy("h").agg(F.first("line").alias("line"))
+    return one.join(wanted, "h", "left_semi").withColumn("n", n_shingles(F.col("line")))
 
 
 def similar(pairs: DataFrame, lines: DataFrame, least: float, parts=shingles) -> DataFrame:
     """The pairs ``(a, b)`` of line keys whose lines have a Jaccard similarity of ``least``
-    or more, computed exactly on their ``parts``. Sets whose sizes rule it out are not
-    compared."""
-    def side(x: str) -> DataFrame:
-        return lines.select(F.col("h").alias(x), F.col("line").alias(f"line_{x}"),
-                            F.col("n").alias(f"n_{x}"))
-    met = pairs.join(side("a"), "a").where("n_a > 0").join(side("b"), "b").where(
-        F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b"))
+    or more, computed exactly on their ``parts``. Sets whose sizes rule it out fall before
+    any text is fetched."""
+    def side(x: str, *columns: str) -> DataFrame:
+        return lines.select(*[F.col(c).alias(x if c == "h" else f"{c}_{x}") for c in ("h", *columns)])
+    alike = F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b")
+    sized = pairs.join(side("a", "n"), "a").where("n_a > 0").join(side("b", "n"), "b").where(alike)
+    met = sized.join(side("a", "line"), "a").join(side("b", "line"), "b")
     both = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect(
         parts(F.col("line_a")), parts(F.col("line_b")))).alias("both"))
     return both.where(F.col("both") >= F.lit(least) * (F.col("n_a") + F.col("n_b") - F.col("both"))
@@ -123,6 +144,7 @@ def similar_lines(shared: DataFrame, lines: DataFrame, least: float, parts=shing
             pairs = open_.where("root <> groot")
         pairs = stored(pairs.select(F.greatest("h", "g").alias("a"), F.least("h", "g").alias("b"))
                        .distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        forget(open_)
         if pairs.isEmpty():
             continue
         found = stored(similar(pairs, lines, least, parts), "links")
@@ -150,11 +172,14 @@ def line_groups(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_id",
     keyed = signed.select(F.explode("keys").alias("key"), "h")
     buckets = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")) \
         .where("low <> high").select("key")
-    shared = stored(keyed.join(buckets, "key").distinct(), "shared")
-    lines = stored(line_texts(shared.select("h").distinct(), signed.select("h", "rid", "line_no"),
-                              docs, doc_id, text), "lines")
+    buckets = stored(buckets, "buckets")
+    shared = stored(sieved(keyed, "key", buckets).join(buckets, "key").distinct(), "shared")
+    places = stored(signed.drop("keys"), "places")
+    forget(signed, buckets)
+    lines = stored(line_texts(stored(shared.select("h").distinct(), "wanted"), docs, text), "lines")
     groups = similar_lines(shared, lines, least)
-    rooted = signed.select("rid", "doc_id", "line_no", "h").join(
+    forget(shared, lines)
+    rooted = places.join(
         groups.withColumnRenamed("id", "h"), "h", "left").select(
         "rid", "doc_id", "line_no", F.coalesce("root", "h").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min(F.struct(

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BUCKETS = 256   # state keys of a job; more for state of many millions of rows
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -17,40 +18,71 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-class Presence(StatefulProcessor):
-    """Remembers under which name a connection is joined.
+def _bucket(column: str, buckets: int) -> Column:
+    """Deals keys into ``buckets`` state keys: Python is then called once for every bucket
+    of a batch, not once for every connection or message."""
+    return F.pmod(F.xxhash64(column), F.lit(buckets)).alias("bucket")
 
-    A message counts only if its connection is joined under the same name. Rows wait
-    until the watermark has passed them and are then taken in time order, whatever the
-    batches they came in. A connection that is silent for longer than ``ttl`` is gone:
-    its name is forgotten, in the results and in the state.
-    """
 
-    def __init__(self, ttl_ms: int) -> None:
-        self._ttl = ttl_ms
+class _Timed(StatefulProcessor):
+    """Tables in list states, and one timer for a bucket."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._known = handle.getValueState("known", "username string, last_us long")
-        self._waiting = handle.getListState("waiting", "ts_us long, seq long, type string, username string")
         self._timer = handle.getValueState("timer", "at long")
 
+    def _read(self, state, columns: list[str]) -> pd.DataFrame:
+        return pd.DataFrame(list(state.get()) if state.exists() else [], columns=columns)
+
+    def _write(self, state, rows: pd.DataFrame) -> None:
+        if len(rows):
+            state.put(list(zip(*[rows[c].tolist() for c in rows.columns])))
+        else:
+            state.clear()
+
     def _wake_at(self, ms: int | None) -> None:
-        """Keeps one timer per connection."""
         if self._timer.exists():
-            self._handle.deleteTimer(self._timer.get()[0])
+            now = self._timer.get()[0]
+            if now == ms:
+                return
+            self._handle.deleteTimer(now)
             self._timer.clear()
         if ms is not None:
             self._handle.registerTimer(ms)
             self._timer.update((ms,))
 
+    def close(self) -> None:
+        pass
+
+
+WAITING, KNOWN = ["conn_id", "ts_us", "seq", "type", "username"], ["conn_id", "username", "last_us"]
+
+
+class Presence(_Timed):
+    """Remembers under which name a connection is joined, for the connections of a bucket.
+
+    A message counts only if its connection is joined under the same name. Rows wait
+    until the watermark has passed them and are then taken in time order, whatever the
+    batches they came in. A connection that is silent for longer than ``ttl`` is gone:
+    its name is forgotten, in the results and in the state.
+    """
+
+    def __init__(self, ttl_ms: int) -> None:
+        self._ttl = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self._known = handle.getListState("known", "conn_id string, username string, last_us long")
+        self._waiting = handle.getListState(
+            "waiting", "conn_id string, ts_us long, seq long, type string, username string")
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
                         ) -> Iterator[pd.DataFrame]:
-        first = self._timer.get()[0] if self._waiting.exists() else None
+        first = self._timer.get()[0] if self._timer.exists() else None
         for chunk in rows:
-            columns = [chunk[c].tolist() for c in ("ts_us", "seq", "type", "username")]
+            columns = [chunk[c].tolist() for c in WAITING]
             self._waiting.appendList(list(zip(*columns)))
-            earliest = min(columns[0]) // 1000 + 1
+            earliest = min(columns[1]) // 1000 + 1
             first = earliest if first is None else min(first, earliest)
         self._wake_at(first)
         yield pd.DataFrame([], columns=OUT)
@@ -58,62 +90,60 @@ class Presence(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         self._timer.clear()
-        waiting = pd.DataFrame(list(self._waiting.get()), columns=["ts_us", "seq", "type", "username"])
-        ready = waiting[waiting["ts_us"] < passed].sort_values(["ts_us", "seq"], kind="stable")
+        waiting, known = self._read(self._waiting, WAITING), self._read(self._known, KNOWN)
+        ready = waiting[waiting["ts_us"] < passed]
         rest = waiting[waiting["ts_us"] >= passed]
-        if len(rest):
-            self._waiting.put([tuple(r) for r in rest.values.tolist()])
-        else:
-            self._waiting.clear()
-        name, last = self._known.get() if self._known.exists() else ("", None)
         if len(ready):
-            out, name, last = self._taken(ready, name, last)
-            yield out.assign(conn_id=key[0])[OUT]
-        gone = last is not None and last + self._ttl * 1000 < passed
-        if not name or gone:
-            self._known.clear()
-        else:
-            self._known.update((name, int(last)))
-        if len(rest):
-            self._wake_at(int(rest["ts_us"].min()) // 1000 + 1)
-        elif name and not gone:
-            self._wake_at(int(last) // 1000 + self._ttl + 1)
-
-    def _taken(self, rows: pd.DataFrame, name: str, last: int | None):
-        """Accepted rows, and the name and time that are known after them."""
-        ts, user = rows["ts_us"], rows["username"].fillna("")
-        silent = ts.diff().fillna(0 if last is None else ts.iloc[0] - last) > self._ttl * 1000
-        stretch = silent.cumsum()
-        known = user.where(rows["type"] == "join").mask(rows["type"] == "leave", "")
-        after = known.groupby(stretch).ffill()
-        before = after.groupby(stretch).shift()
-        if name:
-            after, before = (x.mask(x.isna() & (stretch == 0), name) for x in (after, before))
-        after, before = after.fillna(""), before.fillna("")
+            self._write(self._waiting, rest)
+            out, newest = self._taken(ready, known)
+            yield out
+            known = pd.concat([known, newest]).drop_duplicates("conn_id", keep="last")
+        known = known[(known["username"] != "") & (known["last_us"] + self._ttl * 1000 >= passed)]
+        self._write(self._known, known)
+        due = [*([int(rest["ts_us"].min()) // 1000 + 1] if len(rest) else []),
+               *([int(known["last_us"].min()) // 1000 + self._ttl + 1] if len(known) else [])]
+        self._wake_at(min(due, default=None))
+
+    def _taken(self, rows: pd.DataFrame, known: pd.DataFrame):
+        """Accepted rows, and the names and times that are known after them."""
+        conn, ids = pd.factorize(rows["conn_id"], use_na_sentinel=False)
+        rows = rows.assign(conn=conn).sort_values(["conn", "ts_us", "seq"], kind="stable").reset_index(drop=True)
+        by = known.drop_duplicates("conn_id").set_index("conn_id").reindex(ids)
+        conn, ts, user = rows["conn"], rows["ts_us"], rows["username"].fillna("")
+        name = pd.Series(by["username"].to_numpy()[conn], index=rows.index)
+        last = pd.Series(by["last_us"].to_numpy(dtype=float)[conn], index=rows.index)
+        before_it = ts.groupby(conn).shift().fillna(last)
+        stretch = (ts - before_it > self._ttl * 1000).groupby(conn).cumsum()
+        groups = [conn, stretch]
+        moves = user.where(rows["type"] == "join").mask(rows["type"] == "leave", "")
+        after = moves.groupby(groups).ffill()
+        before = after.groupby(groups).shift()
+        after, before = (x.mask(x.isna() & (stretch == 0), name).fillna("") for x in (after, before))
         kind = pd.Series(None, index=rows.index, dtype=object)
         kind[rows["type"] == "join"] = "user-joined"
         kind[(rows["type"] == "leave") & (before != "")] = "user-left"
         kind[(rows["type"] == "message") & (before != "") & (before == user)] = "message"
-        out = pd.DataFrame({"seq": rows["seq"], "kind": kind,
+        out = pd.DataFrame({"conn_id": rows["conn_id"], "seq": rows["seq"], "kind": kind,
                             "username": user.mask(rows["type"] == "leave", before)})
-        return out[kind.notna()], after.iloc[-1], int(ts.iloc[-1])
-
-    def close(self) -> None:
-        pass
+        newest = pd.DataFrame({"conn_id": rows["conn_id"], "username": after, "last_us": ts})[
+            ~conn.duplicated(keep="last")]
+        return out[kind.notna()], newest
 
 
 OUT = ["conn_id", "seq", "kind", "username"]
 
 
-def presence(events: DataFrame, delay: str = "1 minute", ttl_seconds: int = 86_400) -> DataFrame:
+def presence(events: DataFrame, delay: str = "1 minute", ttl_seconds: int = 86_400,
+             buckets: int = BUCKETS) -> DataFrame:
     """Joins, leaves and accepted messages of (conn_id, username, type, ts, seq), once the
     watermark (``delay`` behind the newest row) has passed them. Rows that come later than
     that are dropped. State is bounded by the rows of the last ``delay`` and by the
-    connections with a row in the last ``ttl_seconds``."""
+    connections with a row in the last ``ttl_seconds``; it is kept in ``buckets`` keys, whose
+    number holds for the life of a checkpoint."""
     use_state_store(events.sparkSession)
     timed = events.withWatermark("ts", delay).select(
-        "conn_id", "username", "type", "seq", "ts", F.unix_micros("ts").alias("ts_us"))
-    return timed.groupBy("conn_id").transformWithStateInPandas(
+        _bucket("conn_id", buckets), "conn_id", "username", "type", "seq", "ts", F.unix_micros("ts").alias("ts_us"))
+    return timed.groupBy("bucket").transformWithStateInPandas(
         Presence(ttl_seconds * 1000), "conn_id string, seq long, kind string, username string",
         outputMode="append", timeMode="EventTime")
 
@@ -127,50 +157,61 @@ def online(events: DataFrame) -> DataFrame:
         (F.col("m.type") == "join").alias("is_online"))
 
 
-class SnoozeTimer(StatefulProcessor):
-    """Holds one timer per message and reports the message when it fires.
+SNOOZES = ["id", "at_us", "until_ms"]
+
+
+class SnoozeTimer(_Timed):
+    """Holds the ends of the snoozes of a bucket of messages and reports those that event
+    time passes.
 
-    A later snooze replaces the timer; a NULL time cancels it.
+    A later snooze replaces an earlier one; a NULL time cancels it.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._until = handle.getValueState("until", "until long")
+        super().init(handle)
+        self._pending = handle.getListState("pending", "id string, at_us long, until_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
                         ) -> Iterator[pd.DataFrame]:
-        newest = None
+        new = None
         for chunk in rows:
-            last = chunk.loc[chunk["ts"].idxmax()]
-            if newest is None or last["ts"] >= newest["ts"]:
-                newest = last
-        if self._until.exists():
-            self._handle.deleteTimer(self._until.get()[0])
-            self._until.clear()
-        if newest is not None and not pd.isna(newest["until_ms"]):
-            self._handle.registerTimer(int(newest["until_ms"]))
-            self._until.update((int(newest["until_ms"]),))
+            new = self._newest([new, chunk[SNOOZES]])
+        pending = self._read(self._pending, SNOOZES)
+        if len(pending) or new["until_ms"].notna().any():
+            self._keep(self._newest([pending, new]).dropna(subset=["until_ms"]).astype({"until_ms": "int64"}))
         yield pd.DataFrame({"id": pd.Series(dtype=str), "until_ms": pd.Series(dtype="int64")})
 
+    def _newest(self, parts: list[pd.DataFrame | None]) -> pd.DataFrame:
+        """The newest row of every message; of rows of one moment the last."""
+        rows = pd.concat([p for p in parts if p is not None and len(p)])
+        return rows.sort_values("at_us", kind="stable").drop_duplicates("id", keep="last")
+
+    def _keep(self, pending: pd.DataFrame) -> None:
+        self._write(self._pending, pending)
+        self._wake_at(int(pending["until_ms"].min()) if len(pending) else None)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo
                            ) -> Iterator[pd.DataFrame]:
-        self._until.clear()
-        yield pd.DataFrame({"id": [key[0]],
-                            "until_ms": [expiredTimerInfo.getExpiryTimeInMs()]})
-
-    def close(self) -> None:
-        pass
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        self._timer.clear()
+        pending = self._read(self._pending, SNOOZES)
+        due = pending["until_ms"] <= passed
+        self._keep(pending[~due])
+        yield pending.loc[due, ["id", "until_ms"]]
 
 
-def snooze_timer(snoozes: DataFrame, delay: str = "1 minute") -> DataFrame:
+def snooze_timer(snoozes: DataFrame, delay: str = "1 minute", buckets: int = BUCKETS) -> DataFrame:
     """(id, snoozed_until) when event time passes the end of a snooze.
 
-    ``snoozes`` has (id, ts, snoozed_until); the watermark on ``ts`` is the clock.
+    ``snoozes`` has (id, ts, snoozed_until); the watermark on ``ts`` is the clock. State
+    has the open snoozes only, in ``buckets`` keys, whose number holds for the life of a
+    checkpoint.
     """
     use_state_store(snoozes.sparkSession)
-    timed = snoozes.select("id", "ts", F.unix_millis(
-        F.col("snoozed_until").cast("timestamp")).alias("until_ms")).withWatermark("ts", delay)
-    fired = timed.groupBy("id").transformWithStateInPandas(
+    timed = snoozes.withWatermark("ts", delay).select(
+        _bucket("id", buckets), "id", "ts", F.unix_micros("ts").alias("at_us"),
+        F.unix_millis(F.col("snoozed_until").cast("timestamp")).alias("until_ms"))
+    fired = timed.groupBy("bucket").transformWithStateInPandas(
         SnoozeTimer(), "id string, until_ms long", outputMode="append", timeMode="EventTime")
     return fired.select("id", F.timestamp_millis("until_ms").cast("timestamp_ntz")
                         .alias("snoozed_until"))

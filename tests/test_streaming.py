@@ -301,3 +301,38 @@ def test_view_counts_by_deltas_equal_a_recount(spark, folder):
     finish(log.start(feed.stream(), J.view_counts_by_deltas(deltas, log.read)))
     got = {(r.as_of, r.view, r.n) for r in rows_of(spark, log.folder).collect()}
     assert got == {(tick, r.view, r.n) for tick in ticks for r in S.view_counts(mail, tick).collect()}
+
+
+def test_keys_share_state_buckets(spark, folder):
+    """Many messages and connections in one bucket: every one has its own snooze and name,
+    and Python is called for buckets, not for each of them."""
+    feed = Feed(spark, f"{folder}/z", "id string, ts timestamp, snoozed_until timestamp_ntz")
+    feed.add(*[(f"m{i}", at(i % 7), at(100 + i) if i % 3 else None) for i in range(60)], (None, at(0), at(90)))
+    feed.add(*[(f"m{i}", at(8), None if i % 2 else at(110)) for i in range(0, 60, 5)],
+             ("m1", at(0), at(50)))          # older than what is known of m1
+    feed.add(("x", at(210), None))
+    out = f"{folder}/snoozed"
+    finish(append_to(ST.snooze_timer(feed.stream(), buckets=2), out))
+    want = {f"m{i}": at(100 + i) for i in range(60) if i % 3} | {None: at(90)}
+    for i in range(0, 60, 5):
+        want.pop(f"m{i}", None)
+        want |= {} if i % 2 else {f"m{i}": at(110)}
+    want = {k: v for k, v in want.items() if v <= at(150)}
+    got = rows_of(spark, out).collect()
+    assert len(got) == len(want) and {r.id: r.snoozed_until for r in got} == want
+    keys = (spark.read.format("statestore").option("path", f"{out}/state")
+            .option("stateVarName", "pending").load().select("key").distinct().count())
+    assert keys <= 2
+
+    feed = Feed(spark, f"{folder}/p", "conn_id string, username string, type string, ts timestamp, seq long")
+    feed.add(*[(f"c{i}", f"u{i}", "join", at(1), 2 * i) for i in range(40)], (None, "n", "join", at(1), 500))
+    feed.add(*[(f"c{i}", f"u{i + i % 2}", "message", at(2), 2 * i + 1) for i in range(40)],
+             (None, "n", "message", at(3), 501), ("z", "", "message", at(200), 900))
+    out = f"{folder}/present"
+    finish(append_to(ST.presence(feed.stream(), buckets=2), out))
+    got = {(r.conn_id, r.kind) for r in rows_of(spark, out).collect()}
+    assert got == {(f"c{i}", "user-joined") for i in range(40)} | {
+        (f"c{i}", "message") for i in range(0, 40, 2)} | {(None, "user-joined"), (None, "message")}
+    keys = (spark.read.format("statestore").option("path", f"{out}/state")
+            .option("stateVarName", "known").load().select("key").distinct().count())
+    assert keys <= 2

@@ -82,12 +82,16 @@ def suggest_contacts(people: DataFrame, typed: DataFrame, k: int = 6) -> DataFra
     tokens = kept(typed.select("text", last_token(F.col("text")).alias("token")), "typed")
     long = F.char_length("token") > 3
     keys = F.when(long, _stretches(F.col("token"), 3)).otherwise(F.array("token"))
-    wanted = unnest(tokens.select("token").distinct(), keys, "key", "token")
-    sizes = _postings(stored).groupBy("key").agg(F.count("*").alias("size"))
-    filed = wanted.join(sizes, "key", "left").groupBy("token").agg(
-        F.min(F.struct(F.coalesce("size", F.lit(0)), "key"))["key"].alias("key"))
-    found = _postings(stored, *order, "e", "n").join(filed, "key").filter(
-        F.contains("e", "token") | F.contains("n", "token"))
+    # Spark takes what is unnested for as small as its source and would broadcast it, so
+    # these are written first: joins then go by true sizes. A semi-join sends its right side only.
+    wanted = kept(unnest(tokens.select("token").distinct(), keys, "key", "token"), "wanted")
+    sizes = _postings(stored).join(wanted.select("key").distinct(), "key", "left_semi").groupBy(
+        "key").agg(F.count("*").alias("size"))
+    filed = kept(wanted.join(sizes, "key", "left").groupBy("token").agg(
+        F.min(F.struct(F.coalesce("size", F.lit(0)), "key"))["key"].alias("key")), "filed")
+    posted = kept(_postings(stored, *order, "e", "n").join(
+        filed.select("key").distinct(), "key", "left_semi"), "posted")
+    found = posted.join(filed, "key").filter(F.contains("e", "token") | F.contains("n", "token"))
     top = Window.partitionBy("token").orderBy(*order)
     best = found.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)
     return tokens.join(best, "token").select("text", "token", "rank", "email", "name")

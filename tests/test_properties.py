@@ -442,3 +442,21 @@ def test_refined_intents_are_stored(spark, mail):
     stored = votes.persist_intents(mail, refined)
     assert stored.columns == mail.columns
     assert rows(stored.select("id", "intent")) == rows(refined.select("id", "intent"))
+
+
+def test_postings_are_never_broadcast_whole(spark):
+    """Few contacts in the file, very many postings: no join may send these to the driver,
+    whose size Spark takes for that of the contacts."""
+    from letterloom.operators import people as P
+
+    people = spark.range(300).select(
+        F.concat(F.lit("user"), F.col("id"), F.lit("@acme.example")).alias("email"),
+        F.repeat(F.concat(F.lit("Ana Ruiz "), F.col("id"), F.lit(" ")), F.lit(20)).alias("name"))
+    typed = spark.range(3000).select(F.concat(F.lit("x, r"), F.col("id")).alias("text"))
+    got = P.suggest_contacts(people, typed)
+    got.write.format("noop").mode("overwrite").save()
+    assert "Generate" not in plan_of(got)
+    asked = [(str(i), f"r{i}") for i in range(3000)]
+    everyone = [(r.name, r.email) for r in people.collect()]
+    want = sum(min(6, sum(t in n.lower() or t in e for n, e in everyone)) for _, t in asked)
+    assert got.count() == want

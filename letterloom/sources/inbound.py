@@ -152,12 +152,15 @@ def ingest_composed(raw: DataFrame, as_of, *, self_email: str = DEFAULT_SELF) ->
 
 # --- Raw messages -------------------------------------------------------------------
 
-def read_raw_messages(spark: SparkSession, path: str, *, stream: bool = False) -> DataFrame:
-    """One message per file, in any folder below ``path``: (id, value, file, arrived). The
-    id is made of the content, so a message that is read again, from wherever, has the same;
-    ``arrived`` is the time of the file."""
-    reader = spark.readStream if stream else spark.read
-    return (reader.format("text").option("wholetext", True).option("recursiveFileLookup", True)
+def read_raw_messages(spark: SparkSession, path: str, *, stream: bool = False,
+                      separator: str | None = None) -> DataFrame:
+    """The messages in the files in any folder below ``path``: (id, value, file, arrived).
+    A file is one message, or holds many that each end with ``separator`` (U+0000 suits, which
+    no message may contain). The id is made of the content, so a message that is read
+    again, from wherever, has the same; ``arrived`` is the time of the file."""
+    reader = (spark.readStream if stream else spark.read).format("text")
+    reader = reader.option("wholetext", True) if separator is None else reader.option("lineSep", separator)
+    return (reader.option("recursiveFileLookup", True)
             .load(path).select(
                 F.left(F.sha2("value", 256), F.lit(32)).alias("id"), "value",
                 F.col("_metadata.file_path").alias("file"),

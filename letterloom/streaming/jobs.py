@@ -69,10 +69,12 @@ def inbound_to(raw: DataFrame, folder: str, every: str | None = None, *,
 
 
 def raw_messages_to(spark: SparkSession, path: str, folder: str, every: str | None = None,
-                    *, self_email: str = DEFAULT_SELF, delay: str = "1 hour") -> Query:
+                    *, self_email: str = DEFAULT_SELF, delay: str = "1 hour",
+                    separator: str | None = None) -> Query:
     """Writes the raw messages in the files below ``path`` as ``inbound_to`` does: mail rows,
-    and those without a sender with the reason."""
-    posts = parse_raw_messages(read_raw_messages(spark, path, stream=True))
+    and those without a sender with the reason. A file is one message, or many with a
+    ``separator`` after each."""
+    posts = parse_raw_messages(read_raw_messages(spark, path, stream=True, separator=separator))
     return inbound_to(posts, folder, every, self_email=self_email, delay=delay)
 
 

@@ -336,3 +336,22 @@ def test_keys_share_state_buckets(spark, folder):
     keys = (spark.read.format("statestore").option("path", f"{out}/state")
             .option("stateVarName", "known").load().select("key").distinct().count())
     assert keys <= 2
+
+
+def test_files_of_many_raw_messages(spark, folder):
+    """The same rows whether messages have files of their own or share one."""
+    raw = ["From: Ana <ana@x>\r\nSubject: One\r\n\r\nline\nand\r\nline\n", "Subject: none\r\n\r\nrefused",
+           "From: Bo <bo@x>\r\n\r\n\n\n", "From: Ana <ana@x>\r\nSubject: One\r\n\r\nline\nand\r\nline\n"]
+    import os
+    for name, files in (("own", raw), ("shared", ["".join(m + "\0" for m in raw)])):
+        os.makedirs(f"{folder}/{name}")
+        for k, content in enumerate(files):
+            with open(f"{folder}/{name}/{k}", "w", newline="") as out:
+                out.write(content)
+        finish(J.raw_messages_to(spark, f"{folder}/{name}", f"{folder}/out-{name}",
+                                 separator=None if name == "own" else "\0"))
+    read = lambda name, part, *c: sorted(tuple(r) for r in spark.read.parquet(
+        f"{folder}/out-{name}/{part}").select("id", *c).collect())
+    for part, columns in (("rows", ("from_email", "subject", "body")), ("rejected", ("reason",))):
+        assert read("own", part, *columns) == read("shared", part, *columns)
+    assert len(read("shared", "rows")) == 2 and len(read("shared", "rejected")) == 1

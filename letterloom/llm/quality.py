@@ -47,6 +47,20 @@ def features(text: Column) -> Column:
     return let(words_of(F.lower(text)), lambda w: F.concat(grams(w), shape(w), signs(w)))
 
 
+def _sparse_parts(ids: np.ndarray, offsets: np.ndarray, rows: int = 250
+                  ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_sparse`` of many rows, ``rows`` at a time: sorting the features of a whole
+    shard at once would take several times their size."""
+    ids_of, values, bounds = [np.zeros(0, np.int32)], [np.zeros(0)], [np.zeros(1, np.int64)]
+    for lo in range(0, len(offsets) - 1, rows):
+        at = offsets[lo:lo + rows + 1]
+        i, x, b = _sparse(ids[at[0]:at[-1]], at - at[0])
+        ids_of.append(i.astype(np.int32))
+        values.append(x)
+        bounds.append(bounds[-1][-1] + b[1:])
+    return np.concatenate(ids_of), np.concatenate(values), np.concatenate(bounds)
+
+
 def _sparse(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct features of each row with values that have norm 1 (log of counts)."""
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -97,9 +111,11 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label",
     def learn(group: pa.Table) -> pa.Table:
         group = group.sort_by("place")  # an order that does not depend on the tasks
         values, offsets = flat(group["ids"])
-        ids, x, bounds = _sparse(values.to_numpy(zero_copy_only=False), offsets)
-        w = follow_the_leader(ids, x, bounds, group["y"].to_numpy(), range(group.num_rows))
-        return pa.table({"n": pa.array([group.num_rows], pa.int64()),
+        ids, x, bounds = _sparse_parts(values.to_numpy(zero_copy_only=False), offsets)
+        n, labels = group.num_rows, group["y"].to_numpy()
+        del group, values
+        w = follow_the_leader(ids, x, bounds, labels, range(n))
+        return pa.table({"n": pa.array([n], pa.int64()),
                          "w": pa.array([w.tobytes()], pa.binary())})
 
     parts = chosen.groupBy("shard").applyInArrow(learn, "n bigint, w binary").collect()

@@ -93,8 +93,7 @@ def document_groups(docs: DataFrame, least: float = LEAST, doc_id: str = "doc_id
         F.min("rid").alias("rid"))
     texts = docs.select(row_key(doc_id, text).alias("rid"), F.col(text).alias("t")).join(
         chosen, "rid").dropDuplicates(["h"])
-    sets = stored(texts.select("h", shingle_set(F.coalesce("t", F.lit(""))).alias("line"))
-                  .withColumn("n", F.size("line")), "sets")
+    sets = stored(texts.select("h", shingle_set(F.coalesce("t", F.lit(""))).alias("line")), "sets")
     groups = similar_lines(shared, sets, least, parts=lambda s: s)
     return signed.select("rid", "doc_id", "h").join(
         groups.withColumnRenamed("id", "h"), "h", "left").select(

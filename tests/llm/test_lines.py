@@ -1,6 +1,8 @@
 """Line groups against all pairs of lines."""
 
+import random
 import re
+import string
 
 from letterloom.llm import lines, queries
 
@@ -78,3 +80,28 @@ def test_members_that_only_meet_through_others(spark):
     assert len(set(want.values())) == 1
     got = {(r.doc_id, r.line_no): (r.first_doc, r.first_line) for r in lines.line_groups(df).collect()}
     assert got == want
+
+
+def test_sketches_rule_out_no_similar_pair_and_most_others(spark):
+    """A family of lines mostly under the limit: few of its pairs are rows after the cells."""
+    from pyspark.sql import functions as F
+    rng = random.Random(3)
+    base = [rng.choice(string.ascii_lowercase) for _ in range(300)]
+    family = []
+    for k in range(600):
+        line = list(base)
+        for at in rng.sample(range(300), 8 if k % 60 else 2):
+            line[at] = rng.choice(string.ascii_uppercase)
+        family.append((k, "".join(line)))
+    table = spark.createDataFrame(family, "h long, line string")
+    known = lines.sketches(table, lines.hashed_shingles).persist()
+    assert {r.h: r.n for r in known.collect()} == {h: len(shingles(x)) for h, x in family}
+    members = table.select(F.lit(1).alias("key"), "h", F.col("h").alias("root"))
+    found = {(r.a, r.b) for r in lines.cell_pairs(members, known, 0.8).collect()}
+    sets = [shingles(x) for _, x in family]
+    near = {(a, b) for a in range(600) for b in range(a)
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert near and near <= found and len(found) < 0.1 * 600 * 599 / 2
+    close = {(r.a, r.b) for r in lines.similar(spark.createDataFrame(list(found), "a long, b long"), table,
+                                               known, 0.8, lines.hashed_shingles).collect()}
+    assert close == near

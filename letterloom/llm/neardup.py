@@ -1,5 +1,5 @@
-"""Near-duplicate documents: MinHash keys, exact Jaccard of word shingles, one row of each
-group stays."""
+"""Near-duplicate documents: SimHash fingerprints joined in a trie, exact Jaccard of word
+shingles, one row of each group stays. Pairs beyond the reach of the trie meet by MinHash keys."""
 
 from __future__ import annotations
 
@@ -11,15 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from letterloom.llm.arrays import flat
-from letterloom.llm.common import stored, whole_text
+from letterloom.llm.common import groups_of_links, stored, whole_text
 from letterloom.llm.lines import row_key, similar_lines
-from letterloom.llm.simhash import shingle_hashes
+from letterloom.llm.simhash import bit_majorities, near_links, shingle_hashes
 
 WORDS = 5     # words of a shingle
 LEAST = 0.8   # similarity that links two documents
+BITS = 3      # differing bits of two fingerprints that the trie brings together
 # Keys of a document and the minima that make one: a pair at LEAST shares no key with
-# chance (1 - 0.8**5)**20 = 0.04 %. Fingerprints of 64 bits do not serve here: pairs at
-# LEAST differ in up to 15 bits or so, and a trie join that wide compares nearly all pairs.
+# chance (1 - 0.8**5)**20 = 0.04 %. They are for the pairs that the trie does not reach: at
+# LEAST fingerprints differ in up to 15 bits or so, and a trie join that wide compares
+# nearly all pairs.
 BANDS, MINIMA = 20, 5
 CHUNK = 1 << 20   # shingles that are hashed at once, besides one whole document
 
@@ -51,8 +53,8 @@ def minhash_keys(values: np.ndarray, offsets: np.ndarray, chunk: int = CHUNK) ->
 
 
 def signed_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(rid, doc_id, h, keys)`` of every row; ``h`` names its set of shingles. A text
-    without a word has no keys."""
+    """``(rid, doc_id, h, fp, keys)`` of every row; ``h`` names its set of shingles, ``fp``
+    is the fingerprint of that set. A text without a word has no keys."""
     sets = docs.select(row_key(doc_id, text).alias("rid"), F.col(doc_id).alias("doc_id"),
                        shingle_set(whole_text(text)).alias("set"))
     hashed = sets.select("rid", "doc_id", F.xxhash64(F.lit(6), "set").alias("h"), "set")
@@ -61,16 +63,25 @@ def signed_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         for batch in batches:
             values, offsets = flat(batch["set"])
             values = values.to_numpy(zero_copy_only=False).view(np.uint64)
+            prints = bit_majorities(values, offsets)
             size = np.diff(offsets)
             keys = minhash_keys(values, np.append(offsets[:-1][size > 0], offsets[-1]))
             ends = np.append(0, np.cumsum(np.where(size > 0, BANDS, 0))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch["rid"], batch["doc_id"], batch["h"], pa.ListArray.from_arrays(
-                    pa.array(ends), pa.array(keys.view(np.int64).ravel()))],
-                ["rid", "doc_id", "h", "keys"])
+                [batch["rid"], batch["doc_id"], batch["h"], pa.array(prints.view(np.int64)),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64).ravel()))],
+                ["rid", "doc_id", "h", "fp", "keys"])
 
     kind = hashed.schema["doc_id"].dataType.simpleString()
-    return hashed.mapInArrow(sign, f"rid bigint, doc_id {kind}, h bigint, keys array<bigint>")
+    return hashed.mapInArrow(sign, f"rid bigint, doc_id {kind}, h bigint, fp bigint, keys array<bigint>")
+
+
+def trie_keys(prints: DataFrame, bits: int = BITS) -> DataFrame:
+    """``(key, h)`` for every row of ``(h, fp)`` whose fingerprint hangs together with
+    another one by links of ``bits`` or fewer differing bits, or is that of another row."""
+    rooted = groups_of_links(near_links(prints.select("fp").distinct(), bits)).withColumnRenamed("id", "fp")
+    return prints.join(rooted, "fp", "left").select(
+        F.xxhash64(F.lit(64), F.coalesce("root", "fp")).alias("key"), "h")
 
 
 def document_groups(docs: DataFrame, least: float = LEAST, doc_id: str = "doc_id",
@@ -79,13 +90,14 @@ def document_groups(docs: DataFrame, least: float = LEAST, doc_id: str = "doc_id
     lower-cased; a text with fewer words is one shingle) have a Jaccard similarity of
     ``least`` or more are linked, and linked rows have one ``root``.
 
-    Equal sets are compared once; documents that share a key are compared exactly, as
-    ``similar_lines`` says. Texts without a word are one group. ``rid`` names a row by id
+    Equal sets are compared once; documents whose fingerprints the trie links, or that
+    share a MinHash key, are compared exactly, as ``similar_lines`` says. Texts without a word are one group. ``rid`` names a row by id
     and text. No rows give no rows.
     """
     signed = stored(signed_documents(docs, doc_id, text), "signed documents")
-    keyed = signed.groupBy("h").agg(F.first("keys").alias("keys")).select(
-        F.explode("keys").alias("key"), "h")
+    classes = stored(signed.groupBy("h").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+                     .where(F.size("keys") > 0), "classes")
+    keyed = classes.select(F.explode("keys").alias("key"), "h").union(trie_keys(classes.select("h", "fp")))
     buckets = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")) \
         .where("low <> high").select("key")
     shared = stored(keyed.join(buckets, "key"), "shared documents")

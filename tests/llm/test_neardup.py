@@ -97,3 +97,22 @@ def test_every_group_keeps_a_row_whatever_its_ids(spark):
     kept = {r.rid: r.doc_id for r in out.collect()}
     assert out.count() == 8 and kept == {0: None, 1: None, 2: 7, 3: 7, 4: 5, 5: 4, 6: None, 7: None}
     assert neardup.one_of_each_group(df.limit(0)).count() == 0
+
+
+def test_trie_brings_documents_with_near_fingerprints_together(spark, monkeypatch):
+    """Without a single MinHash key, copies within three bits are still found, others not met."""
+    import numpy as np
+    rng = random.Random(6)
+    texts = []
+    for k in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(900)]
+        texts += [" ".join(words), " ".join(words + [f"end{k}"])]
+    monkeypatch.setattr(neardup, "minhash_keys", lambda values, offsets: np.arange(
+        values[0] & np.uint64((1 << 62) - 1), len(offsets) - 1 + int(values[0] & np.uint64((1 << 62) - 1)),
+        dtype=np.uint64)[:, None].repeat(neardup.BANDS, 1))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signed = neardup.signed_documents(docs, "doc_id", "text").collect()
+    prints = {r.doc_id: r.fp for r in signed}
+    near = sum(((prints[2 * k] ^ prints[2 * k + 1]) & (1 << 64) - 1).bit_count() <= neardup.BITS for k in range(60))
+    assert near > 50 and len({r.h for r in signed}) == 120
+    assert neardup.one_of_each_group(docs).count() == 120 - near

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from letterloom.llm import lines, mixing, neardup, pieces, quality, queries
 from letterloom.llm.common import stored, table
 
+BATCH = "2000"   # rows of an Arrow batch: with 10,000 texts and their features an executor is short of memory
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject (score 0.3 or more)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     weights = quality.train(queries.labelled_documents(docs, table(spark, sf_dir, "labels")))
     return quality.scored(docs, weights, out="quality score").where(
         F.col("quality score") >= 0.3).select(*docs.columns)
@@ -29,7 +31,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near-duplicates (5-word shingles, similarity 0.8)."""
+    """One document of every group of near-duplicates (5-word shingles, similarity 0.8), found
+    by fingerprints and a trie join, and by MinHash keys where fingerprints are further apart."""
     return neardup.one_of_each_group(docs)
 
 

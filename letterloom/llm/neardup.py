@@ -18,6 +18,7 @@ from letterloom.llm.simhash import bit_majorities, near_links, shingle_hashes
 WORDS = 5     # words of a shingle
 LEAST = 0.8   # similarity that links two documents
 BITS = 3      # differing bits of two fingerprints that the trie brings together
+NODES = 1 << 15   # node pairs of the trie that a task expands at once
 # Keys of a document and the minima that make one: a pair at LEAST shares no key with
 # chance (1 - 0.8**5)**20 = 0.04 %. They are for the pairs that the trie does not reach: at
 # LEAST fingerprints differ in up to 15 bits or so, and a trie join that wide compares
@@ -63,7 +64,7 @@ def signed_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         for batch in batches:
             values, offsets = flat(batch["set"])
             values = values.to_numpy(zero_copy_only=False).view(np.uint64)
-            prints = bit_majorities(values, offsets)
+            prints = bit_majorities(values, offsets, 1 << 15)  # 2 MB of bits at once
             size = np.diff(offsets)
             keys = minhash_keys(values, np.append(offsets[:-1][size > 0], offsets[-1]))
             ends = np.append(0, np.cumsum(np.where(size > 0, BANDS, 0))).astype(np.int32)
@@ -79,7 +80,7 @@ def signed_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def trie_keys(prints: DataFrame, bits: int = BITS) -> DataFrame:
     """``(key, h)`` for every row of ``(h, fp)`` whose fingerprint hangs together with
     another one by links of ``bits`` or fewer differing bits, or is that of another row."""
-    rooted = groups_of_links(near_links(prints.select("fp").distinct(), bits)).withColumnRenamed("id", "fp")
+    rooted = groups_of_links(near_links(prints.select("fp").distinct(), bits, NODES)).withColumnRenamed("id", "fp")
     return prints.join(rooted, "fp", "left").select(
         F.xxhash64(F.lit(64), F.coalesce("root", "fp")).alias("key"), "h")
 

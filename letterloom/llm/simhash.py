@@ -139,7 +139,7 @@ def _leaf_pairs(leaves: list[tuple[int, int]], budget: int) -> list[tuple[int, i
     return out
 
 
-def near_links(fps: DataFrame, budget: int = 2) -> DataFrame:
+def near_links(fps: DataFrame, budget: int = 2, chunk: int = CHUNK) -> DataFrame:
     """Links ``(a, b)`` that join all distinct fingerprints ``fp`` within ``budget`` bits
     into the same groups as all pairs would; not every pair is a row.
 
@@ -174,7 +174,7 @@ def near_links(fps: DataFrame, budget: int = 2) -> DataFrame:
         all_ = a if same else np.concatenate([a, b])
         shift = 0 if same else len(a)
         x, y, held = [], [], 0
-        for i, j in trie_pairs(a, b, budget, same):
+        for i, j in trie_pairs(a, b, budget, same, chunk):
             x.append(i), y.append(j + shift)
             held += len(i)
             if held > 1 << 21:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BUCKETS = 256   # state keys of a job; more for state of many millions of rows
+PART = 100_000  # rows of one element of a state
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -25,20 +27,33 @@ def _bucket(column: str, buckets: int) -> Column:
 
 
 class _Timed(StatefulProcessor):
-    """Tables in list states, and one timer for a bucket."""
+    """Tables in list states, and one timer for a bucket.
+
+    An element of a state is a stretch of a table as an Arrow stream: rows that go to the
+    state store and back one by one take most of the time of a job.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._timer = handle.getValueState("timer", "at long")
 
-    def _read(self, state, columns: list[str]) -> pd.DataFrame:
-        return pd.DataFrame(list(state.get()) if state.exists() else [], columns=columns)
+    def _packed(self, rows: pd.DataFrame, schema: pa.Schema) -> tuple[bytes]:
+        table = pa.Table.from_pandas(rows, schema, preserve_index=False).replace_schema_metadata()
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, schema) as stream:
+            stream.write_table(table)
+        return (out.getvalue().to_pybytes(),)
+
+    def _read(self, state, schema: pa.Schema) -> pd.DataFrame:
+        parts = [pa.ipc.open_stream(part).read_all() for part, in state.get()] if state.exists() else []
+        return pa.concat_tables([schema.empty_table(), *parts]).to_pandas()
+
+    def _append(self, state, rows: pd.DataFrame, schema: pa.Schema) -> None:
+        state.appendValue(self._packed(rows, schema))
 
-    def _write(self, state, rows: pd.DataFrame) -> None:
-        if len(rows):
-            state.put(list(zip(*[rows[c].tolist() for c in rows.columns])))
-        else:
-            state.clear()
+    def _write(self, state, rows: pd.DataFrame, schema: pa.Schema) -> None:
+        parts = [self._packed(rows[k:k + PART], schema) for k in range(0, len(rows), PART)]
+        state.put(parts) if parts else state.clear()
 
     def _wake_at(self, ms: int | None) -> None:
         if self._timer.exists():
@@ -55,7 +70,9 @@ class _Timed(StatefulProcessor):
         pass
 
 
-WAITING, KNOWN = ["conn_id", "ts_us", "seq", "type", "username"], ["conn_id", "username", "last_us"]
+WAITING = pa.schema({"conn_id": pa.string(), "ts_us": pa.int64(), "seq": pa.int64(), "type": pa.string(),
+                     "username": pa.string()})
+KNOWN = pa.schema({"conn_id": pa.string(), "username": pa.string(), "last_us": pa.int64()})
 
 
 class Presence(_Timed):
@@ -72,17 +89,15 @@ class Presence(_Timed):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self._known = handle.getListState("known", "conn_id string, username string, last_us long")
-        self._waiting = handle.getListState(
-            "waiting", "conn_id string, ts_us long, seq long, type string, username string")
+        self._known = handle.getListState("known", "rows binary")
+        self._waiting = handle.getListState("waiting", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
                         ) -> Iterator[pd.DataFrame]:
         first = self._timer.get()[0] if self._timer.exists() else None
         for chunk in rows:
-            columns = [chunk[c].tolist() for c in WAITING]
-            self._waiting.appendList(list(zip(*columns)))
-            earliest = min(columns[1]) // 1000 + 1
+            self._append(self._waiting, chunk[WAITING.names], WAITING)
+            earliest = int(chunk["ts_us"].min()) // 1000 + 1
             first = earliest if first is None else min(first, earliest)
         self._wake_at(first)
         yield pd.DataFrame([], columns=OUT)
@@ -94,12 +109,12 @@ class Presence(_Timed):
         ready = waiting[waiting["ts_us"] < passed]
         rest = waiting[waiting["ts_us"] >= passed]
         if len(ready):
-            self._write(self._waiting, rest)
+            self._write(self._waiting, rest, WAITING)
             out, newest = self._taken(ready, known)
             yield out
             known = pd.concat([known, newest]).drop_duplicates("conn_id", keep="last")
         known = known[(known["username"] != "") & (known["last_us"] + self._ttl * 1000 >= passed)]
-        self._write(self._known, known)
+        self._write(self._known, known, KNOWN)
         due = [*([int(rest["ts_us"].min()) // 1000 + 1] if len(rest) else []),
                *([int(known["last_us"].min()) // 1000 + self._ttl + 1] if len(known) else [])]
         self._wake_at(min(due, default=None))
@@ -157,7 +172,7 @@ def online(events: DataFrame) -> DataFrame:
         (F.col("m.type") == "join").alias("is_online"))
 
 
-SNOOZES = ["id", "at_us", "until_ms"]
+SNOOZES = pa.schema({"id": pa.string(), "at_us": pa.int64(), "until_ms": pa.int64()})
 
 
 class SnoozeTimer(_Timed):
@@ -169,13 +184,13 @@ class SnoozeTimer(_Timed):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self._pending = handle.getListState("pending", "id string, at_us long, until_ms long")
+        self._pending = handle.getListState("pending", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
                         ) -> Iterator[pd.DataFrame]:
         new = None
         for chunk in rows:
-            new = self._newest([new, chunk[SNOOZES]])
+            new = self._newest([new, chunk[SNOOZES.names]])
         pending = self._read(self._pending, SNOOZES)
         if len(pending) or new["until_ms"].notna().any():
             self._keep(self._newest([pending, new]).dropna(subset=["until_ms"]).astype({"until_ms": "int64"}))
@@ -187,7 +202,7 @@ class SnoozeTimer(_Timed):
         return rows.sort_values("at_us", kind="stable").drop_duplicates("id", keep="last")
 
     def _keep(self, pending: pd.DataFrame) -> None:
-        self._write(self._pending, pending)
+        self._write(self._pending, pending, SNOOZES)
         self._wake_at(int(pending["until_ms"].min()) if len(pending) else None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo

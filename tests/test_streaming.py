@@ -338,6 +338,29 @@ def test_keys_share_state_buckets(spark, folder):
     assert keys <= 2
 
 
+def test_state_is_kept_in_stretches(spark, folder):
+    """Rows go to the state store and back as stretches of a table, not one by one."""
+    elements = lambda out, v: (spark.read.format("statestore").option("path", f"{out}/state")
+                               .option("stateVarName", v).load().count())
+    feed = Feed(spark, f"{folder}/p", "conn_id string, username string, type string, ts timestamp, seq long")
+    feed.add(*[(f"c{i}", f"u{i}", "join", at(i / 100), i) for i in range(500)], ("z", "", "message", at(200), 900))
+    feed.add(*[(f"c{i}", None, "leave", at(200 + i / 100), 1000 + i) for i in range(500)])
+    out = f"{folder}/present"
+    finish(append_to(ST.presence(feed.stream(), buckets=2), out))
+    assert elements(out, "waiting") <= 6 and elements(out, "known") <= 2
+    feed.add(("z", "", "message", at(400), 2000))
+    finish(append_to(ST.presence(feed.stream(), buckets=2), out))
+    got = {(r.seq, r.kind, r.username) for r in rows_of(spark, out).collect()}
+    assert got == {(i, "user-joined", f"u{i}") for i in range(500)} | {
+        (1000 + i, "user-left", f"u{i}") for i in range(500)}
+
+    feed = Feed(spark, f"{folder}/z", "id string, ts timestamp, snoozed_until timestamp_ntz")
+    feed.add(*[(f"m{i}", at(0), at(300)) for i in range(500)])
+    out = f"{folder}/snoozes"
+    finish(append_to(ST.snooze_timer(feed.stream(), buckets=2), out))
+    assert elements(out, "pending") <= 2
+
+
 def test_files_of_many_raw_messages(spark, folder):
     """The same rows whether messages have files of their own or share one."""
     raw = ["From: Ana <ana@x>\r\nSubject: One\r\n\r\nline\nand\r\nline\n", "Subject: none\r\n\r\nrefused",

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
+from letterloom.functions.replies import outer_object
 from letterloom.operators import mutate as M
 from letterloom.operators import people as P
 from letterloom.operators import saved_searches as SS
@@ -170,6 +171,22 @@ def test_vote_tie_goes_to_the_first(spark):
         (85, "high")]
 
 
+def test_replies_are_cut_once_and_read_in_part(spark):
+    """A reply is cut at its outer braces without being turned round, and only the fields
+    that an operator uses are read from the JSON."""
+    texts = ["", None, "{", "}", "{}", "}{", "a{b}c", "}a{b}c{", "é{ü}ß", "{a}}x", "{{a}", "a}b", "x}{}y{", " {x} "]
+    odd = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = odd.select("t", outer_object(F.col("t")).alias("x")).collect()
+    assert [r.x for r in got] == [None if t is None else t[t.find("{"):t.rfind("}") + 1]
+                                  if "{" in t and "}" in t[t.find("{"):] else "" for t in (r.t for r in got)]
+    said = spark.createDataFrame([("m", "a", 0, '{"score": "none", "summary": "s", "reasoning": 7}')],
+                                 "email_id string, model string, ordinal long, content string")
+    best = votes.best_reply(said)
+    assert best.first()["summary"] == "s"
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert "reverse(" not in plan and "StructField(reasoning" not in plan and "StructField(score" not in plan
+
+
 def test_odd_saved_searches(spark, mail):
     odd = spark.createDataFrame(
         [(1, "subject", "invoice"), (1, "subject", "track"), (1, "text", "77"),

@@ -1,12 +1,15 @@
 """Properties that hold whatever the data, and behaviour under skew."""
 
 import datetime as dt
+import json
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401
 from checks import fixtures as fx
+from checks.registry import QUERIES
 from letterloom.functions.replies import outer_object
 from letterloom.operators import mutate as M
 from letterloom.operators import people as P
@@ -187,6 +190,32 @@ def test_replies_are_cut_once_and_read_in_part(spark):
     assert "reverse(" not in plan and "StructField(reasoning" not in plan and "StructField(score" not in plan
 
 
+def test_handled_mail_keeps_its_commitments(spark, mail):
+    """The query returns the commitments of every message, whatever its folder: those of the
+    best reply if it has some, else those of the rules."""
+    done = QUERIES["X27_merge_handled"](spark, DATA)
+    assert done.count() == mail.count()
+    in_mail = "folder IN ('INBOX', 'SENT', 'ARCHIVE')"
+    got = {r.id: [(x["source"], x["who"], x["due"]) for x in json.loads(r.commitments)] for r in done.collect()}
+    want = rows(QUERIES["X27_handled_commitments"](spark, DATA))
+    own = {r.id for r in mail.filter(in_mail).select("id").collect()}
+    assert rows_of(got, own) == want and rows_of(got, set(got) - own)
+    first, second, third = mail.filter("body LIKE '%I will send the offer%'").orderBy("id").limit(3).collect()
+    told = '{"intent": "FYI", "confidence": 0.9, "summary": "s", "commitments": %s}'
+    said = spark.createDataFrame(
+        [(first.id, "a", 0, told % '[{"who": "Bo", "action": "a", "due": null, "source": "q"}]'),
+         (second.id, "a", 0, told % "[]"), (third.id, "a", 0, told % "null")],
+        "email_id string, model string, ordinal long, content string")
+    handled = {r.id: [x.who for x in r.commitments] for r in votes.merge_handled(mail, said, self_email=SELF).collect()}
+    assert handled[first.id] == ["Bo"]
+    assert handled[second.id] == [w for _, w, _ in got[second.id]] and len(handled[second.id]) == 2
+    assert handled[third.id] == [w for _, w, _ in got[third.id]] and len(handled[third.id]) == 2
+
+
+def rows_of(found, ids):
+    return sorted(((i, *x) for i in ids for x in found[i]), key=repr)
+
+
 def test_odd_saved_searches(spark, mail):
     odd = spark.createDataFrame(
         [(1, "subject", "invoice"), (1, "subject", "track"), (1, "text", "77"),

@@ -145,3 +145,62 @@ def test_clashing_columns_and_empty_table(spark):
     assert done.columns == ["page_id", "url", "page", "page html", "text"]
     assert tuple(done.first()) == (1, "//h", 3, "e", "x")
     assert pages.main_texts(df.limit(0)).collect() == []
+
+
+STORY = "A long story of the people by the river that every page of this host may print again in full."
+
+
+def test_copies_of_an_article_keep_its_text(spark):
+    """What stands in an article of the host is text on its other pages too, menu and end are not."""
+    assert pages.stream_of([(pages.ARTICLE, "a b"), (pages.ASIDE, "c")]) == ["", "a", "b", "", "\n", "", "c", ""]
+    printed = [f"<body>{MENU}<p>{STORY}</p>{END}<p>{x}</p></body>" for x in ("Printed on a Monday", "For small phones")]
+    rows = [(1, "//h/1", f"<body>{MENU}<article><p>{STORY}</p></article>{END}</body>"),
+            (2, "//h/2", printed[0]), (3, "//h/3", printed[1]), (4, "//k/4", printed[0]), (5, "//k/5", printed[1])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    done = {r.page_id: r.text for r in pages.main_texts(df).collect()}
+    assert done == {1: STORY, 2: f"{STORY}\n\nPrinted on a Monday", 3: f"{STORY}\n\nFor small phones",
+                    4: "Printed on a Monday", 5: "For small phones"}   # no article on this host
+
+
+def test_short_last_line_of_an_article_is_no_boilerplate(spark):
+    """No stretch reaches from an article into what follows it, so a short line there and a
+    repeated footer are not taken for one."""
+    body = "<p>Text number %d of one host says its own things, %d of them.</p><p>All rights reserved.</p>"
+    rows = [(1, "//h/1", f"<article>{body % (1, 1)}</article><footer>{END}</footer>"),
+            (2, "//h/2", f"{body % (2, 2)}<footer>{END}</footer>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    done = {r.page_id: r.text for r in pages.main_texts(df).collect()}
+    assert done == {i: f"Text number {i} of one host says its own things, {i} of them.\n\nAll rights reserved."
+                    for i in (1, 2)}
+
+
+parts = st.lists(st.sampled_from(["<p>", "a", "b", "c c", "<div>", "</div>", "<article>", "</article>", "<nav>",
+                                  "</nav>"]), max_size=40).map(" ".join)
+
+
+@pytest.mark.parametrize("size", [1, 1 << 19])
+@settings(max_examples=8, deadline=None)
+@given(rows=st.lists(st.tuples(st.sampled_from(["//h/1", "//k/2"]), parts), min_size=1, max_size=8),
+       run=st.integers(2, 9))
+def test_stretches_in_articles_equal_plain_counting(spark, size, rows, run):
+    told = set()
+    for url, page in rows:
+        blocks = pages.blocks_of(page)
+        stream, inside = pages.stream_of(blocks), [True] * bool(blocks)
+        for i, (p, t) in enumerate(blocks):
+            edge = i and (p == pages.ARTICLE) != (blocks[i - 1][0] == pages.ARTICLE)
+            inside += [False, True] * bool(edge) + [p == pages.ARTICLE] * len(t.split(" ")) + [True]
+        assert len(stream) == len(inside)
+        told |= {(host(url), *stream[i:i + run]) for i in range(len(stream) - run + 1) if all(inside[i:i + run])}
+    marks = covered({(host(u), h) for u, h in rows}, run)
+    for (name, page), mark in marks.items():
+        stream = pages.stream_of(pages.blocks_of(page))
+        for i in range(len(stream) - run + 1):
+            if (name, *stream[i:i + run]) in told:
+                mark[i:i + run] = False
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    before, pages.SLICE = pages.SLICE, size
+    try:
+        assert found(pages.main_texts(df, min_run=run)) == sorted(plain(h, marks[host(u), h], run) for u, h in rows)
+    finally:
+        pages.SLICE = before
